@@ -17,7 +17,9 @@ TEAM_PREFIXES = {
     for side in ("home", "away", "opponent")
     for part in ("Id", "City", "Name")
 } | {f"playerteam{part}": f"player_team_{part.lower()}" for part in ("Id", "City", "Name")}
-RENAMES = TEAM_PREFIXES | {"winner": "winner_team_id", "numMinutes": "minutes_played"}
+RENAMES = TEAM_PREFIXES | {
+    "winner": "winner_team_id", "numMinutes": "minutes_played", "gameDateTimeEst": "game_datetime_est",
+}
 GAME_FLAGS = {"home": "is_home", "win": "is_win"}
 ADVANCED_FLAGS = GAME_FLAGS | {"doubleDouble": "is_double_double", "tripleDouble": "is_triple_double"}
 PLAYER_FLAGS = {
@@ -50,7 +52,7 @@ def stage_team_box(raw: DataFrame) -> DataFrame:
 
 
 def stage_histories(raw: DataFrame) -> DataFrame:
-    return conform_wide(raw, casts=CASTS)
+    return conform_wide(raw, RENAMES, casts=CASTS)
 
 
 def game_results(games: DataFrame, team_box: DataFrame) -> DataFrame:

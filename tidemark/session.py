@@ -34,6 +34,7 @@ def local_session(cores: str = "8", app: str = "tidemark", **conf: str) -> Spark
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.ui.retainedExecutions", "5")
     )
     for key, value in {**SETTINGS, **conf}.items():

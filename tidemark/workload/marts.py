@@ -88,9 +88,9 @@ def s6(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("s7_pending", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("s7_pending", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def s7(spark, sf):
-    loaded = source(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    loaded = source(spark, sf, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return keyed.pending(source(spark, sf, "customer").select("c_custkey"), loaded, "c_custkey")
 
 
