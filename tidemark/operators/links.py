@@ -58,14 +58,11 @@ def best_shared(
     )
     targets = targets.select(F.col(target).alias("target"), F.col(key).alias("_key"))
 
-    source_twins = cut(_twins(sources, "source", ["_key", "_w"], "_head"))
-    target_twins = _twins(targets, "target", ["_key"], "_head")
-    left = cut(
-        sources.join(source_twins.filter("source = _head").select("source"), "source", "left_semi")
-    )
-    right = cut(
-        targets.join(target_twins.filter("target = _head").select("target"), "target", "left_semi")
-    )
+    # Every source row with the head of its twins; the heads stand for all of them.
+    tagged = cut(sources.join(_twins(sources, "source", ["_key", "_w"], "_head"), "source"))
+    left = tagged.filter("source = _head").drop("_head")
+    target_twins = _twins(targets, "target", ["_key"], "_head").filter("target = _head")
+    right = cut(targets.join(target_twins.select("target"), "target", "left_semi"))
 
     fan = (
         left.groupBy("_key").agg(F.count(F.lit(1)).alias("_s"))
@@ -74,7 +71,8 @@ def best_shared(
     hot = fan.filter(F.col("_s") * F.col("_t") > hot_pairs).select("_key")
     best = _best_pairs(left, right) if hot.isEmpty() else _with_hot_keys(left, right, cut(hot))
     return (
-        source_twins.join(best.withColumnRenamed("source", "_head"), "_head")
+        tagged.select("source", "_head").distinct()
+        .join(best.withColumnRenamed("source", "_head"), "_head")
         .select(F.col("source").alias(source), F.col("target").alias(target), "strength")
     )
 

@@ -105,10 +105,14 @@ def ranked_recommendations(blended: DataFrame, variants: DataFrame, sizes: DataF
     """Final list with rounded scores; groups without a sellable variant close the gap."""
     rows = expand_variant(blended, variants, sizes)
     mine = Window.partitionBy("customer_id").orderBy(F.desc("final_score"), "group_rank")
-    rounded = {f"{s}_score": F.round(f"{s}_score", 3) for s in WEIGHTS}
+
+    def shown(col: str, digits: int) -> Column:
+        # Float noise must not decide which way a half is rounded.
+        return F.round(F.round(col, 9), digits)
+
     return (
-        rows.withColumn("final_score", F.round("blended", 4))
-        .withColumns(rounded)
+        rows.withColumn("final_score", shown("blended", 4))
+        .withColumns({f"{s}_score": shown(f"{s}_score", 3) for s in WEIGHTS})
         .withColumn("price", F.round("price", 2))
         .withColumn("rank", F.row_number().over(mine))
         .drop("blended", "group_rank")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StopWordsRemover
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import (
+    IDF, CountVectorizer, ElementwiseProduct, Normalizer, RegexTokenizer, StopWordsRemover,
+)
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,26 +25,19 @@ DIM = 32
 
 
 def term_weights(df: DataFrame, key: str, text: str, terms: int = TERMS) -> DataFrame:
-    """Unit-length tf-idf rows over the `terms` most frequent words: (key, row, array)."""
+    """Unit-length tf-idf vectors over the `terms` most frequent words: (key, row)."""
     words = RegexTokenizer(
         inputCol=text, outputCol="_words", pattern=r"\b\w\w+\b", gaps=False, toLowercase=True
-    ).transform(df.filter(F.col(text).isNotNull()))
+    ).transform(df.select(key, text).filter(F.col(text).isNotNull()))
     kept = StopWordsRemover(inputCol="_words", outputCol="_kept").transform(words)
     counter = CountVectorizer(inputCol="_kept", outputCol="_tf", vocabSize=terms, minDF=1.0)
-    counts = counter.fit(kept).transform(kept).select(
-        key, vector_to_array("_tf", "float64").alias("_tf")
-    )
-    counts = cut(counts)
-    # The width is the vocabulary, at most `terms`.
-    width = len(counts.first()["_tf"])
-    seen = [F.count_if(F.col("_tf")[i] > 0).alias(f"d{i}") for i in range(width)]
-    spread = counts.agg(F.count(F.lit(1)).alias("n"), *seen).select(F.array(*[
-        F.log((1 + F.col("n")) / (1 + F.col(f"d{i}"))) + 1 for i in range(width)
-    ]).alias("idf"))
-    weighted = counts.withColumn("_idf", spread.scalar())
-    weighted = weighted.withColumn("_x", F.zip_with("_tf", "_idf", lambda tf, w: tf * w))
-    zeros = F.transform("_x", lambda x: F.lit(0.0))
-    return weighted.select(key, F.coalesce(vectors.unit("_x"), zeros).alias("row"))
+    counts = cut(counter.fit(kept).transform(kept).select(key, "_tf"))
+    spread = IDF(inputCol="_tf", outputCol="_idf").fit(counts)
+    # One weight per vocabulary word; Spark's own idf lacks the added one.
+    idf = [math.log((1 + spread.numDocs) / (1 + n)) + 1 for n in spread.docFreq]
+    scaled = ElementwiseProduct(
+        scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_scaled").transform(counts)
+    return Normalizer(p=2.0, inputCol="_scaled", outputCol="row").transform(scaled).select(key, "row")
 
 
 def _partial_gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -56,12 +54,10 @@ def right_singular_vectors(rows: DataFrame, dim: int) -> np.ndarray:
 
     Each task sums its own rows; only that square of fixed size reaches the driver.
     """
-    partial = rows.select("row").mapInPandas(_partial_gram, "i int, values array<double>")
-    width = partial.agg(F.max("i") + 1).first()[0]
-    summed = partial.groupBy("i").agg(
-        F.array(*[F.sum(F.col("values")[j]) for j in range(width)]).alias("values")
-    )
-    gram = np.array([r["values"] for r in summed.orderBy("i").collect()])
+    dense = rows.select(vector_to_array("row").alias("row"))
+    partial = dense.mapInPandas(_partial_gram, "i int, values array<double>")
+    summed = partial.groupBy("i").agg(Summarizer.sum(array_to_vector("values")).alias("values"))
+    gram = np.array([r["values"].toArray() for r in summed.orderBy("i").collect()])
     _, basis = np.linalg.eigh((gram + gram.T) / 2)
     basis = basis[:, ::-1][:, :dim]
     # Eigenvectors have no sign of their own: make the largest component positive.
@@ -80,7 +76,7 @@ def embed_text(df: DataFrame, key: str, text: str, terms: int = TERMS, dim: int
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return pd.Series(list(np.divide(out, length, out=np.zeros_like(out), where=length > 0)))
 
-    return rows.select(key, project("row").alias("embedding"))
+    return rows.select(key, project(vector_to_array("row")).alias("embedding"))
 
 
 def embed_customers(browsed: DataFrame, products: DataFrame, dim: int = DIM) -> DataFrame:

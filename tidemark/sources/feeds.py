@@ -13,7 +13,6 @@ TRADE_MESSAGE = (
     "trade_id bigint, symbol string, price double, quantity double, buyer_maker boolean, "
     "trade_time timestamp, event_time timestamp"
 )
-TICK = "e string, t bigint, s string, p string, q string, m boolean, T bigint, E bigint"
 PAYMENT_REQUEST = "payment_id string, amount double, requested_at timestamp"
 PAYMENT_REJECTION = "payment_id string, rejected_at timestamp"
 

@@ -364,14 +364,14 @@ def _scores(spark, sf):
 
 @query("x1_search_rerank", f"""
 SELECT request_id, query, customer_id, known AS personalized, rank, variant_id, style_name, category_id, colour, size, {R("price", 2)} AS price, {R("final", 4)} AS score FROM (
- SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY final DESC, variant_id) AS rank FROM (
+ SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY final DESC, variant_id) AS rank FROM (SELECT * FROM (
   SELECT *, round(CASE WHEN known THEN 0.6::DOUBLE * base + 0.4::DOUBLE * (0.6::DOUBLE * {_mm("em", "request_id")} + 0.4::DOUBLE * {_mm("cf", "request_id")}) ELSE base END, 9) AS final FROM (
    SELECT q.request_id, q.customer_id, p.*, t.embedding IS NOT NULL AS known, home_size, coalesce(list_dot_product(t.embedding, v.embedding), 0) AS em, coalesce(r.score, 0) AS cf
    FROM requests_in q JOIN pool p ON q.query = p.query LEFT JOIN taste t ON q.customer_id = t.customer_id
    LEFT JOIN (SELECT customer_id, home_size FROM dim_cust WHERE is_current) d ON q.customer_id = d.customer_id
    LEFT JOIN group_vec v ON p.product_group_id = v.product_group_id
    LEFT JOIN (SELECT * FROM cf_rec WHERE rank <= 20) r ON q.customer_id = r.customer_id AND p.product_group_id = r.product_group_id))
- QUALIFY row_number() OVER (PARTITION BY request_id, product_group_id ORDER BY coalesce(size = home_size, false) DESC, final DESC, variant_id) = 1)
+ QUALIFY row_number() OVER (PARTITION BY request_id, product_group_id ORDER BY coalesce(size = home_size, false) DESC, final DESC, variant_id) = 1))
 WHERE rank <= 10""")
 def x1(spark, sf):
     groups = cut(group_vectors(spark, sf))
@@ -421,13 +421,14 @@ def likely(spark, sf):
 
 @query("x4_email_export", f"""
 SELECT a.customer_id, email, first_name, {R("p", 4)} AS propensity, d AS propensity_decile,
- (SELECT list({{'style_name': style_name, 'category_id': category_id, 'variant_id': variant_id, 'price': price}} ORDER BY rank)
+ (SELECT list(variant_id ORDER BY rank)
   FROM ranked r WHERE r.customer_id = a.customer_id AND rank <= 3) AS recommendations
 FROM (SELECT l.*, email, first_name FROM likely l JOIN dim_cust c ON l.customer_id = c.customer_id AND is_current
  WHERE marketing_consent AND d >= 5 ORDER BY p DESC, l.customer_id LIMIT 100) a""")
 def x4(spark, sf):
     people = retail.dim_customer(spark, sf).filter("is_current")
-    return activation.email_export(cut(likely(spark, sf)), people, ranked(spark, sf), min_decile=5)
+    out = activation.email_export(cut(likely(spark, sf)), people, ranked(spark, sf), min_decile=5)
+    return out.withColumn("recommendations", F.col("recommendations.variant_id"))
 
 
 @query("x5_customer_context", f"""

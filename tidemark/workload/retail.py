@@ -71,12 +71,17 @@ def events(spark, sf, gap=GAP):
     return retail.events(ad.raw_clicks(spark, sf), gap)
 
 
+def links(spark, sf):
+    # Links are made from the events as they come; they do not need sessions.
+    return identity.bridge(ad.raw_clicks(spark, sf))
+
+
 def resolved(spark, sf):
     """Events with sessions, session rows, links and the resolved sessions."""
     rows = cut(events(spark, sf))
     per_session = identity.sessions(rows)
-    links = cut(identity.bridge(rows))
-    return rows, per_session, links, identity.graph(per_session, links)
+    found = cut(identity.bridge(rows))
+    return rows, per_session, found, identity.graph(per_session, found)
 
 
 # --- silver ------------------------------------------------------------------
@@ -152,7 +157,7 @@ def m19(spark, sf):
 
 @query("m20_bridge_identity", "SELECT * FROM links")
 def m20(spark, sf):
-    return identity.bridge(events(spark, sf))
+    return links(spark, sf)
 
 
 @query("m21_identity_graph", "SELECT * RENAME (true_id AS _true_customer_id) FROM resolved")
@@ -165,14 +170,13 @@ SELECT confidence_tier, link_method, count(*) AS links, count(*) FILTER (WHERE c
  {R("100.0 * count(*) FILTER (WHERE customer_id = true_id) / count(*)", 1)} AS precision_pct
 FROM links JOIN (SELECT DISTINCT anonymous_id, true_id FROM clicks) USING (anonymous_id) GROUP BY ALL""")
 def q9(spark, sf):
-    rows = cut(events(spark, sf))
-    return identity.link_precision(identity.bridge(rows), rows)
+    return identity.link_precision(links(spark, sf), ad.raw_clicks(spark, sf))
 
 
 @query("q10_link_composition", f"""
 SELECT confidence_tier, link_method, count(*) AS links, {R("avg(confidence)", 2)} AS conf FROM links GROUP BY ALL""")
 def q10(spark, sf):
-    return identity.link_composition(identity.bridge(events(spark, sf)))
+    return identity.link_composition(links(spark, sf))
 
 
 @query("q10_session_coverage", f"""
@@ -293,8 +297,7 @@ SELECT s.*, strict AS customer_id_strict, coalesce(strict, loose) AS customer_id
 LEFT JOIN (SELECT anonymous_id, max(customer_id) FILTER (WHERE confidence_tier = 'deterministic') AS strict,
   max(customer_id) FILTER (WHERE confidence_tier = 'probabilistic') AS loose FROM links GROUP BY 1) l ON s.anonymous_id = l.anonymous_id""")
 def m26(spark, sf):
-    links = identity.bridge(events(spark, sf))
-    return gold.fact_search(retail.search_logs(ad.raw_search_logs(spark, sf)), links)
+    return gold.fact_search(retail.search_logs(ad.raw_search_logs(spark, sf)), links(spark, sf))
 
 
 @query("m27_session_summary", """
