@@ -68,14 +68,19 @@ def _hours(df: DataFrame, ts: str, *aggs: Column) -> DataFrame:
     return spine.join(counted, "hour", "left")
 
 
-def _scored(hours: DataFrame, metric: str, trailing: int, limit: float, severity: str) -> DataFrame:
-    """z-score of each hour against the hours before it. The window runs over hours, not rows."""
+def _scored(
+    hours: DataFrame, metric: str, trailing: int, limit: float, severity: str, both: bool
+) -> DataFrame:
+    """z-score of each hour against the hours before it. The window runs over hours, not rows.
+
+    `both` reports unusually low values as well as high ones.
+    """
     past = Window.orderBy("hour").rowsBetween(-trailing, -1)
     value = F.col(metric)
     mean, spread = F.avg(value).over(past), F.stddev_samp(value).over(past)
     z = (value - mean) / F.nullif(spread, F.lit(0.0))
     scored = hours.withColumn("z_score", z)
-    odd = F.abs("z_score") > limit
+    odd = (F.abs("z_score") if both else F.col("z_score")) > limit
     return scored.withColumn("status", F.when(odd, severity).otherwise("pass"))
 
 
@@ -85,7 +90,7 @@ def volume_anomalies(
     """Rows loaded per hour, compared with the two weeks before."""
     hours = _hours(df, ts, F.count(F.lit(1)).alias("row_count"))
     hours = hours.withColumn("row_count", F.coalesce("row_count", F.lit(0).cast("bigint")))
-    return _scored(hours, "row_count", trailing, limit, severity)
+    return _scored(hours, "row_count", trailing, limit, severity, both=True)
 
 
 def freshness_anomalies(
@@ -98,4 +103,4 @@ def freshness_anomalies(
     end = F.col("hour") + F.expr("INTERVAL 1 HOUR")
     stale = (F.unix_micros(end.cast("timestamp")) - F.unix_micros(newest.cast("timestamp"))) / 1e6
     hours = hours.select("hour", stale.alias("staleness_seconds"))
-    return _scored(hours, "staleness_seconds", trailing, limit, severity)
+    return _scored(hours, "staleness_seconds", trailing, limit, severity, both=False)

@@ -401,10 +401,9 @@ piece("hour_spine", """
 SELECT unnest(generate_series(date_trunc('hour', min(ts)), date_trunc('hour', max(ts)), INTERVAL 1 HOUR)) AS hour FROM events""")
 
 
-def _anomaly_sql(base):
-    return f"""SELECT * EXCLUDE (m, s, v), round((v - m) / nullif(s, 0), 6) AS z_score,
- CASE WHEN abs((v - m) / nullif(s, 0)) > 3 THEN 'warn' ELSE 'pass' END AS status FROM (
- SELECT *, avg(v) OVER w AS m, stddev_samp(v) OVER w AS s FROM ({base})
+def _anomaly_sql(base, size="abs(z)"):
+    return f"""SELECT * EXCLUDE (v, z), round(z, 6) AS z_score, CASE WHEN {size} > 3 THEN 'warn' ELSE 'pass' END AS status FROM (
+ SELECT *, (v - avg(v) OVER w) / nullif(stddev_samp(v) OVER w, 0) AS z FROM ({base})
  WINDOW w AS (ORDER BY hour ROWS BETWEEN 336 PRECEDING AND 1 PRECEDING))"""
 
 
@@ -416,7 +415,7 @@ def q7(spark, sf):
 
 @query("q8_freshness_anomalies", _anomaly_sql("""
 SELECT hour, epoch_us(hour + INTERVAL 1 HOUR - max(newest) OVER (ORDER BY hour)) / 1e6 AS staleness_seconds, staleness_seconds AS v FROM (
- SELECT h.hour, max(e.ts) AS newest FROM hour_spine h LEFT JOIN events e ON date_trunc('hour', e.ts) = h.hour GROUP BY 1)"""))
+ SELECT h.hour, max(e.ts) AS newest FROM hour_spine h LEFT JOIN events e ON date_trunc('hour', e.ts) = h.hour GROUP BY 1)""", "z"))
 def q8(spark, sf):
     return quality.freshness_anomalies(source(spark, sf, "events"), "ts").withColumn("z_score", F.round("z_score", 6))
 
