@@ -12,51 +12,74 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import rank_rows
 
-BLOCK = 512
+BLOCK = 512  # items per block
+CHUNK = 4096  # rows turned into one dense matrix
 
 
-def _accumulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sum the outer products of rows sorted by block pair; one block pair is held at a time."""
-    current, block = None, None
+def _cells(batch: pa.RecordBatch, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row number, position inside the block, and value of every cell of a batch."""
+    items, values = batch.column(f"items_{side}"), batch.column(f"values_{side}")
+    lengths = pc.list_value_length(items).fill_null(0).to_numpy(zero_copy_only=False)
+    rows = np.repeat(np.arange(len(lengths)), lengths)
+    return rows, items.flatten().to_numpy() % BLOCK, values.flatten().to_numpy()
+
+
+def _dense(cells, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows `first` to `last` as a matrix over the positions that occur in them."""
+    rows, places, values = cells
+    lo, hi = np.searchsorted(rows, [first, last])
+    used, column = np.unique(places[lo:hi], return_inverse=True)
+    out = np.zeros((last - first, len(used)))
+    out[rows[lo:hi] - first, column] = values[lo:hi]
+    return out, used
+
 
-    def finished() -> pd.DataFrame:
-        left, right = np.nonzero(block)
-        a, b = current
-        ids = pd.DataFrame(
-            {"item_a": a * BLOCK + left, "item_b": b * BLOCK + right, "dot": block[left, right]}
-        )
-        return ids[ids["item_a"] < ids["item_b"]] if a == b else ids
+def _add(block: np.ndarray, batch: pa.RecordBatch, diagonal: bool) -> None:
+    """Add the weighted outer products of a batch of rows of one block pair."""
+    weight = batch.column("weight").to_numpy()
+    a = _cells(batch, "a")
+    b = a if diagonal else _cells(batch, "b")
+    for first in range(0, batch.num_rows, CHUNK):
+        last = min(first + CHUNK, batch.num_rows)
+        x, mine = _dense(a, first, last)
+        y, theirs = (x, mine) if diagonal else _dense(b, first, last)
+        block[np.ix_(mine, theirs)] += (x * weight[first:last, None]).T @ y
+
+
+def _accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum rows sorted by block pair; one block pair is held at a time."""
+    current, block = None, None
 
-    for pdf in batches:
-        for pair, rows in pdf.groupby(["block_a", "block_b"], sort=True):
+    def finished() -> pa.RecordBatch:
+        left, right = np.nonzero(np.triu(block, 1) if current[0] == current[1] else block)
+        return pa.RecordBatch.from_pydict({
+            "item_a": current[0] * BLOCK + left, "item_b": current[1] * BLOCK + right,
+            "dot": block[left, right],
+        })
+
+    for batch in batches:
+        first, second = (batch.column(c).to_numpy() for c in ("block_a", "block_b"))
+        edges = np.flatnonzero((np.diff(first) != 0) | (np.diff(second) != 0)) + 1
+        for start, stop in zip([0, *edges], [*edges, batch.num_rows]):
+            if start == stop:
+                continue
+            pair = (int(first[start]), int(second[start]))
             if pair != current:
                 if current is not None:
                     yield finished()
                 current, block = pair, np.zeros((BLOCK, BLOCK))
-            step = max(1, 2_000_000 // BLOCK)
-            for start in range(0, len(rows), step):
-                part = rows.iloc[start : start + step]
-                x = _dense(part["items_a"], part["values_a"])
-                same = pair[0] == pair[1]
-                y = x if same else _dense(part["items_b"], part["values_b"])
-                block += (x * part["weight"].to_numpy()[:, None]).T @ y
+            _add(block, batch.slice(start, stop - start), pair[0] == pair[1])
     if current is not None:
         yield finished()
 
 
-def _dense(items: pd.Series, values: pd.Series) -> np.ndarray:
-    out = np.zeros((len(items), BLOCK))
-    rows = np.repeat(np.arange(len(items)), [len(i) for i in items])
-    out[rows, np.concatenate(items.to_numpy()) % BLOCK] = np.concatenate(values.to_numpy())
-    return out
-
-
 def pair_sums(
     df: DataFrame, group: str, item: str, value: str, weight: str, salts: int | None = None
 ) -> DataFrame:
@@ -68,53 +91,50 @@ def pair_sums(
     """
     spark = df.sparkSession
     salts = salts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cell = F.struct(
+        F.col(item).cast("bigint").alias("item"), F.col(value).cast("double").alias("value")
+    )
+    # At most BLOCK cells per row.
     packed = (
-        df.withColumn("_block", F.floor(F.col(item) / BLOCK).cast("int"))
-        .groupBy(group, "_block")
-        .agg(
-            F.collect_list(
-                F.struct(
-                    F.col(item).cast("bigint").alias("item"),
-                    F.col(value).cast("double").alias("value"),
-                )
-            ).alias("_cells"),
-            F.first(F.col(weight).cast("double")).alias("weight"),
-        )
-        .select(
-            group,
-            "_block",
-            "weight",
-            F.col("_cells").getField("item").alias("items"),
-            F.col("_cells").getField("value").alias("values"),
-        )
+        df.groupBy(F.col(group).alias("_group"), F.floor(F.col(item) / BLOCK).cast("int").alias("_block"))
+        .agg(F.collect_list(cell).alias("_cells"), F.first(F.col(weight).cast("double")).alias("weight"))
+        .select("_group", "_block", "weight", F.col("_cells.item").alias("items"),
+                F.col("_cells.value").alias("values"))
+    )
+    same = packed.select(
+        "_group", F.col("_block").alias("block_a"), F.col("_block").alias("block_b"), "weight",
+        F.col("items").alias("items_a"), F.col("values").alias("values_a"),
     )
-    touched = packed.groupBy(group).agg(F.collect_set("_block").alias("_blocks"))
+    if (df.agg(F.max(item)).first()[0] or 0) < BLOCK:
+        return _summed(same, salts)
+    # Groups that touch several blocks travel once per pair of different blocks.
+    touched = packed.groupBy("_group").agg(F.collect_set("_block").alias("_blocks"))
     left = (
-        packed.join(touched, group)
-        .withColumn("block_b", F.explode(F.filter("_blocks", lambda b: b >= F.col("_block"))))
-        .select(
-            group,
-            F.col("_block").alias("block_a"),
-            "block_b",
-            "weight",
-            F.col("items").alias("items_a"),
-            F.col("values").alias("values_a"),
-        )
+        packed.join(touched.filter(F.size("_blocks") > 1), "_group")
+        .withColumn("block_b", F.explode(F.filter("_blocks", lambda b: b > F.col("_block"))))
+        .select("_group", F.col("_block").alias("block_a"), "block_b", "weight",
+                F.col("items").alias("items_a"), F.col("values").alias("values_a"))
     )
     right = packed.select(
-        group,
-        F.col("_block").alias("block_b"),
-        F.col("items").alias("items_b"),
+        "_group", F.col("_block").alias("block_b"), F.col("items").alias("items_b"),
         F.col("values").alias("values_b"),
     )
-    pairs = left.join(right, [group, "block_b"]).withColumn(
-        "_salt", F.pmod(F.xxhash64(group), F.lit(salts)).cast("int")
-    )
+    mixed = left.join(right, ["_group", "block_b"])
+    return _summed(same.unionByName(mixed, allowMissingColumns=True), salts)
+
+
+def _summed(rows: DataFrame, salts: int) -> DataFrame:
+    """Accumulate each block pair in salted parts, then add the parts up."""
+    rows = rows.withColumns({
+        side: F.col(side) if side in rows.columns else F.lit(None).cast(kind)
+        for side, kind in (("items_b", "array<bigint>"), ("values_b", "array<double>"))
+    })
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_group"), F.lit(salts)).cast("int"))
     partial = (
-        pairs.repartition("block_a", "block_b", "_salt")
+        rows.repartition("block_a", "block_b", "_salt")
         .sortWithinPartitions("block_a", "block_b")
         .select("block_a", "block_b", "weight", "items_a", "values_a", "items_b", "values_b")
-        .mapInPandas(_accumulate, "item_a bigint, item_b bigint, dot double")
+        .mapInArrow(_accumulate, "item_a bigint, item_b bigint, dot double")
     )
     return partial.groupBy("item_a", "item_b").agg(F.sum("dot").alias("dot"))
 

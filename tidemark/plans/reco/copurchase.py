@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.gram import dense_numbers, pair_sums
 from tidemark.operators.joins import lookup
-from tidemark.operators.keyed import first_per_key, top_per_key, with_group_size
+from tidemark.operators.keyed import first_per_key, top_per_key
 from tidemark.session import cut
 
 TOP_N = 10
@@ -31,16 +31,16 @@ def transactions(lines: DataFrame, orders: DataFrame, products: DataFrame) -> Da
         .filter(F.col("product_group_id").isNotNull())
     )
 
-    def sets(id_col: str, tag: str, weight: float) -> DataFrame:
-        rows = bought.filter(F.col(id_col).isNotNull())
-        return rows.select(
-            F.concat(F.lit(tag), F.col(id_col)).alias("transaction"),
-            "product_group_id",
-            F.lit(weight).alias("weight"),
-        ).distinct()
+    def member(id_col: str, tag: str, weight: float) -> Column:
+        name = F.concat(F.lit(tag), F.col(id_col))
+        return F.when(name.isNotNull(), F.struct(name.alias("transaction"), F.lit(weight).alias("weight")))
 
-    both = sets("order_id", "o:", BASKET_WEIGHT).unionByName(sets("customer_id", "c:", CUSTOMER_WEIGHT))
-    return with_group_size(both, ["transaction"], "_size").filter("_size >= 2").drop("_size")
+    kinds = F.array_compact(F.array(
+        member("order_id", "o:", BASKET_WEIGHT), member("customer_id", "c:", CUSTOMER_WEIGHT)))
+    both = bought.select("product_group_id", F.inline(kinds)).distinct()
+    # A transaction has at most one row per product group here, so its window is bounded.
+    size = F.count(F.lit(1)).over(Window.partitionBy("transaction"))
+    return both.withColumn("_size", size).filter("_size >= 2").drop("_size")
 
 
 def neighbours(
