@@ -23,5 +23,9 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 def unit(a: Column | str) -> Column:
     """The vector divided by its length; null for the zero vector."""
-    length = F.nullif(norm(a), F.lit(0.0))
-    return F.when(length.isNotNull(), F.transform(_c(a), lambda x: x.cast("double") / length))
+    a = _c(a)
+    # The one-element array binds the length, which would be computed for each component.
+    lengths = F.array(F.nullif(norm(a), F.lit(0.0)))
+    scaled = F.transform(lengths, lambda n: F.when(
+        n.isNotNull(), F.transform(a, lambda x: x.cast("double") / n)))
+    return scaled[0]

@@ -7,8 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import vectors
-
 
 def pivot_max(axis: str, values: Mapping[str, object], measures: Mapping[str, str]) -> list[Column]:
     """max(measure) for each axis value, as columns of one aggregation.
@@ -52,9 +50,10 @@ def vector_mean(
     Keys whose sum is the zero vector have no direction and drop out.
     """
     parts = [F.sum(F.col(vector)[i].cast("double") * weight).alias(f"_c{i}") for i in range(dim)]
-    summed = df.groupBy(*keys).agg(*parts)
-    packed = summed.select(*keys, F.array(*[F.col(f"_c{i}") for i in range(dim)]).alias("_v"))
-    return packed.select(*keys, vectors.unit("_v").alias(name)).filter(F.col(name).isNotNull())
+    names = [f"_c{i}" for i in range(dim)]
+    square = sum((F.col(c) * F.col(c) for c in names[1:]), F.col(names[0]) * F.col(names[0]))
+    summed = df.groupBy(*keys).agg(*parts).withColumn("_length", F.sqrt(square)).filter("_length > 0")
+    return summed.select(*keys, F.array(*[F.col(c) / F.col("_length") for c in names]).alias(name))
 
 
 def scale_column(df: DataFrame, col: str, name: str, constant: float = 0.5) -> DataFrame:

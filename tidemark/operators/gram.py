@@ -89,8 +89,8 @@ def pair_sums(
     group. Returns item_a < item_b, dot, where dot is not zero. A hot block pair is split
     into `salts` parts by group and summed up afterwards.
     """
-    spark = df.sparkSession
-    salts = salts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = salts or max(partitions, 32)
     cell = F.struct(
         F.col(item).cast("bigint").alias("item"), F.col(value).cast("double").alias("value")
     )

@@ -81,22 +81,24 @@ def search_rerank(
     """
     pools = search_pools(requests, items)
     taste = customers.select("customer_id", "home_size", F.col("embedding").alias("_taste"))
+    near = F.coalesce(vectors.dot("_taste", "_group"), F.lit(0.0))
     rows = (
         requests.join(taste, "customer_id", "left")
         .join(pools, "query")
         .join(groups.select("product_group_id", F.col("embedding").alias("_group")),
               "product_group_id", "left")
+        .withColumns({"_near": near, "personalized": F.col("_taste").isNotNull()})
+        # The vectors end here; only numbers go through the shuffles below.
+        .drop("_taste", "_group")
         .join(cf.select("customer_id", "product_group_id", F.col("score").alias("_cf")),
               ["customer_id", "product_group_id"], "left")
+        .withColumn("_cf", F.coalesce("_cf", F.lit(0.0)))
     )
     mine = Window.partitionBy("request_id")
-    known = F.col("_taste").isNotNull()
-    near = F.coalesce(vectors.dot("_taste", "_group"), F.lit(0.0))
-    rows = rows.withColumns({"_near": near, "_cf": F.coalesce("_cf", F.lit(0.0))})
     personal = 0.6 * _scaled(F.col("_near"), mine) + 0.4 * _scaled(F.col("_cf"), mine)
-    final = F.when(known, 0.6 * F.col("base") + 0.4 * personal).otherwise(F.col("base"))
+    final = F.when(F.col("personalized"), 0.6 * F.col("base") + 0.4 * personal).otherwise(F.col("base"))
     fits = F.coalesce(F.col("size") == F.col("home_size"), F.lit(False)) | (F.col("size") == "One Size")
-    rows = rows.withColumns({"final": F.round(final, 9), "personalized": known, "_fits": fits})
+    rows = rows.withColumns({"final": F.round(final, 9), "_fits": fits})
     one = first_per_key(
         rows, ["request_id", "product_group_id"],
         [F.desc("_fits"), F.desc("final"), F.asc("variant_id")],

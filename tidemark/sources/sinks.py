@@ -50,9 +50,13 @@ def upsert(df: DataFrame, path: str, keys: Sequence[str], partition: str, order:
         write_full(incoming, path, [partition])
         return
     incoming = cut(incoming)
-    touched = incoming.select(partition).distinct()
+    # Partition values, not rows: as literals they prune the scan to the touched partitions.
+    touched = [r[0] for r in incoming.select(partition).distinct().collect()]
+    hit = F.col(partition).isin([v for v in touched if v is not None])
+    if None in touched:
+        hit = hit | F.col(partition).isNull()
     # Written out first: the partitions are read and then overwritten.
-    merged = cut(upserted(existing.join(touched, partition, "left_semi"), incoming, keys))
+    merged = cut(upserted(existing.filter(hit), incoming, keys))
     replace_slice(merged, path, partition)
 
 
