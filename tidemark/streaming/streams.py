@@ -155,17 +155,21 @@ def dedupe_stream(df: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
     return first_per_key(df, [key], [F.asc(ts)])
 
 
-def resolve_stream(requests: DataFrame, rejections: DataFrame, grace: str) -> DataFrame:
+def resolve_stream(
+    requests: DataFrame, rejections: DataFrame, grace: str, delay: str = "5 minutes"
+) -> DataFrame:
     """Final payment states: a request joined to a rejection within the grace time.
 
+    `delay` is how far messages may be out of order; results come out that much later.
+
     Streaming emits a request as rejected when the rejection arrives and as accepted
     when the watermark has passed its grace time. Pending payments are not final and
     do not come out; the batch plan reports them.
     """
-    req = requests.withWatermark("requested_at", "0 seconds").alias("q")
+    req = requests.withWatermark("requested_at", delay).alias("q")
     rej = rejections.select(
         F.col("payment_id").alias("rejected_id"), "rejected_at"
-    ).withWatermark("rejected_at", "0 seconds")
+    ).withWatermark("rejected_at", delay)
     condition = F.expr(
         "q.payment_id = rejected_id AND rejected_at >= requested_at "
         f"AND rejected_at <= requested_at + INTERVAL {grace}"

@@ -113,7 +113,8 @@ def r2(spark, sf):
     requests = payments.stage_requests(ad.raw_requests(spark, sf)).drop("consumed_at")
     rejections = payments.stage_rejections(ad.raw_rejections(spark, sf)).drop("consumed_at")
     out = streams.resolve_stream(
-        as_stream(requests, "r2-req", 1), as_stream(rejections, "r2-rej", 1), f"{ad.GRACE} MINUTES")
+        as_stream(requests, "r2-req", 1), as_stream(rejections, "r2-rej", 1), f"{ad.GRACE} MINUTES",
+        delay="0 seconds")
     return ntz(streams.run_append(out, "r2-out"), "requested_at", "rejected_at")
 
 
