@@ -10,6 +10,7 @@ from tidemark.functions.scalars import min_max, words
 from tidemark.operators.joins import lookup
 from tidemark.operators.keyed import first_per_key, top_per_key
 from tidemark.plans.reco.popularity import fallback
+from tidemark.session import cut
 
 POOL = 60
 
@@ -54,11 +55,12 @@ def search_pools(queries: DataFrame, items: DataFrame, size: int = POOL) -> Data
     # Variants with one text tie on relevance: no more than `size` of them can make the pool.
     short = top_per_key(items, ["search_text"], [F.desc("popularity"), F.asc("variant_id")], size)
     order = [F.desc("relevance"), F.desc("popularity"), F.asc("variant_id")]
-    matched = top_per_key(hits.join(short, "search_text"), ["query"], order, size)
+    # Small (at most `size` rows per query text) and read twice below.
+    matched = cut(top_per_key(hits.join(short, "search_text"), ["query"], order, size))
     # Nothing matched: the most popular variants, which are the same for all such queries.
     head = items.orderBy(F.desc("popularity"), "variant_id").limit(size)
     head = head.agg(F.collect_list(F.struct(*items.columns))).scalar()
-    unmatched = texts.join(hits.select("query").distinct(), "query", "left_anti").select(
+    unmatched = texts.join(matched.select("query").distinct(), "query", "left_anti").select(
         "query", F.inline(head)).withColumn("relevance", F.lit(0).cast("bigint"))
     pool = matched.unionByName(unmatched)
     mine = Window.partitionBy("query")
