@@ -45,11 +45,19 @@ def local_session(cores: str = "8", app: str = "tidemark", **conf: str) -> Spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: `spark.checkpoint.dir`, or a new one where unset."""
+    """The folder all executors see, as `spark.checkpoint.dir` names it.
+
+    Only a local session, where driver and executors are one process, may leave it unset and
+    gets a temporary folder. Anywhere else an unset folder is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
+        if named is None:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="tidemark-")
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
@@ -62,3 +70,10 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` on shared storage, so later reads neither recompute nor differ."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write `df` once as Parquet in the shared folder and return the table read back."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
