@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidemark.llm import chat, fingerprints, mixing, urls
+from tidemark.llm import chat, fingerprints, mixing, multiindex, packing, partenum, scoring, toxicity, urls, warc
 from tidemark.session import tune
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +72,42 @@ def op7(spark, sf_dir):
         [(-7, 0, "user", forged), (-7, 1, "assistant", forged)], "conv_id long, turn long, role string, text string"
     )
     return chat.digests(chat.segments(turns.unionByName(probe)))
+
+
+def tokenizer_path() -> str:
+    """The byte-level vocabulary of 50k tokens, as installed on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op1_packing")
+def op1(spark, sf_dir):
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op2_jaccard_join")
+def op2(spark, sf_dir):
+    return partenum.jaccard_components(read(spark, sf_dir, "documents"))
+
+
+@query("op4_lm_score")
+def op4(spark, sf_dir):
+    return scoring.score(read(spark, sf_dir, "documents"))
+
+
+@query("op5_warc")
+def op5(spark, sf_dir):
+    records = warc.write(read(spark, sf_dir, "pages")).read()
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op8_nearest")
+def op8(spark, sf_dir):
+    vectors = read(spark, sf_dir, "embeddings")
+    return multiindex.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+@query("op9_toxicity")
+def op9(spark, sf_dir):
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
