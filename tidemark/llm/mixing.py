@@ -93,24 +93,27 @@ def mix(
     budget_share: float = 1.5,
     max_epochs: int = 2,
     seed: int = 17,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Words taken of every document: doc_id, source, size, source_size, target, taken.
 
+    Columns named in `carry` stay with their rows; they are not shuffled by it, but for rows at
+    the edge of their source's share.
+
     Defined cases: a null text has size 0 and gives nothing; a null source is a source of its
     own, last in order; an empty table gives an empty result; a source of size 0 has target
     0; equal rows count each, and which of them stands at the edge is arbitrary but alike;
     documents of one order number follow by doc_id and size. Other columns are ignored. The
     words taken of a source are its target rounded to the nearest whole number.
     """
-    sized = stored(
-        docs.select(
-            "doc_id",
-            "source",
-            word_count(F.col("text")).alias("size"),
-            seeded_order(F.col("doc_id"), seed).alias("_order"),
-        ),
-        "mix-sizes",
+    rows = docs.select(
+        "doc_id",
+        "source",
+        *carry,
+        word_count(F.col("text")).alias("size"),
+        seeded_order(F.col("doc_id"), seed).alias("_order"),
     )
+    sized = stored(rows.drop(*carry), "mix-sizes")
     plan = (
         water_fill(source_weights(sized, weights), "weight", "source_size", budget_share, max_epochs)
         .withColumn("_words", F.floor(F.col("target") + 0.5))
@@ -152,7 +155,8 @@ def mix(
         .select(F.col("source").alias("_of"), "source_size", "target", "_whole", "_edge", "_in_edge"),
         "mix-edges",
     )
-    joined = sized.join(plan, F.col("source").eqNullSafe(F.col("_of")))
+    final = rows.withColumn("_slice", slice_) if carry else sized
+    joined = final.join(plan, F.col("source").eqNullSafe(F.col("_of")))
     inside = joined.filter((F.col("_slice") == F.col("_edge")) & F.col("_in_edge").isNotNull())
     run = Window.partitionBy("source").orderBy("_order", "doc_id", "size")
     run = run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -164,6 +168,7 @@ def mix(
     return outside.unionByName(inside).select(
         "doc_id",
         "source",
+        *carry,
         "size",
         "source_size",
         "target",

@@ -111,3 +111,10 @@ def op8(spark, sf_dir):
 @query("op9_toxicity")
 def op9(spark, sf_dir):
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
