@@ -9,11 +9,14 @@ sets share at least one value, for certain:
   scheme cuts the domain of elements into more parts than that; a differing element spoils
   one part, so some part is equal in both. One signature per part, of the elements in it.
   This is the enumeration with subsets of one part each, which has the fewest signatures.
-* Parts with one element or none say little and are left out, as long as the set has more
-  parts with two or more than it can differ in elements: one of them is then unspoiled. A set
-  with too few such parts also gives signatures of its non-empty parts of a finer cut, and,
-  if those are too few as well, one per element. Of two similar sets, the one that stops first
-  has an unspoiled part at a level at which the other one gives signatures too.
+* Parts with one element or none, or with frequent elements only, say little and are left out,
+  as long as the set has more telling parts than it can differ in elements: one of them is
+  then unspoiled. A set with too few telling parts also gives signatures of its non-empty parts
+  of a finer cut, and, if those are too few as well, one per element. Of two similar sets, the
+  one that stops first has an unspoiled part at a level at which the other one gives
+  signatures too. Whether a part is telling follows from its elements alone, so it is the same
+  in both sets. Which elements are frequent is estimated from a bounded sample of texts; that
+  changes how many pairs are compared, never which are found.
 
 Signatures and sets travel as packed arrays, one row per block of texts and bucket of values.
 Equal sets are one node of the join. In a group of sets that share a signature, all are
@@ -38,12 +41,16 @@ from tidemark.llm.words import from_planes, mix, planes, shingle_sets
 from tidemark.session import stored
 
 _U = np.uint64
+NONE = np.zeros(0, dtype=np.uint64)
 SIGNATURE_BYTES = 5
 ELEMENT_BYTES = 6
 # Signatures in a bucket, which one task holds; texts and signatures in a block of a task.
 BUCKET_SIGNATURES = 1_500_000
-BLOCK_TEXTS = 8192
-BLOCK_SIGNATURES = 2_000_000
+BLOCK_TEXTS = 4096
+BLOCK_SIGNATURES = 1_000_000
+# Texts, about, in which elements are counted, and how many of them make an element frequent.
+SAMPLE_TEXTS = 20_000
+FREQUENT = 3
 # Members of a group in one row.
 GROUP_ROW = 4096
 # Slots of the filter that says which texts are worth reading again.
@@ -90,28 +97,38 @@ class Bands:
         return tuple(s for s in out if s[2] > 0)  # a set that differs in none is the same node
 
 
-def part_signatures(elements: np.ndarray, spread: np.ndarray, parts: int, least: int, salt: int) -> np.ndarray:
-    """Signatures of the parts with at least `least` elements. Parts are ranges of hashes."""
+def part_signatures(
+    elements: np.ndarray, spread: np.ndarray, parts: int, salt: int, rare: np.ndarray | None = None
+) -> np.ndarray:
+    """Signatures of parts, which are ranges of hashes.
+
+    With `rare`, which marks elements, only parts of two or more of which one is rare.
+    """
     part = ((elements >> _U(32)) * _U(parts)) >> _U(32)
     starts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1))
-    sizes = np.diff(np.append(starts, len(elements)))
     sums = np.add.reduceat(spread, starts)
-    full = sizes >= least
+    full = np.ones(len(starts), dtype=bool)
+    if rare is not None:
+        full = (np.diff(np.append(starts, len(elements))) > 1) & (np.add.reduceat(rare, starts) > 0)
     with np.errstate(over="ignore"):
         return mix(sums[full] ^ mix(part[starts[full]] + _U(salt) * _U(0x9E3779B97F4A7C15)))
 
 
-def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
-    """All signatures of a set, given as sorted hashes of its elements."""
+def signatures(elements: np.ndarray, bands: Bands, frequent: np.ndarray = NONE) -> np.ndarray:
+    """All signatures of a set, given as sorted hashes of its elements; so are frequent ones."""
     if not len(elements):
         return elements
     out, spread = [], mix(elements)
+    rare = np.ones(len(elements), dtype=np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, elements), len(frequent) - 1)
+        rare = (frequent[at] != elements).astype(np.int64)
     for scheme, high, differ in bands.schemes(len(elements)):
-        coarse = part_signatures(elements, spread, max(2, -(-high * 4 // 11)), 2, 4 * scheme + 1)
+        coarse = part_signatures(elements, spread, max(2, -(-high * 4 // 11)), 4 * scheme + 1, rare)
         out.append(coarse)
         if len(coarse) > differ:
             continue
-        fine = part_signatures(elements, spread, max(2, -(-high * 5 // 11)), 1, 4 * scheme + 2)
+        fine = part_signatures(elements, spread, max(2, -(-high * 5 // 11)), 4 * scheme + 2)
         out.append(fine)
         if len(fine) > differ:
             continue
@@ -158,9 +175,53 @@ def describe(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, second long")
 
 
-def _blocks(docs: DataFrame, shingle: int, bands: Bands, bucket_bits: int) -> DataFrame:
+def frequent_elements(docs: DataFrame, texts: int, shingle: int, sample: int = SAMPLE_TEXTS) -> np.ndarray:
+    """Sorted elements that FREQUENT or more sets of a sample have.
+
+    `texts` is the number of texts. The sample has about `sample` of them by hash of the doc_id,
+    so what reaches the driver is bounded by their elements.
+    """
+    part = -(-texts // sample) if texts else 1
+    chosen = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0)
+
+    def run(batches):
+        held, size, seen = [], 0, set()
+
+        def flush():
+            elements = np.sort(np.concatenate(held))
+            bucket = (elements >> _U(58)).astype(np.int64)
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(elements)]))
+            rows = [planes(elements[a:b], 8) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(bucket[starts[:-1]].astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "elements"]
+            )
+
+        for _, elements in _sets(batches, shingle):
+            if len(elements) and node_of(elements) not in seen:
+                seen.add(node_of(elements))
+                held.append(elements)
+                size += len(elements)
+            if size > BLOCK_SIGNATURES:
+                yield flush()
+                held, size, seen = [], 0, set()
+        if held:
+            yield flush()
+
+    def count(table):
+        values = np.sort(np.concatenate([from_planes(x, 8) for x in table["elements"].to_pylist()]))
+        starts = np.concatenate(([0], np.flatnonzero(values[1:] != values[:-1]) + 1))
+        often = np.diff(np.append(starts, len(values))) >= FREQUENT
+        return pa.table([pa.array([planes(values[starts[often]], 8)], pa.binary())], names=["elements"])
+
+    packed = chosen.mapInArrow(run, "bucket int, elements binary")
+    found = packed.groupBy("bucket").applyInArrow(count, "elements binary").toArrow()["elements"].to_pylist()
+    return np.sort(np.concatenate([NONE, *[from_planes(x, 8) for x in found]]))
+
+
+def _blocks(docs: DataFrame, shingle: int, bands: Bands, bucket_bits: int, frequent: np.ndarray) -> DataFrame:
     """Rows of packed signatures: bucket, signatures, place of each one's node, nodes."""
     names = ["bucket", "signatures", "places", "nodes"]
+    known = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
         found, nodes, seen, n = [], [], set(), 0
@@ -188,7 +249,7 @@ def _blocks(docs: DataFrame, shingle: int, bands: Bands, bucket_bits: int) -> Da
             )
 
         for _, elements in _sets(batches, shingle):
-            sig = signatures(elements, bands)
+            sig = signatures(elements, bands, known.value)
             if not len(sig):
                 continue
             node, _ = node_of(elements)
@@ -371,7 +432,8 @@ def jaccard_components(docs: DataFrame, threshold: float = 0.8, shingle: int = 5
         int((totals["n"] or 0) * 0.6) // BUCKET_SIGNATURES,
     )
     bucket_bits = min(16, max(1, (buckets - 1).bit_length()))
-    found = stored(_groups(_blocks(docs, shingle, bands, bucket_bits)), "partenum-groups")
+    frequent = frequent_elements(docs, info.count(), shingle)
+    found = stored(_groups(_blocks(docs, shingle, bands, bucket_bits, frequent)), "partenum-groups")
     pairs = found.filter(F.col("b").isNotNull()).groupBy("a", "b").agg(F.sum("votes").alias("votes"))
     pairs = stored(_similar_sizes(pairs, nodes, limit), "partenum-pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
