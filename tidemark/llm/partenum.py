@@ -51,6 +51,9 @@ BLOCK_SIGNATURES = 1_000_000
 # Texts, about, in which elements are counted, and how many of them make an element frequent.
 SAMPLE_TEXTS = 20_000
 FREQUENT = 3
+# Bins of a sketch per element, and members of a group in a block that one task compares.
+SKETCH = 6
+GROUP_BLOCK = 2048
 # Members of a group in one row.
 GROUP_ROW = 4096
 # Slots of the filter that says which texts are worth reading again.
@@ -447,11 +450,13 @@ def jaccard_components(docs: DataFrame, threshold: float = 0.8, shingle: int = 5
     checked = stored(checked.unionByName(_linked(more, sets, limit)), "partenum-checked")
     parts = stored(components(checked.filter("linked"), "a", "b"), "partenum-parts")
 
-    # Groups in which the first member is not similar to all others.
-    rest = stored(_pairs_of_split_groups(found, checked, parts, nodes, limit), "partenum-rest")
-    ends = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    missing = ends.join(sets.select("node"), "node", "left_anti").join(nodes, "node").select("doc_id")
+    # Groups in which the first member is not similar to all others. A member whose size rules
+    # the first member out may be in no pair so far; its set is read now.
+    members, own = _split_groups(found, checked, parts)
+    missing = own.join(sets.select("node"), "node", "left_anti").join(nodes, "node").select("doc_id")
     sets = sets.unionByName(stored(_packed_sets(docs, missing, shingle), "partenum-elements"))
+    rest = _pairs_of_split_groups(members, own.join(nodes.select("node", "n"), "node"), sets, limit)
+    rest = stored(rest.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "partenum-rest")
     links = checked.unionByName(_linked(rest, sets, limit)).filter("linked")
     parts = components(links, "a", "b")
 
@@ -475,8 +480,30 @@ def _similar_sizes(pairs: DataFrame, nodes: DataFrame, threshold: Fraction) -> D
     ).drop("_na", "_nb")
 
 
-def _pairs_of_split_groups(found, checked, parts, nodes, threshold) -> DataFrame:
-    """Pairs within groups that are not connected, between sets that are still apart."""
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """Parities of the elements in bins, packed in words: at least SKETCH bins per element.
+
+    Two sets differ in at least as many elements as their parities differ in bins. The number of
+    bins is a power of two, and half as many follow from folding.
+    """
+    bins = 64
+    while bins < SKETCH * len(elements):
+        bins *= 2
+    odd = np.bincount((mix(elements) & _U(bins - 1)).astype(np.int64), minlength=bins).astype(np.uint8) & np.uint8(1)
+    return np.packbits(odd, bitorder="little").view(np.uint64)
+
+
+def folded(words: np.ndarray, n: int) -> np.ndarray:
+    """A sketch, or rows of sketches, with n words. Bin i folds onto bin i modulo the new number."""
+    while words.shape[-1] > n:
+        half = words.shape[-1] // 2
+        words = words[..., :half] ^ words[..., half:]
+    return words
+
+
+def _split_groups(found, checked, parts) -> tuple[DataFrame, DataFrame]:
+    """Members (group, node, size of the group) of groups that links do not connect, and every
+    such member once (node, component, groups)."""
     failed = checked.filter(~F.col("linked")).select("a").distinct()
     members = (
         found.filter(F.col("members").isNotNull())
@@ -485,18 +512,65 @@ def _pairs_of_split_groups(found, checked, parts, nodes, threshold) -> DataFrame
         .join(parts, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
     )
-    split = members.groupBy("group").agg(F.min("component").alias("_l"), F.max("component").alias("_h"))
-    members = members.join(split.filter(F.col("_l") != F.col("_h")).select("group"), "group", "left_semi")
-    members = members.join(nodes.select("node", "n"), "node")
     members = stored(members, "partenum-members")
-    left = members.select("group", F.col("node").alias("a"), F.col("component").alias("_ca"), F.col("n").alias("_na"))
-    right = members.select("group", F.col("node").alias("b"), F.col("component").alias("_cb"), F.col("n").alias("_nb"))
-    up, down = threshold.numerator, threshold.denominator
-    pairs = (
-        left.join(right, "group")
-        .filter((F.col("_ca") != F.col("_cb")) & (F.col("a") < F.col("b")))
-        .filter(F.least("_na", "_nb") * down >= F.greatest("_na", "_nb") * up)
-        .select("a", "b")
-        .distinct()
+    split = members.groupBy("group").agg(
+        F.min("component").alias("_l"), F.max("component").alias("_h"), F.count(F.lit(1)).alias("_n")
+    )
+    split = stored(split.filter(F.col("_l") != F.col("_h")).select("group", "_n"), "partenum-split")
+    members = stored(members.join(split, "group"), "partenum-members")
+    own = members.groupBy("node").agg(F.first("component").alias("component"), F.collect_set("group").alias("groups"))
+    return members.select("group", "node", "_n"), stored(own, "partenum-own")
+
+
+def _pairs_of_split_groups(members, own, sets, threshold) -> DataFrame:
+    """Pairs within split groups between sets that are still apart.
+
+    A task holds two blocks of members of a group. It compares their sizes and sketches and
+    returns the pairs that these leave open, each in one of the groups that both are in.
+    """
+    own = own.join(_sketches(sets), "node")
+    blocks = F.ceil(F.col("_n") / F.lit(GROUP_BLOCK)).cast("int")
+    placed = members.select("group", "node", blocks.alias("_blocks")).withColumn(
+        "_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
+    )
+    # Blocks i <= j meet at (i, j): a member of block k goes to all (k, j) and (i, k).
+    meets = F.transform(
+        F.sequence(F.lit(0), F.col("_blocks") - 1),
+        lambda other: F.struct(F.least(other, F.col("_block")).alias("i"), F.greatest(other, F.col("_block")).alias("j")),
     )
-    return pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    placed = placed.withColumn("_meets", F.explode(meets)).join(own, "node")
+    up, down = threshold.numerator, threshold.denominator
+
+    def compare(table):
+        columns = {c: table[c].to_pylist() for c in ("node", "component", "n", "groups", "sketch", "_block")}
+        group = table["group"][0].as_py()
+        i, j = table["_meets"][0].as_py()["i"], table["_meets"][0].as_py()["j"]
+        node, component, n = (np.array(columns[c], dtype=np.int64) for c in ("node", "component", "n"))
+        groups, block = columns["groups"], np.array(columns["_block"])
+        sketches = [np.frombuffer(x, dtype=np.uint64) for x in columns["sketch"]]
+        words = min(len(x) for x in sketches)
+        m = np.stack([folded(x, words) for x in sketches])
+        out = [[], []]
+        for at in np.flatnonzero(block == i).tolist():
+            later = (node > node[at]) if i == j else (block == j)
+            open_ = np.flatnonzero(
+                later & (component != component[at])
+                & (np.minimum(n, n[at]) * down >= np.maximum(n, n[at]) * up)
+            )
+            apart = np.bitwise_count(m[open_] ^ m[at]).sum(axis=1)
+            for other in open_[apart * (up + down) <= (n[open_] + n[at]) * (down - up)].tolist():
+                if min(set(groups[at]).intersection(groups[other])) == group:
+                    out[0].append(int(min(node[at], node[other])))
+                    out[1].append(int(max(node[at], node[other])))
+        return pa.table([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+
+    return placed.groupBy("group", "_meets").applyInArrow(compare, "a long, b long")
+
+
+def _sketches(sets: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            data = [sketch(from_planes(x.as_py(), ELEMENT_BYTES)).tobytes() for x in batch["elements"]]
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(data, pa.binary())], names=["node", "sketch"])
+
+    return sets.mapInArrow(run, "node long, sketch binary")
