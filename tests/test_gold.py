@@ -120,3 +120,11 @@ def test_missing_rank_sorts_last(spark):
 def test_vocabulary_default(spark):
     df = spark.createDataFrame([("x",), ("z",), (None,)], "v string")
     assert [r[0] for r in df.select(map_values("v", {"good": ["x"]}, "unknown")).collect()] == ["good", "unknown", "unknown"]
+
+
+def test_hours_without_plays_are_zero(spark):
+    from tidemark.plans import media
+
+    plays = spark.createDataFrame([(3, "a"), (3, "a"), (23, "b")], "played_hour int, track_id string")
+    got = {r["hour"]: (r["plays"], r["unique_tracks"]) for r in media.plays_by_hour(plays).collect()}
+    assert len(got) == 24 and got[3] == (2, 1) and got[23] == (1, 1) and got[0] == (0, 0)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import ordered
+from tidemark.operators.keyed import with_group_size
 from tidemark.operators.sessions import sessionize
 
 
@@ -83,3 +84,27 @@ def test_sessions_are_gaps_plus_one(history):
     out = sessionize(df, "key", "ts", "id", "12 hours").groupBy("key").agg(
         F.count_distinct("session_id").alias("n"))
     assert {r["key"]: r["n"] for r in out.collect()} == want.to_dict()
+
+
+def test_null_keys_times_and_values_match_plain_windows(spark):
+    """The two-level operators agree with one window per key where keys, times and values are null."""
+    from pyspark.sql import Window
+
+    rng = np.random.default_rng(9)
+    rows = [
+        (None if rng.random() < 0.4 else "k", None if rng.random() < 0.1 else int(rng.integers(0, 6)), i,
+         None if rng.random() < 0.4 else int(rng.integers(1, 9)))
+        for i in range(120)
+    ]
+    df = spark.createDataFrame(rows, "key string, day int, id int, n long")
+    w = Window.partitionBy("key").orderBy("day", "id")
+    want = df.withColumn("before", F.lag("n").over(w)).withColumn("after", F.lead("n").over(w)).withColumn(
+        "total", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
+        "size", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    order = ["day", "id"]
+    got = ordered.previous_value(df, ["key"], "n", order, F.col("day"), "before")
+    got = ordered.next_value(got, ["key"], "n", order, F.col("day"), "after")
+    got = ordered.running_total(got, ["key"], "n", order, F.col("day"), "total")
+    got = with_group_size(got, ["key"], "size")
+    names = ["id", "before", "after", "total", "size"]
+    assert sorted(map(tuple, got.select(names).collect())) == sorted(map(tuple, want.select(names).collect()))

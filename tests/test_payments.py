@@ -55,7 +55,13 @@ def test_look_back_window(spark):
     assert payments.look_back(rows, target.limit(0), "t", "t", 20).count() == 2
 
 
-def test_bucket_width_has_to_divide_an_hour():
+@pytest.mark.parametrize("minutes", [1, 5, 7, 45, 1440, 2000])
+def test_buckets_of_any_width_start_as_in_sql(spark, minutes):
+    import duckdb
+
     from tidemark.functions.timeparts import bucket_start
-    with pytest.raises(ValueError):
-        bucket_start("t", 7)
+    times = [datetime(1999, 12, 31, 23, 59), datetime(2000, 1, 3), datetime(2024, 2, 29, 12, 34, 56)]
+    df = spark.createDataFrame([(t,) for t in times], "t timestamp_ntz")
+    got = [r[0] for r in df.select("t", bucket_start("t", minutes).alias("b")).orderBy("t").select("b").collect()]
+    want = [duckdb.sql(f"SELECT time_bucket(INTERVAL {minutes} MINUTE, TIMESTAMP '{t}')").fetchall()[0][0] for t in times]
+    assert got == want

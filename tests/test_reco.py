@@ -157,3 +157,12 @@ def test_text_hits_find_words_inside_words(spark, rows):
     texts = spark.createDataFrame([("bored fox",), ("red",), ("blue",)], "search_text string")
     assert rows(activation.text_hits(queries, texts), "query", "search_text", "relevance") == [
         ("Red x RED", "bored fox", 3), ("Red x RED", "red", 2)]
+
+
+def test_words_of_four_languages_are_kept(spark):
+    from tidemark.plans.reco import embeddings
+
+    texts = ["größe über straße", "café naïve élève", "niño corazón año", "plain words stand"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    rows = embeddings.term_weights(df, "id", "text").collect()
+    assert all(r["row"].numNonzeros() == 3 for r in rows)

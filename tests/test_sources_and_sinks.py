@@ -89,3 +89,13 @@ def test_materialize_table(spark):
     sinks.materialize(spark.range(3), "tidemark_test_table", "table")
     assert spark.table("tidemark_test_table").count() == 3
     spark.sql("DROP TABLE tidemark_test_table")
+
+
+def test_upsert_keeps_columns_that_come_later(spark, tmp_path):
+    path = str(tmp_path / "evolving")
+    sinks.upsert(spark.createDataFrame([(1, 0, "a")], "id int, d int, x string"), path, ["id"], "d")
+    sinks.upsert(spark.createDataFrame([(2, 0, "b", "new")], "id int, d int, x string, y string"), path, ["id"], "d")
+    third = spark.createDataFrame([(3, 0, "c", "later")], "id int, d int, x string, y string")
+    df = sinks.materialize(third, path, "incremental", keys=["id"], partition="d")
+    got = sorted((r["id"], r["x"], r["y"]) for r in df.collect())
+    assert got == [(1, "a", None), (2, "b", "new"), (3, "c", "later")]

@@ -34,11 +34,15 @@ def partial_date(text: Column | str) -> Column:
     return F.to_date(filled)
 
 
+# Buckets of any width are counted from this Monday, as time_bucket() of other engines does.
+_BUCKET_ORIGIN_MINUTES = 946_857_600 // 60
+
+
 def bucket_start(ts: Column | str, minutes: int) -> Column:
-    """Start of the fixed-width bucket; the width has to divide an hour."""
-    if 60 % minutes:
-        raise ValueError("bucket width has to divide 60 minutes")
-    return F.window(_c(ts), f"{minutes} minutes")["start"]
+    """Start of the fixed-width bucket of any number of minutes, counted from 2000-01-03."""
+    offset = _BUCKET_ORIGIN_MINUTES % minutes
+    width = f"{minutes} minutes"
+    return F.window(_c(ts), width, width, f"{offset} minutes")["start"]
 
 
 def seconds_between(start: Column | str, end: Column | str) -> Column:

@@ -28,6 +28,13 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Order]) ->
     return top_per_key(df, keys, order, 1)
 
 
+def join_null_safe(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on `keys` where a null key matches a null key; the keys of `df` are kept."""
+    renamed = other.withColumnsRenamed({k: f"_other_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_other_{k}")) for k in keys]
+    return df.join(renamed, same, how).drop(*[f"_other_{k}" for k in keys])
+
+
 def with_group_size(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Row count of the group on every row.
 
@@ -35,7 +42,7 @@ def with_group_size(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     group into one task.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    return df.join(sizes, list(keys), "left")
+    return join_null_safe(df, sizes, keys)
 
 
 def mode_per_key(df: DataFrame, keys: Sequence[str], col: str, name: str) -> DataFrame:

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.keyed import join_null_safe
 from tidemark.session import cut
 
 _BUCKET = "_bucket"
@@ -46,7 +47,7 @@ def _neighbour(df, keys, value, order, bucket, name, after):
     )
     edges = _edges(tagged, keys, value, order, after)
     near = F.when(F.col("_inside"), F.col("_local")).otherwise(F.col("_carried"))
-    joined = local.join(edges, [*keys, _BUCKET], "left").withColumn(name, near)
+    joined = join_null_safe(local, edges, [*keys, _BUCKET]).withColumn(name, near)
     return joined.drop("_local", "_inside", "_carried", _BUCKET)
 
 
@@ -67,21 +68,18 @@ def next_value(
 def running_total(
     df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], bucket: Column, name: str
 ) -> DataFrame:
-    """sum(value) from the start of the key to the current row."""
+    """sum(value) from the start of the key to the current row; null while all values are null."""
     keys, order = list(keys), list(order)
     tagged = df.withColumn(_BUCKET, bucket)
     inside = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = tagged.groupBy(*keys, _BUCKET).agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, _BUCKET, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset")
-    )
+    offsets = totals.select(*keys, _BUCKET, F.sum("_sum").over(before).alias("_offset"))
     local = tagged.withColumn("_local", F.sum(value).over(inside))
-    joined = local.join(offsets, [*keys, _BUCKET], "left")
-    return joined.withColumn(name, F.col("_local") + F.col("_offset")).drop(
-        "_local", "_offset", _BUCKET
-    )
+    joined = join_null_safe(local, offsets, [*keys, _BUCKET])
+    both = F.coalesce(F.col("_local") + F.col("_offset"), F.col("_local"), F.col("_offset"))
+    return joined.withColumn(name, both).drop("_local", "_offset", _BUCKET)
 
 
 def rank_rows(

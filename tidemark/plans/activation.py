@@ -26,37 +26,62 @@ def catalogue(products: DataFrame, scores: DataFrame) -> DataFrame:
     )
 
 
-def text_hits(queries: DataFrame, texts: DataFrame) -> DataFrame:
-    """(query, search_text, relevance): how many words of the query occur inside the text.
+def asked_words(queries: DataFrame) -> DataFrame:
+    """(query, token, times): the words of every distinct query."""
+    tokens = queries.select("query").distinct().select("query", F.explode(words("query")).alias("token"))
+    return tokens.groupBy("query", "token").agg(F.count(F.lit(1)).alias("times"))
+
+
+def word_sets(tokens: DataFrame, texts: DataFrame) -> DataFrame:
+    """(search_text, found): the asked words that occur anywhere inside each text, sorted.
 
-    A word can sit anywhere in a text, so texts are indexed by all their pieces of up to
-    three characters. A word is looked up by its first piece and then checked in full,
-    which keeps it an equality join.
+    Texts are cut into all pieces that are as long as some asked word, and pieces meet whole
+    words, so the join is on a selective key. Texts without an asked word are left out.
     """
-    tokens = queries.select("query", F.explode(words("query")).alias("token"))
-    tokens = tokens.groupBy("query", "token").agg(F.count(F.lit(1)).alias("times"))
-    starts = F.sequence(F.lit(1), F.length("search_text"))
-    pieces = F.flatten(F.transform(starts, lambda i: F.transform(
-        F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substring(F.col("search_text"), i, n))))
-    index = texts.filter(F.length("search_text") > 0).select(
-        "search_text", F.explode(F.array_distinct(pieces)).alias("piece"))
-    probe = tokens.select("token").distinct().withColumn("piece", F.substring("token", 1, 3))
-    matched = probe.join(index, "piece").filter(F.col("search_text").contains(F.col("token")))
+    asked = tokens.select("token").distinct()
+    lengths = asked.agg(F.collect_set(F.length("token"))).scalar()
+    size = F.length("search_text")
+    cut_up = F.transform(
+        F.filter("_lengths", lambda n: (n > 0) & (n <= size)),
+        lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(F.col("search_text"), i, n)),
+    )
+    pieces = texts.withColumn("_lengths", lengths).select(
+        "search_text", F.explode(F.array_distinct(F.flatten(cut_up))).alias("token"))
     return (
-        tokens.join(matched.select("token", "search_text"), "token")
-        .groupBy("query", "search_text").agg(F.sum("times").alias("relevance"))
+        pieces.join(asked, "token").groupBy("search_text")
+        .agg(F.sort_array(F.collect_set("token")).alias("found"))
     )
 
 
+def set_relevance(tokens: DataFrame, sets: DataFrame) -> DataFrame:
+    """(query, found, relevance): how many words of the query are in each set of words."""
+    spread = sets.select("found").distinct().select("found", F.explode("found").alias("token"))
+    return tokens.join(spread, "token").groupBy("query", "found").agg(F.sum("times").alias("relevance"))
+
+
+def text_hits(queries: DataFrame, texts: DataFrame) -> DataFrame:
+    """(query, search_text, relevance): how many words of the query occur inside the text."""
+    tokens = asked_words(queries)
+    sets = word_sets(tokens, texts)
+    return set_relevance(tokens, sets).join(sets, "found").select("query", "search_text", "relevance")
+
+
 def search_pools(queries: DataFrame, items: DataFrame, size: int = POOL) -> DataFrame:
-    """Per distinct query text the best variants by relevance and popularity, with a base score."""
+    """Per distinct query text the best variants by relevance and popularity, with a base score.
+
+    Variants whose texts hold the same asked words are equally relevant to every query, so
+    the `size` most popular of each such set are enough, and queries meet sets, not texts.
+    """
     texts = queries.select("query").distinct()
-    hits = text_hits(texts, items.select("search_text").distinct())
-    # Variants with one text tie on relevance: no more than `size` of them can make the pool.
-    short = top_per_key(items, ["search_text"], [F.desc("popularity"), F.asc("variant_id")], size)
+    tokens = cut(asked_words(queries))
+    sets = cut(word_sets(tokens, items.select("search_text").distinct()))
+    short = top_per_key(
+        items.join(sets, "search_text"), ["found"], [F.desc("popularity"), F.asc("variant_id")], size)
     order = [F.desc("relevance"), F.desc("popularity"), F.asc("variant_id")]
+    hits = set_relevance(tokens, sets).join(short, "found").drop("found").select(
+        "query", *items.columns, "relevance")
     # Small (at most `size` rows per query text) and read twice below.
-    matched = cut(top_per_key(hits.join(short, "search_text"), ["query"], order, size))
+    matched = cut(top_per_key(hits, ["query"], order, size))
     # Nothing matched: the most popular variants, which are the same for all such queries.
     head = items.orderBy(F.desc("popularity"), "variant_id").limit(size)
     head = head.agg(F.collect_list(F.struct(*items.columns))).scalar()

@@ -27,7 +27,7 @@ DIM = 32
 def term_weights(df: DataFrame, key: str, text: str, terms: int = TERMS) -> DataFrame:
     """Unit-length tf-idf vectors over the `terms` most frequent words: (key, row)."""
     words = RegexTokenizer(
-        inputCol=text, outputCol="_words", pattern=r"\b\w\w+\b", gaps=False, toLowercase=True
+        inputCol=text, outputCol="_words", pattern=r"(?U)\b\w\w+\b", gaps=False, toLowercase=True
     ).transform(df.select(key, text).filter(F.col(text).isNotNull()))
     kept = StopWordsRemover(inputCol="_words", outputCol="_kept").transform(words)
     counter = CountVectorizer(inputCol="_kept", outputCol="_tf", vocabSize=terms, minDF=1.0)

@@ -16,9 +16,14 @@ def write_full(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> No
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table with the columns of all its partitions; absent ones are null."""
+    return spark.read.option("mergeSchema", "true").parquet(path)
+
+
 def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.parquet(path)
+        return read_table(spark, path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -41,7 +46,8 @@ def upsert(df: DataFrame, path: str, keys: Sequence[str], partition: str, order:
 
     The table is partitioned by `partition`, which has to follow from the keys (a day of
     the key timestamp, a hash bucket of the key), so an upsert reads and rewrites only
-    the partitions its rows fall in. `order` picks among incoming rows of one key.
+    the partitions its rows fall in. `order` picks among incoming rows of one key. Columns
+    may come and go: rows keep what they were stored with, and have null in other columns.
     """
     spark = df.sparkSession
     incoming = first_per_key(df, keys, order) if order else df
@@ -79,5 +85,5 @@ def materialize(df: DataFrame, name: str, kind: str = "view", **upsert_options)
         return spark.table(name)
     if kind == "incremental":
         upsert(df, name, **upsert_options)
-        return spark.read.parquet(name)
+        return read_table(spark, name)
     raise ValueError(f"unknown kind {kind!r}")

@@ -413,6 +413,13 @@ def a18(spark, sf):
         F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
+@query("a18_time_bucket_any_width", f"""
+SELECT time_bucket(INTERVAL 7 MINUTE, ts) AS bucket, count(*) AS n, {R("sum(value)", 2)} AS total FROM events GROUP BY 1""")
+def a18_any_width(spark, sf):
+    return t(spark, sf, "events").groupBy(tp.bucket_start("ts", 7).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
 @query("a19_percent_true", f"""
 SELECT l_suppkey, {R("100.0::DOUBLE * avg(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)", 1)} AS pct FROM lineitem GROUP BY 1""")
 def a19(spark, sf):
@@ -435,31 +442,37 @@ def _order_days():
     return ordered.day_bucket("o_orderdate", 365)
 
 
+def _null_customers(spark, sf):
+    """Orders with a customer group that is null for one in fifty customers."""
+    return t(spark, sf, "orders").withColumn("_cust", F.expr("nullif(o_custkey % 50, 7)"))
+
+
 @query("w2_lag", """
 SELECT o_orderkey, lag(o_orderdate) OVER w AS before, coalesce(o_orderdate - lag(o_orderdate) OVER w > INTERVAL 90 DAY, true) AS long_gap
-FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
+FROM orders WINDOW w AS (PARTITION BY nullif(o_custkey % 50, 7) ORDER BY o_orderdate, o_orderkey)""")
 def w2(spark, sf):
     rows = ordered.previous_value(
-        t(spark, sf, "orders"), ["o_custkey"], "o_orderdate", ["o_orderdate", "o_orderkey"], _order_days(), "before")
+        _null_customers(spark, sf), ["_cust"], "o_orderdate", ["o_orderdate", "o_orderkey"], _order_days(), "before")
     gap = F.col("o_orderdate") - F.col("before") > F.expr("INTERVAL 90 DAYS")
     return rows.select("o_orderkey", "before", F.coalesce(gap, F.lit(True)).alias("long_gap"))
 
 
 @query("w3_running_sum", """
-SELECT o_orderkey, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
+SELECT o_orderkey, CAST(sum(CASE WHEN o_orderkey % 3 > 0 THEN CAST(floor(o_totalprice) AS BIGINT) END) OVER (
+  PARTITION BY nullif(o_custkey % 50, 7) ORDER BY o_orderdate, o_orderkey
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS spent FROM orders""")
 def w3(spark, sf):
-    rows = t(spark, sf, "orders").withColumn("amount", F.floor("o_totalprice"))
-    out = ordered.running_total(rows, ["o_custkey"], "amount", ["o_orderdate", "o_orderkey"], _order_days(), "spent")
+    rows = _null_customers(spark, sf).withColumn("amount", F.when(F.col("o_orderkey") % 3 > 0, F.floor("o_totalprice")))
+    out = ordered.running_total(rows, ["_cust"], "amount", ["o_orderdate", "o_orderkey"], _order_days(), "spent")
     return out.select("o_orderkey", "spent")
 
 
 @query("w4_lead_validity", """
 SELECT o_orderkey, o_orderdate AS valid_from, lead(o_orderdate) OVER w AS valid_to, lead(o_orderdate) OVER w IS NULL AS is_current
-FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
+FROM orders WINDOW w AS (PARTITION BY nullif(o_custkey % 50, 7) ORDER BY o_orderdate, o_orderkey)""")
 def w4(spark, sf):
     rows = ordered.next_value(
-        t(spark, sf, "orders"), ["o_custkey"], "o_orderdate", ["o_orderdate", "o_orderkey"], _order_days(), "valid_to")
+        _null_customers(spark, sf), ["_cust"], "o_orderdate", ["o_orderdate", "o_orderkey"], _order_days(), "valid_to")
     return rows.select("o_orderkey", F.col("o_orderdate").alias("valid_from"), "valid_to",
                        F.col("valid_to").isNull().alias("is_current"))
 
@@ -491,9 +504,10 @@ def w7(spark, sf):
     return ordered.deciles(ranked, "rn", "decile").select("c_custkey", "decile")
 
 
-@query("w8_group_size", "SELECT l_orderkey, l_partkey, l_quantity, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem")
+@query("w8_group_size", "SELECT l_orderkey, l_partkey, l_quantity, count(*) OVER (PARTITION BY nullif(l_suppkey % 30, 4)) AS n FROM lineitem")
 def w8(spark, sf):
-    return keyed.with_group_size(t(spark, sf, "lineitem"), ["l_suppkey"], "n").select(
+    rows = t(spark, sf, "lineitem").withColumn("_supp", F.expr("nullif(l_suppkey % 30, 4)"))
+    return keyed.with_group_size(rows, ["_supp"], "n").select(
         "l_orderkey", "l_partkey", "l_quantity", "n")
 
 

@@ -420,10 +420,13 @@ def q8(spark, sf):
     return quality.freshness_anomalies(source(spark, sf, "events"), "ts").withColumn("z_score", F.round("z_score", 6))
 
 
-@query("q12_row_counts", """
-SELECT 'orders' AS "table", count(*) AS rows FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem""")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+          "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query("q12_row_counts", " UNION ALL ".join(f"SELECT '{n}' AS \"table\", count(*) AS rows FROM {n}" for n in TABLES))
 def q12_rows(spark, sf):
-    return profile.row_counts({n: source(spark, sf, n) for n in ("orders", "lineitem")})
+    return profile.row_counts({n: source(spark, sf, n) for n in TABLES})
 
 
 @query("q12_identification_rate", f"""

@@ -118,12 +118,13 @@ def r2(spark, sf):
     return ntz(streams.run_append(out, "r2-out"), "requested_at", "rejected_at")
 
 
-EARLIER = "2024-01-20 12:00:00"
+# An earlier evaluation, ten days before the newest event.
+EARLIER_SQL = f"({ad.CLOCK_SQL} - INTERVAL 10 DAY)"
 piece("status_then", f"""
-SELECT payment_id, amount, requested_at, CASE WHEN rejected_at <= TIMESTAMP '{EARLIER}' THEN rejected_at END AS rejected_at,
- CASE WHEN rejected_at <= TIMESTAMP '{EARLIER}' THEN 'rejected'
-      WHEN TIMESTAMP '{EARLIER}' >= requested_at + INTERVAL {ad.GRACE} MINUTE THEN 'accepted' ELSE 'pending' END AS status
-FROM pay_status WHERE requested_at <= TIMESTAMP '{EARLIER}'""")
+SELECT payment_id, amount, requested_at, CASE WHEN rejected_at <= {EARLIER_SQL} THEN rejected_at END AS rejected_at,
+ CASE WHEN rejected_at <= {EARLIER_SQL} THEN 'rejected'
+      WHEN {EARLIER_SQL} >= requested_at + INTERVAL {ad.GRACE} MINUTE THEN 'accepted' ELSE 'pending' END AS status
+FROM pay_status WHERE requested_at <= {EARLIER_SQL}""")
 
 
 piece("status_again", f"""
@@ -137,7 +138,8 @@ SELECT * FROM status_then t WHERE NOT EXISTS (FROM status_again a WHERE a.paymen
 def r3(spark, sf):
     requests = payments.stage_requests(ad.raw_requests(spark, sf))
     rejections = payments.stage_rejections(ad.raw_rejections(spark, sf))
-    then = F.lit(EARLIER).cast("timestamp")
+    now = ad.clock(spark, sf).cast("timestamp")
+    then = now - F.expr("INTERVAL 10 DAYS")
     path = scratch_path(spark, "r3")
 
     def save(status):
@@ -149,7 +151,7 @@ def r3(spark, sf):
     stored = spark.read.parquet(path)
     recent = payments.look_back(requests, stored, "requested_at", "requested_at", ad.LOOK_BACK)
     late = payments.look_back(rejections, stored, "rejected_at", "requested_at", ad.LOOK_BACK)
-    save(payments.payment_status(recent, late, F.lit(ad.CLOCK).cast("timestamp"), ad.GRACE))
+    save(payments.payment_status(recent, late, now, ad.GRACE))
     return ntz(spark.read.parquet(path).drop("day"), "requested_at", "rejected_at")
 
 
@@ -157,7 +159,7 @@ def r3(spark, sf):
 def r4(spark, sf):
     status = payments.payment_status(
         payments.stage_requests(ad.raw_requests(spark, sf)), payments.stage_rejections(ad.raw_rejections(spark, sf)),
-        F.lit(ad.CLOCK).cast("timestamp"), ad.GRACE).drop("status_evaluated_at")
+        ad.clock(spark, sf).cast("timestamp"), ad.GRACE).drop("status_evaluated_at")
     buckets = streams.bucket_stream(as_stream(status, "r4"), "5 minutes", "40 days")
     out = ntz(streams.run_log(buckets, ["request_bucket"], "r4-out"), "request_bucket")
     return out.withColumns({c: F.round(c, 2) for c in AMOUNTS})
