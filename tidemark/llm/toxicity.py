@@ -6,8 +6,9 @@ p E+[l(g)] + max(0, Eu[l(-g)] - p E+[l(-g)]): what the unlabelled texts say abou
 less the part that positives have in it. Where the bracket would turn negative, which is where
 the classifier begins to learn positives by heart, a step is taken back instead.
 
-Features of a text are which words it has and which beginnings of words, hashed. Those that
-are clearly more frequent in positives than in unlabelled texts go into a linear model.
+Features of a text are which words it has and which beginnings of words, hashed. What only
+toxic texts have is about 1/p times as frequent in positives as in unlabelled texts; features
+that come near that, with enough evidence, go into a linear model. The loss is the sigmoid.
 """
 
 from __future__ import annotations
@@ -66,8 +67,8 @@ def text_features(texts: pa.Array, number: np.ndarray | None = None) -> tuple[np
     return features, np.searchsorted(owner, np.arange(len(bounds)))
 
 
-def select(positive: np.ndarray, unlabelled: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
-    """Features that positives have at least twice as often, from counts of texts."""
+def select(positive: np.ndarray, unlabelled: np.ndarray, n_p: int, n_u: int, prior: float) -> np.ndarray:
+    """Features that hardly any but toxic texts have, from counts of texts with each feature."""
     share = (positive + unlabelled) / max(1, n_p + n_u)
 
     def part(k, n):
@@ -77,7 +78,9 @@ def select(positive: np.ndarray, unlabelled: np.ndarray, n_p: int, n_u: int) ->
             )
 
     evidence = 2 * (part(positive, n_p) + part(unlabelled, n_u))
-    good = (positive >= LEAST_POSITIVES) & (positive / n_p > 2 * unlabelled / n_u) & (evidence >= EVIDENCE)
+    # Of the unlabelled texts with a feature, at least two thirds should be toxic ones.
+    telling = unlabelled / n_u < 1.5 * prior * positive / n_p
+    good = (positive >= LEAST_POSITIVES) & telling & (evidence >= EVIDENCE)
     found = np.flatnonzero(good)
     return np.sort(found[np.argsort(-evidence[found], kind="stable")[:MOST_FEATURES]])
 
@@ -102,13 +105,11 @@ def fit(
     unlabelled: list[np.ndarray],
     features: int,
     prior: float,
-    epochs: int = 60,
-    batch: int = 1024,
+    steps: int = 600,
     rate: float = 0.05,
-    decay: float = 1e-5,
-    seed: int = 11,
+    decay: float = 1e-4,
 ) -> tuple[np.ndarray, float]:
-    """Minimise the non-negative risk with Adam over mini-batches, logistic loss: weights and bias.
+    """Minimise the non-negative risk with Adam over all rows at once: weights and bias.
 
     Without positives or unlabelled texts there is nothing to learn and the score is near 0.
     """
@@ -116,30 +117,25 @@ def fit(
     w[-1] = np.log(prior / (1 - prior))
     if not positives or not unlabelled:
         return w[:-1], -10.0
+    rows, n_p, n_u = positives + unlabelled, len(positives), len(unlabelled)
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    flat = np.concatenate(rows).astype(np.int64)
     mean, square = np.zeros_like(w), np.zeros_like(w)
-    rng = np.random.default_rng(seed)
-    step, n_p = 0, min(len(positives), 256)
-    for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(unlabelled)), -(-len(unlabelled) // batch)):
-            chosen = rng.choice(len(positives), n_p, replace=False)
-            rows = [positives[i] for i in chosen] + [unlabelled[i] for i in part]
-            owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-            flat = np.concatenate(rows).astype(np.int64)
-            margin = np.bincount(owner, w[flat], minlength=len(rows)) + w[-1]
-            sigmoid = 1 / (1 + np.exp(-np.clip(margin, -60, 60)))
-            soft = np.logaddexp(0, margin)
-            negative = soft[n_p:].mean() - prior * soft[:n_p].mean()
-            # Derivatives of the risk by the margin of each text.
-            d = np.concatenate([-prior * sigmoid[:n_p] / n_p, sigmoid[n_p:] / len(part)])
-            if negative >= 0:
-                d[:n_p] -= prior * (1 - sigmoid[:n_p]) / n_p
-            else:
-                d = -d
-            slope = np.append(np.bincount(flat, d[owner], minlength=features) + decay * w[:-1], d.sum())
-            step += 1
-            mean = 0.9 * mean + 0.1 * slope
-            square = 0.99 * square + 0.01 * slope * slope
-            w = w - rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+    for step in range(1, steps + 1):
+        margin = np.bincount(owner, w[flat], minlength=len(rows)) + w[-1]
+        toxic = 1 / (1 + np.exp(-np.clip(margin, -60, 60)))
+        # The sigmoid loss of a text taken as clean is its score; its slope is the same either way.
+        negative = toxic[n_p:].mean() - prior * toxic[:n_p].mean()
+        slope = toxic * (1 - toxic)
+        d = np.concatenate([-prior * slope[:n_p] / n_p, slope[n_p:] / n_u])
+        if negative >= 0:
+            d[:n_p] -= prior * slope[:n_p] / n_p
+        else:
+            d = -d
+        change = np.append(np.bincount(flat, d[owner], minlength=features) + decay * w[:-1], d.sum())
+        mean = 0.9 * mean + 0.1 * change
+        square = 0.99 * square + 0.01 * change * change
+        w = w - rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
@@ -221,7 +217,7 @@ def train(
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not sizes.get(True) or not sizes.get(False):
         return nothing
-    kept = select(positive, unlabelled, sizes[True], sizes[False])
+    kept = select(positive, unlabelled, sizes[True], sizes[False], prior)
     number = np.full(DIMENSIONS, -1)
     number[kept] = np.arange(len(kept))
     return Classifier(number, *fit(*_kept_features(sample, number), len(kept), prior))
