@@ -54,6 +54,8 @@ FREQUENT = 3
 # Bins of a sketch per element, and members of a group in a block that one task compares.
 SKETCH = 6
 GROUP_BLOCK = 2048
+# Groups of so many members at most give their pairs away; the number is linear in members.
+SMALL_GROUP = 32
 # Members of a group in one row.
 GROUP_ROW = 4096
 # Slots of the filter that says which texts are worth reading again.
@@ -452,11 +454,15 @@ def jaccard_components(docs: DataFrame, threshold: float = 0.8, shingle: int = 5
 
     # Groups in which the first member is not similar to all others. A member whose size rules
     # the first member out may be in no pair so far; its set is read now.
-    members, own = _split_groups(found, checked, parts)
-    missing = own.join(sets.select("node"), "node", "left_anti").join(nodes, "node").select("doc_id")
+    members = _split_groups(found, checked, parts, nodes)
+    known = members.select("node").distinct()
+    missing = known.join(sets.select("node"), "node", "left_anti").join(nodes, "node").select("doc_id")
     sets = sets.unionByName(stored(_packed_sets(docs, missing, shingle), "partenum-elements"))
-    rest = _pairs_of_split_groups(members, own.join(nodes.select("node", "n"), "node"), sets, limit)
-    rest = stored(rest.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "partenum-rest")
+    sketches = stored(_sketches(sets.join(known, "node", "left_semi")), "partenum-sketches")
+    small = _pairs_of_small_groups(members, limit).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    large = _pairs_of_large_groups(members, sketches, limit).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    rest = _left_open(stored(small, "partenum-small"), sketches, limit).unionByName(large)
+    rest = stored(rest.distinct(), "partenum-rest")
     links = checked.unionByName(_linked(rest, sets, limit)).filter("linked")
     parts = components(links, "a", "b")
 
@@ -501,9 +507,8 @@ def folded(words: np.ndarray, n: int) -> np.ndarray:
     return words
 
 
-def _split_groups(found, checked, parts) -> tuple[DataFrame, DataFrame]:
-    """Members (group, node, size of the group) of groups that links do not connect, and every
-    such member once (node, component, groups)."""
+def _split_groups(found, checked, parts, nodes) -> DataFrame:
+    """Members of groups that links do not connect: group, node, component, n, size of the group."""
     failed = checked.filter(~F.col("linked")).select("a").distinct()
     members = (
         found.filter(F.col("members").isNotNull())
@@ -516,19 +521,60 @@ def _split_groups(found, checked, parts) -> tuple[DataFrame, DataFrame]:
     split = members.groupBy("group").agg(
         F.min("component").alias("_l"), F.max("component").alias("_h"), F.count(F.lit(1)).alias("_n")
     )
-    split = stored(split.filter(F.col("_l") != F.col("_h")).select("group", "_n"), "partenum-split")
-    members = stored(members.join(split, "group"), "partenum-members")
-    own = members.groupBy("node").agg(F.first("component").alias("component"), F.collect_set("group").alias("groups"))
-    return members.select("group", "node", "_n"), stored(own, "partenum-own")
+    split = split.filter(F.col("_l") != F.col("_h")).select("group", "_n")
+    return stored(members.join(split, "group").join(nodes.select("node", "n"), "node"), "partenum-members")
+
+
+def _pairs_of_small_groups(members, threshold) -> DataFrame:
+    """Pairs (a, b) of sets of similar size that are apart, of groups up to SMALL_GROUP members."""
+    up, down = threshold.numerator, threshold.denominator
+    lists = (
+        members.filter(F.col("_n") <= SMALL_GROUP).groupBy("group")
+        .agg(F.collect_list(F.struct("node", "component", "n")).alias("all"))
+    )
+
+    def partners(x):
+        fits = lambda y: (
+            (x["node"] < y["node"]) & (x["component"] != y["component"])
+            & (F.least(x["n"], y["n"]) * down >= F.greatest(x["n"], y["n"]) * up)
+        )
+        return F.transform(F.filter("all", fits), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))
+
+    pairs = lists.select(F.explode(F.flatten(F.transform("all", partners))).alias("pair"))
+    return pairs.select("pair.a", "pair.b").distinct()
+
+
+def _left_open(pairs, sketches, threshold) -> DataFrame:
+    """The pairs that sizes and sketches do not rule out."""
+    up, down = threshold.numerator, threshold.denominator
+    with_b = pairs.join(sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+    with_both = with_b.join(
+        sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a"
+    )
+
+    def run(batches):
+        for batch in batches:
+            open_ = []
+            for na, nb, sa, sb in zip(batch["na"].to_pylist(), batch["nb"].to_pylist(), batch["sa"], batch["sb"]):
+                x, y = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (sa, sb))
+                words = min(len(x), len(y))
+                apart = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
+                open_.append(apart * (up + down) <= (na + nb) * (down - up))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(open_, pa.bool_()))
 
+    return with_both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
-def _pairs_of_split_groups(members, own, sets, threshold) -> DataFrame:
-    """Pairs within split groups between sets that are still apart.
 
-    A task holds two blocks of members of a group. It compares their sizes and sketches and
-    returns the pairs that these leave open, each in one of the groups that both are in.
+def _pairs_of_large_groups(members, sketches, threshold) -> DataFrame:
+    """The same of larger groups: pairs that sizes and sketches do not rule out.
+
+    A task holds two blocks of members of a group and compares them. It returns a pair in one
+    of the groups only that both sets are in.
     """
-    own = own.join(_sketches(sets), "node")
+    members = members.filter(F.col("_n") > SMALL_GROUP)
+    # Every member with its sketch and the groups it is in, so that a pair is returned once.
+    own = members.groupBy("node").agg(F.first("component").alias("component"), F.collect_set("group").alias("groups"))
+    own = own.join(sketches, "node")
     blocks = F.ceil(F.col("_n") / F.lit(GROUP_BLOCK)).cast("int")
     placed = members.select("group", "node", blocks.alias("_blocks")).withColumn(
         "_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
@@ -568,9 +614,15 @@ def _pairs_of_split_groups(members, own, sets, threshold) -> DataFrame:
 
 
 def _sketches(sets: DataFrame) -> DataFrame:
+    """(node, n, sketch): the size and the sketch of every set."""
+
     def run(batches):
         for batch in batches:
-            data = [sketch(from_planes(x.as_py(), ELEMENT_BYTES)).tobytes() for x in batch["elements"]]
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(data, pa.binary())], names=["node", "sketch"])
+            elements = [from_planes(x.as_py(), ELEMENT_BYTES) for x in batch["elements"]]
+            yield pa.RecordBatch.from_arrays(
+                [batch["node"], pa.array([len(x) for x in elements], pa.int64()),
+                 pa.array([sketch(x).tobytes() for x in elements], pa.binary())],
+                names=["node", "n", "sketch"],
+            )
 
-    return sets.mapInArrow(run, "node long, sketch binary")
+    return sets.mapInArrow(run, "node long, n long, sketch binary")
