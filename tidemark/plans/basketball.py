@@ -12,12 +12,12 @@ from tidemark.operators.conform import conform_wide
 from tidemark.operators.keyed import mode_per_key
 
 # Raw names the snake-case rule does not cover, and 0/1 columns.
-TEAM_PREFIXES = {
-    f"{side}team{part}": f"{side}_team_{part.lower()}"
-    for side in ("home", "away", "opponent")
-    for part in ("Id", "City", "Name")
-} | {f"playerteam{part}": f"player_team_{part.lower()}" for part in ("Id", "City", "Name")}
-RENAMES = TEAM_PREFIXES | {
+RENAMES = {
+    "hometeamId": "home_team_id", "hometeamCity": "home_team_city", "hometeamName": "home_team_name",
+    "awayteamId": "away_team_id", "awayteamCity": "away_team_city", "awayteamName": "away_team_name",
+    "opponentteamId": "opponent_team_id", "opponentteamCity": "opponent_team_city",
+    "opponentteamName": "opponent_team_name", "playerteamId": "player_team_id",
+    "playerteamCity": "player_team_city", "playerteamName": "player_team_name",
     "winner": "winner_team_id", "numMinutes": "minutes_played", "gameDateTimeEst": "game_datetime_est",
 }
 GAME_FLAGS = {"home": "is_home", "win": "is_win"}

@@ -85,4 +85,5 @@ def plays_by_hour(plays: DataFrame) -> DataFrame:
 
 
 def newest_plays(plays: DataFrame, n: int = 50) -> DataFrame:
-    return plays.orderBy(F.desc("played_at")).limit(n)
+    """The `n` newest plays, ties by track."""
+    return plays.orderBy(F.desc("played_at"), "track_id").limit(n)

@@ -19,13 +19,9 @@ class Cube:
     measures: dict[str, tuple[str, Column | str] | None] = field(default_factory=dict)
 
 
-def _measures(spec: str) -> dict:
-    """'sum:games_played avg:x' -> {'sum_games_played': ('sum', 'games_played'), …} plus count."""
-    out: dict = {"count": None}
-    for part in spec.split():
-        kind, column = part.split(":")
-        out[f"{kind}_{column}"] = (kind, column)
-    return out
+def _measures(*pairs: tuple[str, str]) -> dict:
+    """Measures named after their kind and column, plus a count."""
+    return {"count": None} | {f"{kind}_{column}": (kind, column) for kind, column in pairs}
 
 
 def home_win_rate() -> tuple[str, Column]:
@@ -37,32 +33,43 @@ def cubes() -> dict[str, Cube]:
         "nba_game_results": Cube(
             ("game_id", "game_date", "game_type", "home_team_name", "away_team_name", "arena_name",
              "home_team_won"),
-            _measures("avg:point_margin avg:home_score avg:away_score")
+            _measures(("avg", "point_margin"), ("avg", "home_score"), ("avg", "away_score"))
             | {"home_win_rate": home_win_rate()},
         ),
         "nba_player_season_stats": Cube(
             ("person_id", "first_name", "last_name", "season_start_year", "season_label",
              "game_type", "primary_team_id"),
             _measures(
-                "sum:games_played sum:total_points max:total_points sum:total_rebounds "
-                "sum:total_assists sum:total_steals sum:total_blocks sum:total_turnovers "
-                "avg:points_per_game max:points_per_game avg:rebounds_per_game "
-                "avg:assists_per_game avg:field_goal_pct avg:three_point_pct avg:free_throw_pct"
-            ) | {"sum_games_played": ("sum", "games_played")},
+                ("sum", "games_played"),
+                ("sum", "total_points"),
+                ("max", "total_points"),
+                ("sum", "total_rebounds"),
+                ("sum", "total_assists"),
+                ("sum", "total_steals"),
+                ("sum", "total_blocks"),
+                ("sum", "total_turnovers"),
+                ("avg", "points_per_game"),
+                ("max", "points_per_game"),
+                ("avg", "rebounds_per_game"),
+                ("avg", "assists_per_game"),
+                ("avg", "field_goal_pct"),
+                ("avg", "three_point_pct"),
+                ("avg", "free_throw_pct"),
+            ),
         ),
         "nba_team_dim": Cube(
             ("team_id", "current_full_name", "current_league", "has_relocated_or_renamed"),
-            _measures(""),
+            _measures(),
         ),
         "spotify_top_artists": Cube(
             ("artist_id", "artist_name", "genres", "rank_short_term", "rank_medium_term",
              "rank_long_term"),
-            _measures("avg:popularity max:followers"),
+            _measures(("avg", "popularity"), ("max", "followers")),
         ),
         "spotify_top_tracks": Cube(
             ("track_id", "track_name", "artist_names", "album_name", "explicit", "rank_short_term",
              "rank_medium_term", "rank_long_term"),
-            _measures("avg:popularity max:popularity"),
+            _measures(("avg", "popularity"), ("max", "popularity")),
         ),
     }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import joined
@@ -48,15 +48,17 @@ LINEUP = (
 def parse_ticks(raw: DataFrame) -> DataFrame:
     """Exchange ticks to trade messages; other message kinds are left out."""
     # The feed's field names differ by case only (t/T, e/E), so they are picked by JSON path.
-    tick = {k: F.get_json_object("value", f"$.{k}") for k in "etspqmTE"}
-    return raw.filter(tick["e"] == "trade").select(
-        tick["t"].cast("bigint").alias("trade_id"),
-        tick["s"].alias("symbol"),
-        tick["p"].cast("double").alias("price"),
-        tick["q"].cast("double").alias("quantity"),
-        tick["m"].cast("boolean").alias("buyer_maker"),
-        from_millis(tick["T"].cast("bigint")).alias("trade_time"),
-        from_millis(tick["E"].cast("bigint")).alias("event_time"),
+    def field(path: str) -> Column:
+        return F.get_json_object("value", path)
+
+    return raw.filter(field("$.e") == "trade").select(
+        field("$.t").cast("bigint").alias("trade_id"),
+        field("$.s").alias("symbol"),
+        field("$.p").cast("double").alias("price"),
+        field("$.q").cast("double").alias("quantity"),
+        field("$.m").cast("boolean").alias("buyer_maker"),
+        from_millis(field("$.T").cast("bigint")).alias("trade_time"),
+        from_millis(field("$.E").cast("bigint")).alias("event_time"),
     )
 
 

@@ -340,6 +340,14 @@ def m14(spark, sf):
     return media.top_tracks_by_period(media.stage_top_tracks(ad.raw_top_tracks(spark, sf)))
 
 
+@query("m33_newest_plays", """
+SELECT ts AS played_at, CAST(user_id AS VARCHAR) AS track_id, 'Track ' || user_id AS track_name
+FROM events ORDER BY ts DESC, track_id LIMIT 50""")
+def m33_newest(spark, sf):
+    return media.newest_plays(media.stage_recently_played(ad.raw_plays(spark, sf))).select(
+        "played_at", "track_id", "track_name")
+
+
 @query("m33_plays_by_hour", """
 SELECT CAST(h AS INTEGER) AS hour, count(e.event_id) AS plays, count(DISTINCT e.user_id) AS unique_tracks
 FROM range(24) s(h) LEFT JOIN events e ON hour(e.ts) = s.h GROUP BY 1""")
@@ -533,6 +541,22 @@ def c2(spark, sf):
     return out.withColumns({c: F.round(c, 9) for c in ("home_win_rate", "avg_point_margin")})
 
 
+@query("c1_team_metrics", f"SELECT has_relocated_or_renamed, count(*) AS count FROM ({DIM_SQL}) GROUP BY 1")
+def c1_teams(spark, sf):
+    return metrics.metric_query(
+        m11(spark, sf), metrics.cubes()["nba_team_dim"], ["has_relocated_or_renamed"], ["count"])
+
+
+@query("c1_track_metrics", """
+SELECT album_name, explicit, count(*) AS count, max(p) AS max_popularity, round(avg(p), 6) AS avg_popularity FROM (
+ SELECT user_id, 'Album ' || user_id % 11 AS album_name, user_id % 2 = 0 AS explicit, max(k) AS p FROM ranked_media GROUP BY ALL) GROUP BY 1, 2""")
+def c1_tracks(spark, sf):
+    out = metrics.metric_query(
+        m14(spark, sf), metrics.cubes()["spotify_top_tracks"], ["album_name", "explicit"],
+        ["count", "max_popularity", "avg_popularity"])
+    return out.withColumn("avg_popularity", F.round("avg_popularity", 6))
+
+
 @query("c1_media_metrics", """
 SELECT genres, count(*) AS count, max(f) AS max_followers FROM (
  SELECT user_id, 'g' || user_id % 5 AS genres, max(k) * 1000 AS f FROM ranked_media GROUP BY ALL) GROUP BY 1""")
