@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 from tidemark.llm import fingerprints
 
@@ -15,7 +16,7 @@ def brute(rows):
 
 
 def shingles(text):
-    w = [x for x in text.lower().strip(" \t\n\x0b\x0c\r").replace("\x0b", " ").replace("\x0c", " ").split(" ") if x]
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", text.lower()) if x]
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
 

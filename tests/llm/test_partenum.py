@@ -44,7 +44,10 @@ def test_odd_rows_match_brute_force(odd_docs, odd_rows):
     assert got == brute([(r[0], r[1]) for r in odd_rows])
 
 
-def test_edited_copies_match_brute_force(spark):
+@pytest.mark.parametrize("small, block", [(32, 2048), (2, 3)])
+def test_edited_copies_match_brute_force(spark, monkeypatch, small, block):
+    monkeypatch.setattr(partenum, "SMALL_GROUP", small)
+    monkeypatch.setattr(partenum, "GROUP_BLOCK", block)
     rng = random.Random(3)
     rows, n = [], 0
     for _ in range(12):
@@ -89,6 +92,18 @@ def test_no_documents(no_docs):
     assert partenum.jaccard_components(no_docs).count() == 0
 
 
+def test_sketches_are_a_lower_bound_and_fold():
+    rng = np.random.default_rng(1)
+    for size in (3, 40, 700):
+        a = rng.integers(0, 2**48, size, dtype=np.uint64)
+        b = np.concatenate([a[size // 3 :], rng.integers(0, 2**48, size, dtype=np.uint64)])
+        x, y = partenum.sketch(a), partenum.sketch(b)
+        words = min(len(x), len(y))
+        apart = int(np.bitwise_count(partenum.folded(x, words) ^ partenum.folded(y, words)).sum())
+        assert 0 < apart <= len(np.setxor1d(a, b))
+        assert (partenum.folded(np.stack([x, x]), words) == partenum.folded(x, words)).all()
+
+
 def test_planes_round_trip():
     values = np.array([0, 1, 2**40 - 1, 12345678901], dtype=np.uint64)
     assert (from_planes(planes(values, 5), 5) == values).all()
