@@ -69,7 +69,8 @@ def best_shared(
         .join(right.groupBy("_key").agg(F.count(F.lit(1)).alias("_t")), "_key")
     )
     hot = fan.filter(F.col("_s") * F.col("_t") > hot_pairs).select("_key")
-    best = _best_pairs(left, right) if hot.isEmpty() else _with_hot_keys(left, right, cut(hot))
+    # The same plan whether or not some value is that frequent.
+    best = _with_hot_keys(left, right, cut(hot))
     return (
         tagged.select("source", "_head").distinct()
         .join(best.withColumnRenamed("source", "_head"), "_head")
