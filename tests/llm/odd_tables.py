@@ -1,3 +1,5 @@
+"""Small tables with everything that is odd; test modules import the fixtures they use."""
+
 import random
 
 import pytest

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+from odd_tables import no_docs, odd_docs, odd_rows  # noqa: F401
 from tidemark.llm import fingerprints
 
 

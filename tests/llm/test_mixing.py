@@ -1,6 +1,7 @@
 import duckdb
 import pytest
 
+from odd_tables import no_docs, odd_docs, odd_rows  # noqa: F401
 from tidemark.llm import mixing
 
 

@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 from tokenizers import Tokenizer
 
+from odd_tables import no_docs, odd_docs, odd_rows  # noqa: F401
 from tidemark.llm import packing
 from tidemark.llm.queries import tokenizer_path
 

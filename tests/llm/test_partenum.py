@@ -5,6 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from odd_tables import no_docs, odd_docs, odd_rows  # noqa: F401
 from tidemark.llm import partenum
 from tidemark.llm.words import from_planes, planes, shingle_sets
 

@@ -1,5 +1,6 @@
 import random
 
+from odd_tables import no_docs, odd_docs, odd_rows  # noqa: F401
 import corpus_pipeline
 from tidemark.llm import graph, mixing
 

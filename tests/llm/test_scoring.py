@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from odd_tables import no_docs, odd_docs, odd_rows  # noqa: F401
 from tidemark.llm import scoring
 
 

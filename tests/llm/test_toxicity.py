@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
+from odd_tables import no_docs, odd_docs, odd_rows  # noqa: F401
 from tidemark.llm import toxicity
 
 
