@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -254,10 +254,17 @@ def k12(spark, sf):
     return propensity.evaluate(propensity.predict(model, test))
 
 
+def window_end(spark, sf):
+    """Just after the newest order: every event and order so far counts."""
+    newest = source(spark, sf, "orders").agg(F.max("o_orderdate").cast("date")).first()[0]
+    return datetime(newest.year, newest.month, newest.day) + timedelta(days=1)
+
+
 @query("k13_score")
 def k13(spark, sf):
-    rows, _, model = _trained(spark, sf)
-    return propensity.score(model, rows)
+    """Scores as of the end of the window, by the model trained at the cutoff."""
+    _, _, model = _trained(spark, sf)
+    return propensity.score(model, cut(features(spark, sf, window_end(spark, sf))))
 
 
 # --- blended ranking ---------------------------------------------------------
