@@ -68,6 +68,22 @@ def test_edited_copies_match_brute_force(spark, monkeypatch, small, block):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("small, block", [(32, 2048), (2, 3)])
+def test_a_first_member_of_another_size_hides_no_link(spark, monkeypatch, small, block):
+    """b links its copies and the longer c; the copies are too small for c, and often come first."""
+    monkeypatch.setattr(partenum, "SMALL_GROUP", small)
+    monkeypatch.setattr(partenum, "GROUP_BLOCK", block)
+    rng, texts = random.Random(5), []
+    for _ in range(8):
+        b = [str(rng.randint(0, 10**9)) for _ in range(100)]
+        texts += [b, *(b[:at] + b[at + 1 :] for at in rng.sample(range(5, 95), 10))]
+        texts.append(b + [str(rng.randint(0, 10**9)) for _ in range(24)])
+    rows = [(n, " ".join(text)) for n, text in enumerate(texts)]
+    want = brute(rows)
+    assert len({least for _, _, least in want}) == 8
+    assert rows_of(partenum.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == want
+
+
 @pytest.mark.parametrize("size", [4, 5, 9, 16, 40, 133, 700])
 def test_similar_sets_share_a_signature(size):
     rng = np.random.default_rng(size)

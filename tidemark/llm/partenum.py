@@ -440,7 +440,8 @@ def jaccard_components(docs: DataFrame, threshold: float = 0.8, shingle: int = 5
     frequent = frequent_elements(docs, info.count(), shingle)
     found = stored(_groups(_blocks(docs, shingle, bands, bucket_bits, frequent)), "partenum-groups")
     pairs = found.filter(F.col("b").isNotNull()).groupBy("a", "b").agg(F.sum("votes").alias("votes"))
-    pairs = stored(_similar_sizes(pairs, nodes, limit), "partenum-pairs")
+    stars = stored(_sized(pairs, nodes, limit), "partenum-pairs")
+    pairs = stars.filter("fits").drop("fits")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = stored(_packed_sets(docs, nodes.join(ends, "node").select("doc_id"), shingle), "partenum-elements")
 
@@ -452,9 +453,9 @@ def jaccard_components(docs: DataFrame, threshold: float = 0.8, shingle: int = 5
     checked = stored(checked.unionByName(_linked(more, sets, limit)), "partenum-checked")
     parts = stored(components(checked.filter("linked"), "a", "b"), "partenum-parts")
 
-    # Groups in which the first member is not similar to all others. A member whose size rules
-    # the first member out may be in no pair so far; its set is read now.
-    members = _split_groups(found, checked, parts, nodes)
+    # Groups whose members links do not connect. A member whose size rules the first member out
+    # may be in no pair so far; its set is read now.
+    members = _split_groups(found, stars, parts, nodes)
     known = members.select("node").distinct()
     missing = known.join(sets.select("node"), "node", "left_anti").join(nodes, "node").select("doc_id")
     sets = sets.unionByName(stored(_packed_sets(docs, missing, shingle), "partenum-elements"))
@@ -475,15 +476,14 @@ def jaccard_components(docs: DataFrame, threshold: float = 0.8, shingle: int = 5
     )
 
 
-def _similar_sizes(pairs: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame:
-    """Pairs of sets whose sizes allow the similarity."""
+def _sized(pairs: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFrame:
+    """The pairs with a flag `fits`: whether the sizes of the sets allow the similarity."""
     up, down = threshold.numerator, threshold.denominator
     sized = pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("_na")), "a").join(
         nodes.select(F.col("node").alias("b"), F.col("n").alias("_nb")), "b"
     )
-    return sized.filter(
-        F.least("_na", "_nb") * down >= F.greatest("_na", "_nb") * up
-    ).drop("_na", "_nb")
+    fits = F.least("_na", "_nb") * down >= F.greatest("_na", "_nb") * up
+    return sized.withColumn("fits", fits).drop("_na", "_nb")
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:
@@ -507,12 +507,16 @@ def folded(words: np.ndarray, n: int) -> np.ndarray:
     return words
 
 
-def _split_groups(found, checked, parts, nodes) -> DataFrame:
-    """Members of groups that links do not connect: group, node, component, n, size of the group."""
-    failed = checked.filter(~F.col("linked")).select("a").distinct()
+def _split_groups(found, stars, parts, nodes) -> DataFrame:
+    """Members of groups that links do not connect: group, node, component, n, size of the group.
+
+    A group is split if its first member is apart from some other one. `stars` has all those
+    pairs, also those that sizes rule out: the rest of such a group can be similar to each other.
+    """
+    split_at = _apart(stars.select("a", "b"), parts).select("a").distinct()
     members = (
         found.filter(F.col("members").isNotNull())
-        .join(failed, "a", "left_semi")
+        .join(split_at, "a", "left_semi")
         .select("group", F.explode("members").alias("node"))
         .join(parts, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
