@@ -72,6 +72,22 @@ def test_rejection_before_its_request(spark, tmp_path):
     assert {r["payment_id"]: r["status"] for r in out.collect()} == {"x": "accepted", "p": "rejected"}
 
 
+def test_late_rejection_corrects_the_log(spark, tmp_path):
+    """p is accepted after its grace time and rejected in a later batch; the newest request is pending."""
+    req = files(spark, tmp_path / "q", [("x", 1.0, "2024-01-01 10:00:00"), ("p", 2.0, "2024-01-01 10:01:00")],
+                [("mid", 1.0, "2024-01-01 12:00:00")], [("end", 1.0, "2024-01-01 13:00:00")],
+                schema="payment_id string, amount double, requested_at string")
+    rej = files(spark, tmp_path / "r", [("none", "2024-01-01 10:05:00")], [("mid", "2024-01-01 12:01:00")],
+                [("p", "2024-01-01 12:59:00")], schema="payment_id string, rejected_at string")
+    req = req.withColumn("requested_at", F.col("requested_at").cast("timestamp"))
+    rej = rej.withColumn("rejected_at", F.col("rejected_at").cast("timestamp"))
+    log = streams.run_append(streams.resolve_log(req, rej, "10 MINUTES"), "t")
+    assert {r["status"] for r in log.filter("payment_id = 'p'").collect()} == {"pending", "accepted", "rejected"}
+    states = {r["payment_id"]: (r["status"], r["amount"], r["rejected_at"] is None) for r in streams.payment_states(log).collect()}
+    assert states == {"x": ("accepted", 1.0, True), "p": ("rejected", 2.0, False),
+                      "mid": ("rejected", 1.0, False), "end": ("pending", 1.0, True)}
+
+
 def test_pace_names_the_limit_of_the_source():
     assert streams.pace() == ({"maxOffsetsPerTrigger": "100"}, {"processingTime": "1 seconds"})
     assert "maxFilesPerTrigger" in streams.pace(5, fmt="file")[0]

@@ -163,8 +163,8 @@ def resolve_stream(
     `delay` is how far messages may be out of order; results come out that much later.
 
     Streaming emits a request as rejected when the rejection arrives and as accepted
-    when the watermark has passed its grace time. Pending payments are not final and
-    do not come out; the batch plan reports them.
+    when the watermark has passed its grace time. Pending payments and rejections after
+    the grace time do not come out; `resolve_log` has them.
     """
     req = requests.withWatermark("requested_at", delay).alias("q")
     rej = rejections.select(
@@ -180,6 +180,34 @@ def resolve_stream(
     )
 
 
+def resolve_log(
+    requests: DataFrame, rejections: DataFrame, grace: str, delay: str = "5 minutes"
+) -> DataFrame:
+    """Change log of payment states by payment_id, for append mode; `payment_states` reads it.
+
+    A request is pending on arrival, accepted when the watermark has passed its grace time and
+    rejected when a rejection arrives, however late. The state keeps all requests and rejections,
+    as either may meet the other at any time. A request later than `delay` is not accepted.
+    """
+    pending = requests.select(
+        "payment_id", "amount", "requested_at", F.lit(None).cast("timestamp").alias("rejected_at"),
+        F.lit("pending").alias("status"),
+    )
+    accepted = resolve_stream(requests, rejections, grace, delay).filter("status = 'accepted'")
+    refused = rejections.select(F.col("payment_id").alias("rejected_id"), "rejected_at")
+    rejected = requests.join(refused, F.col("payment_id") == F.col("rejected_id")).select(
+        "payment_id", "amount", "requested_at", "rejected_at", F.lit("rejected").alias("status")
+    )
+    return pending.unionByName(accepted).unionByName(rejected)
+
+
+def payment_states(log: DataFrame) -> DataFrame:
+    """Current state per payment of a `resolve_log`: states only go from pending to rejected."""
+    step = F.when(F.col("status") == "rejected", 2).when(F.col("status") == "accepted", 1).otherwise(0)
+    ranked = log.withColumn("_step", step)
+    return first_per_key(ranked, ["payment_id"], [F.desc("_step"), F.asc("rejected_at")]).drop("_step")
+
+
 def candle_stream(trades: DataFrame, width: str, delay: str) -> DataFrame:
     """OHLCV candles per symbol and time window."""
     at = F.struct("trade_time", "trade_id")

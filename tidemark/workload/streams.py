@@ -112,10 +112,11 @@ WHERE status = 'rejected' OR requested_at + INTERVAL {ad.GRACE} MINUTE < seen"""
 def r2(spark, sf):
     requests = payments.stage_requests(ad.raw_requests(spark, sf)).drop("consumed_at")
     rejections = payments.stage_rejections(ad.raw_rejections(spark, sf)).drop("consumed_at")
-    out = streams.resolve_stream(
+    log = streams.resolve_log(
         as_stream(requests, "r2-req", 1), as_stream(rejections, "r2-rej", 1), f"{ad.GRACE} MINUTES",
         delay="0 seconds")
-    return ntz(streams.run_append(out, "r2-out"), "requested_at", "rejected_at")
+    states = streams.payment_states(streams.run_append(log, "r2-out"))
+    return ntz(states.filter("status <> 'pending'"), "requested_at", "rejected_at")
 
 
 # An earlier evaluation, ten days before the newest event.
