@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, fingerprints, mixing, multiindex, packing, partenum, scoring, toxicity, urls, warc
+from tidemark.llm import chat, fingerprints, mixing, multiindex, packing, partenum, repeats, scoring, toxicity, urls, warc
 from tidemark.session import tune
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,6 +173,30 @@ def op9(spark, sf_dir):
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+REPEATS_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), words AS (
+  SELECT row, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word,
+         unnest([CASE WHEN i + 34 <= len(w) THEN array_to_string(w[i:i + 34], ' ') END FOR i IN range(1, len(w) + 1)]) AS run
+  FROM texts
+), judged AS (
+  SELECT row, i, word, run IS NOT NULL AND count(*) OVER (PARTITION BY run) > 1 AS again FROM words
+), covered AS (
+  SELECT row, i, word, bool_or(again) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+  FROM judged
+)
+SELECT any_value(doc_id) AS doc_id, count(i) AS n_words, count(i) FILTER (WHERE gone) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM texts LEFT JOIN covered USING (row) GROUP BY row
+"""
+
+
+@query("op12_substring_dedup", REPEATS_SQL)
+def op12(spark, sf_dir):
+    return repeats.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline

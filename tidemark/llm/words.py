@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,14 +20,15 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
-def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All words of a batch, A-Z in lower case, and where each text's words begin and end.
+def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """All words of a batch, A-Z in lower case if asked, and where each text's words begin and end.
 
     A word is a run of characters other than space and U+0009 to U+000D. A null text has none.
     """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    texts = pc.fill_null(texts, "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     offsets = lists.offsets.to_numpy().astype(np.int64)
     words = lists.values
     # White space at either end of a text leaves an empty string.
@@ -35,16 +38,56 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of a batch and the bounds of every text. Each distinct word is hashed once."""
+    """Hash of every word of a batch and the bounds of every text."""
     words, bounds = split_words(texts)
+    return hashed(words), bounds
+
+
+def hashed(words: pa.Array) -> np.ndarray:
+    """A hash per word; each distinct word is hashed once."""
     encoded = words.dictionary_encode()
     distinct = np.fromiter(
         (xxhash.xxh3_64_intdigest(w.encode()) for w in encoded.dictionary.to_pylist()),
         dtype=np.uint64,
         count=len(encoded.dictionary),
     )
-    return distinct[encoded.indices.to_numpy()], bounds
+    return distinct[encoded.indices.to_numpy()]
+
+
+def runs_of(hashes: np.ndarray, size: int, lane: int = 0) -> np.ndarray:
+    """Hash of every run of `size` words, put together from runs of 1, 2, 4 … words.
+
+    Lanes are independent hashes of the same run. Costs a few operations per doubling, so it
+    suits long runs.
+    """
+    if len(hashes) < size:
+        return np.zeros(0, dtype=np.uint64)
+    by = _LANES[lane]
+
+    def join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        n = min(len(left), len(right))
+        with np.errstate(over="ignore"):
+            return mix(left[:n] * by + right[:n])
+
+    block, length = mix(hashes ^ by), 1
+    out, have = None, 0
+    while True:
+        if size & length:
+            out = block if out is None else join(out, block[have:])
+            have += length
+        if have == size:
+            return out[: len(hashes) - size + 1]
+        block, length = join(block, block[length:]), 2 * length
+
+
+def digests_of(words: pa.Array, bounds: np.ndarray) -> list[str]:
+    """SHA-256 of every text's words, joined by one space."""
+    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), words)
+    joined = pc.binary_join(lists, " ").cast(pa.binary())
+    return [hashlib.sha256(text).hexdigest() for text in joined.to_pylist()]
+
 
+_LANES = mix(np.arange(101, 104, dtype=np.uint64)) | _U(1)
 
 # Odd multipliers that tell the places in a shingle apart.
 _PLACES = mix(np.arange(1, 65, dtype=np.uint64)) | _U(1)
