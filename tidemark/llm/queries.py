@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import chat, fingerprints, mixing, multiindex, packing, partenum, repeats, scoring, toxicity, urls, warc
+from tidemark.llm import chat, fingerprints, mixing, multiindex, packing, partenum, periods, repeats, scoring, toxicity, urls, warc
 from tidemark.session import tune
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,7 +195,13 @@ FROM texts LEFT JOIN covered USING (row) GROUP BY row
 
 @query("op12_substring_dedup", REPEATS_SQL)
 def op12(spark, sf_dir):
-    return repeats.remove_repeats(read(spark, sf_dir, "documents"))
+    kept = repeats.remove_repeats(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op13_periodic_runs")
+def op13(spark, sf_dir):
+    return periods.summary(periods.collapse(read(spark, sf_dir, "documents"), loops=True))
 
 
 @query("pipeline")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import digests_of, from_planes, hashed, mix, planes, runs_of, split_words
+from tidemark.llm.words import from_planes, hashed, joined, mix, planes, runs_of, split_words
 
 _U = np.uint64
 WINDOW = 35
@@ -189,8 +189,8 @@ def _group_keys(table: pa.Table) -> pa.Table:
     return _table(out, _MASKS)
 
 
-_KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
-_KEPT_DDL = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+_KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
+_KEPT_DDL = "doc_id long, n_words long, n_removed long, text string"
 
 
 def _remove(size: int):
@@ -210,21 +210,21 @@ def _remove(size: int):
         kept = np.cumsum(covered)[:-1] == 0
         before = np.concatenate(([0], np.cumsum(kept)))[chunk.bounds]
         words = np.diff(chunk.bounds)
-        digests = digests_of(chunk.words.filter(pa.array(kept)), before)
-        columns = [chunk.table["doc_id"].combine_chunks(), words, words - np.diff(before), digests]
-        return pa.table([pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(columns, _KEPT.types)], schema=_KEPT)
+        texts = joined(chunk.words.filter(pa.array(kept)), before)
+        ids = chunk.table["doc_id"].combine_chunks()
+        return pa.table([ids, pa.array(words), pa.array(words - np.diff(before)), texts], schema=_KEPT)
 
     return run
 
 
 def remove_repeats(docs: DataFrame, size: int = WINDOW, rows: int = ROWS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """Words that no repeated window covers: doc_id, n_words, n_removed, kept_sha256.
+    """Texts without the words that repeated windows cover: doc_id, n_words, n_removed, text.
 
-    A word is a run of characters other than white space, taken as it is. It is removed if a
+    A word is a run of characters other than white space, taken as it is; those kept are joined by one space. It is removed if a
     window of `size` words of its text covers it whose words also start anywhere else, in the
     same text or another. Windows are judged on the input.
 
-    Defined cases: a null or empty text has no words and the digest of the empty text; a text
+    Defined cases: a null or empty text has no words and gives an empty one; a text
     shorter than a window keeps all; equal rows are texts of their own, so their windows repeat;
     a null doc_id is kept as it is; an empty table gives an empty result; other columns are ignored.
     """
