@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, fingerprints, mixing, multiindex, packing, partenum, periods, repeats, scoring, toxicity, urls, warc
+from tidemark.llm import chat, fingerprints, mixing, multiindex, packing, partenum, periods, repeats, scoring, toxicity, trie, urls, warc
 from tidemark.session import tune
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,6 +174,50 @@ def op9(spark, sf_dir):
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+TRIE_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS d,
+         sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, [ord(x)::BIGINT FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]),
+             lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+               lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)
+), parts AS (
+  SELECT c.conv_id, 0 AS part, d, id, words FROM convs c JOIN turns t ON t.conv_id = c.base AND d < h
+  UNION ALL SELECT c.conv_id, 1, d, id, words FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND d >= h
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY part, d) AS depth FROM parts
+), path AS (
+  SELECT conv_id, 0 AS depth, '' AS key, 0 AS words FROM convs
+  UNION ALL
+  SELECT conv_id, depth, sha256(string_agg(id, ',') OVER (PARTITION BY conv_id ORDER BY depth)), words FROM numbered
+), linked AS (
+  SELECT *, lag(key) OVER (PARTITION BY conv_id ORDER BY depth) AS parent, lead(key) OVER (PARTITION BY conv_id ORDER BY depth) AS after
+  FROM path
+), nodes AS (
+  SELECT key, any_value(depth) AS depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs,
+         count(DISTINCT after) AS n_children, (count(*) - 1) * any_value(words) AS saved,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE after IS NULL), '')) AS ends_sha256
+  FROM linked GROUP BY key
+), sums AS (
+  SELECT p.key, count(*) FILTER (WHERE w.n_children = 0) AS n_leaves, sum(w.saved) AS saved_tokens
+  FROM nodes w JOIN path p ON p.conv_id = w.conv_id AND p.depth <= w.depth GROUP BY p.key
+)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums USING (key) LEFT JOIN nodes up ON up.key = n.parent
+"""
+
+
+@query("op11_prefix_trie", TRIE_SQL)
+def op11(spark, sf_dir):
+    return trie.prefix_trie(*trie.rebuilt(read(spark, sf_dir, "conversations")))
+
+
 REPEATS_SQL = r"""
 WITH texts AS (
   SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
