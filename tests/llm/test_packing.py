@@ -72,3 +72,20 @@ def test_best_fit_places_and_fullest_leaves():
     assert [p[2].size for p in out] == [9]
     assert sorted(free for free, _ in windows.open) == [2, 5]
     assert list(windows.add(piece(10)))[0][0][2].size == 10
+
+
+def test_long_white_space():
+    """The runs at which the fast encoder stops, against the tokenizer file's own library."""
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    mixed = (" \n\t \r   " * 130_000)[:1_000_003]
+    for text in (
+        "a" + " " * 1_000_001 + "b", "a" + " " * 3_000_000 + "b", "\n" * 1_000_001 + "b", "x\t" + mixed + "y z",
+        " " * 199_999 + "a", "a" + " " * 200_000,
+    ):
+        assert packing.token_ids(tokenizer_path(), text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_a_document_of_white_space(spark):
+    rows = [(1, "a" + " " * 1_000_001 + "b"), (2, "a b c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(packing.pack(df, tokenizer_path(), with_ids=True).collect(), rows, packing.WINDOW)

@@ -11,15 +11,17 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tidemark.session import stored
 
@@ -61,6 +63,24 @@ def encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
+# The split pattern backtracks over white space and gives up beyond a million characters of it.
+_LONG_SPACE = re.compile(r"\s{200000}")
+
+
+@lru_cache(maxsize=2)
+def _slow_encoder(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
+
+
+def token_ids(path: str, text: str) -> np.ndarray:
+    """Ids of a text, as the tokenizer file's own library gives them."""
+    if len(text) >= 200_000 and _LONG_SPACE.search(text):
+        ids = _slow_encoder(path).encode(text, add_special_tokens=False).ids
+    else:
+        ids = encoder(path).encode(text, allowed_special="all")
+    return np.array(ids, dtype="<u4")
+
+
 class Windows:
     """Open windows of one task. Pieces are tuples (key, start, ids, total)."""
 
@@ -176,13 +196,8 @@ def pack(
     from pyspark import TaskContext
 
     def texts(batches):
-        encoding = encoder(tokenizer)
-
-        def encode(text: str) -> np.ndarray:
-            return np.array(encoding.encode(text, allowed_special="all"), dtype="<u4")
-
         yield from _packed(
-            pieces_of_texts(batches, encode, size), TaskContext.get().partitionId(), 0, False,
+            pieces_of_texts(batches, partial(token_ids, tokenizer), size), TaskContext.get().partitionId(), 0, False,
             with_ids, size, open_windows, smallest_cut,
         )
 
