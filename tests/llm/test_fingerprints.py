@@ -1,6 +1,9 @@
 import hashlib
 import re
 
+import pytest
+import xxhash
+
 from odd_tables import no_docs, odd_docs, odd_rows  # noqa: F401
 from tidemark.llm import fingerprints
 
@@ -53,3 +56,46 @@ def test_one_document_and_none(spark, no_docs):
     (row,) = fingerprints.compare_with_edits(spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string")).collect()
     assert row["near_next"] == 1.0 and row["n_chars"] == 15
     assert fingerprints.compare_with_edits(no_docs).count() == 0
+
+
+def plain_fingerprint(text, bins, bits):
+    """Bins, probes and low bits in loops over numbers."""
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", text.lower().strip(fingerprints.SPACE))] or [""]
+    least = {}
+    for i in range(max(1, len(w) - 4)):
+        h = 42
+        for word in w[i : i + 5]:
+            h = xxhash.xxh64_intdigest(word.encode(), h)
+        h = h >> 1 | 1
+        b = h >> (63 - (bins - 1).bit_length())
+        least[b] = min(h, least.get(b, h))
+    starts, steps = fingerprints.probe_order(bins)
+    out = []
+    for b in range(bins):
+        at, attempt = b, 0
+        while at not in least:
+            at, attempt = (starts[b] + steps[b] * attempt) % bins, attempt + 1
+        out.append(least[at] >> 1 & ((1 << bits) - 1))
+    return out
+
+
+@pytest.mark.parametrize("bins, bits", [(128, 8), (16, 4), (64, 31)])
+def test_bins_against_loops(odd_docs, bins, bits):
+    docs = odd_docs.select("doc_id", "text")
+    for r in fingerprints.with_fingerprint(docs, "text", "f", bins, bits).collect():
+        assert r["f"] == plain_fingerprint(r["text"] or "", bins, bits)
+
+
+def test_probes_meet_every_bin():
+    starts, steps = fingerprints.probe_order(128)
+    assert all(len({(a + s * i) % 128 for i in range(128)}) == 128 for a, s in zip(starts, steps))
+
+
+def test_slices_follow_the_order_of_the_key(spark):
+    keys = [None] * 3 + [5] * 40 + list(range(-20, 200, 3)) + [1 << 60]
+    df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(3)
+    got = df.withColumn("s", fingerprints.ordered_slices(df, "k", rows=10)).collect()
+    pairs = sorted(((r["k"] is not None, r["k"] or 0), r["s"]) for r in got)
+    assert [s for _, s in pairs] == sorted(s for _, s in pairs)
+    assert len({s for _, s in pairs}) > 5 and pairs[0][1] == 0
+    assert all(len({s for k, s in pairs if k == key}) == 1 for key, _ in pairs)

@@ -10,6 +10,8 @@ Everything is expressions on one row: no explode, no shuffle.
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,25 +21,22 @@ SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 SHINGLE = 5
 BINS = 128
 BITS = 8
-# Hashes have 63 bits, so that they sort as they are binned.
+# Hashes have 63 bits, so that they sort as they are binned; the lowest bit marks them as hashes.
 _HASH_BITS = 63
 # Probes written out; longer searches, in texts of a few shingles, go on with the next line.
 _PROBES = 10
+# Slices of the key's order, at most, and rows of a slice until there are so many.
+SLICES = 1 << 16
+SLICE_ROWS = 4000
 
 
-def _bin(h: Column, bins: int) -> Column:
-    return F.shiftright(h, _HASH_BITS - bins.bit_length() + 1)
-
-
-def _probe(i: Column, attempt, bins: int) -> Column:
-    """Bin that the empty bin `i` asks at an attempt: start and odd step from a hash of `i`.
+def probe_order(bins: int, seed: int = 41) -> tuple[list[int], list[int]]:
+    """Start and odd step of every bin's probes.
 
-    The number of bins is a power of two, so the sequence meets every bin.
+    The number of bins is a power of two, so start + step * attempt meets every bin.
     """
-    h = F.xxhash64(i)
-    start = h.bitwiseAND(F.lit(bins - 1))
-    step = F.shiftright(h, 20).bitwiseOR(F.lit(1)).bitwiseAND(F.lit(bins - 1))
-    return (start + step * attempt).bitwiseAND(F.lit(bins - 1)).cast("int")
+    rng = random.Random(seed)
+    return [rng.randrange(bins) for _ in range(bins)], [rng.randrange(bins) | 1 for _ in range(bins)]
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str, bins: int = BINS, bits: int = BITS) -> DataFrame:
@@ -48,36 +47,43 @@ def with_fingerprint(df: DataFrame, text: str, name: str, bins: int = BINS, bits
     """
     if bins & (bins - 1) or bits > 31:
         raise ValueError("bins has to be a power of two and bits at most 31")
-    w, h, m, d = (f"_{k}_{name}" for k in ("words", "hashes", "least", "dense"))
+    w, h, d = (f"_{k}_{name}" for k in ("words", "hashes", "dense"))
     trimmed = F.btrim(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(SPACE))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - F.lit(SHINGLE)))
-    # get() is null beyond the end and xxhash64 passes nulls over, so short texts need no case.
-    shingle = lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(F.col(w), i + k) for k in range(SHINGLE)]), 1)
-    first_of_bin = lambda x, i: (i == 0) | (_bin(x, bins) != _bin(F.get(F.col(h), i - 1), bins))
-    by_bin = F.map_from_arrays(
-        F.transform(F.col(m), lambda x: _bin(x, bins).cast("int")), F.transform(F.col(m), lambda x: x)
-    )
+    last = F.greatest(F.lit(0), F.size(w) - F.lit(SHINGLE))
+
+    def shingle(i: Column) -> Column:
+        # get() is null beyond the end and xxhash64 passes nulls over, so short texts need no case.
+        hashed = F.xxhash64(*[F.get(F.col(w), i + k) for k in range(SHINGLE)])
+        return F.shiftrightunsigned(hashed, 1).bitwiseOR(F.lit(1))
+
+    # A mark per bin is sorted in before the bin's hashes; the smallest hash then follows its mark.
+    marks = F.array(*[F.lit(b << (_HASH_BITS + 1 - bins.bit_length())) for b in range(bins)])
+    is_hash = lambda x: x.bitwiseAND(F.lit(1)) == 1
+    after_mark = F.zip_with(
+        F.col(h), F.slice(F.col(h), 2, F.size(h)),
+        lambda x, y: F.when(~is_hash(x), F.when(is_hash(y), y).otherwise(-1)),
+    )
+    starts, steps = (F.array(*map(F.lit, x)) for x in probe_order(bins))
     everything = F.sequence(F.lit(0), F.lit(bins - 1))
 
     def fill(x: Column, i: Column) -> Column:
-        tries = [F.get(F.col(d), _probe(i, F.lit(a), bins)) for a in range(_PROBES)]
-        rest = F.transform(everything, lambda a: F.get(F.col(d), _probe(i, a, bins)))
-        return F.coalesce(x, *tries, F.get(F.filter(rest, lambda y: y.isNotNull()), F.lit(0)))
+        def asked(attempt) -> Column:
+            at = (F.get(starts, i) + F.get(steps, i) * attempt).bitwiseAND(F.lit(bins - 1))
+            return F.nullif(F.get(F.col(d), at), F.lit(-1))
+
+        rest = F.filter(F.transform(everything, asked), lambda y: y.isNotNull())
+        filled = F.coalesce(*[asked(F.lit(a)) for a in range(_PROBES)], F.get(rest, F.lit(0)))
+        return F.when(x >= 0, x).otherwise(filled)
+
+    def kept(x: Column, i: Column) -> Column:
+        return F.shiftright(fill(x, i), 1).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
 
     return (
         df.withColumn(w, F.split(trimmed, r"[\x20\x09-\x0D]+"))
-        .withColumn(h, F.sort_array(F.transform(starts, shingle)))
-        .withColumn(m, F.filter(F.col(h), first_of_bin))
-        .withColumn(d, by_bin)
-        .withColumn(d, F.transform(everything, lambda b: F.element_at(F.col(d), b)))
-        .withColumn(
-            name,
-            F.transform(
-                F.transform(F.col(d), fill),
-                lambda x: x.bitwiseAND(F.lit((1 << bits) - 1)).cast("int"),
-            ),
-        )
-        .drop(w, h, m, d)
+        .withColumn(h, F.sort_array(F.concat(F.transform(F.sequence(F.lit(0), last), shingle), marks)))
+        .withColumn(d, F.filter(after_mark, lambda x: x.isNotNull()))
+        .withColumn(name, F.transform(F.col(d), kept))
+        .drop(w, h, d)
     )
 
 
@@ -94,25 +100,29 @@ def likeness(a: Column, b: Column, bins: int = BINS, bits: int = BITS) -> Column
     return F.greatest(F.lit(0.0), (share - F.lit(chance)) / F.lit(1 - chance))
 
 
-def ordered_slices(docs: DataFrame, key: str, rows: int = 4000) -> Column:
-    """Slice of the key's order a row is in, from approximate quantiles: about `rows` each."""
+def _constant(values: list, kind: str) -> Column:
+    """An array that Spark folds to a constant; as many literals would be slow to analyse."""
+    if not values:
+        return F.array().cast(f"array<{kind}>")
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
+def ordered_slices(docs: DataFrame, key: str, rows: int = SLICE_ROWS) -> Column:
+    """Slice of the key's order a row is in, from approximate quantiles: about `rows` each.
+
+    There are at most SLICES, and the driver gets their bounds; beyond, slices grow. A row finds
+    its slice by halving. A null key is in the first slice.
+    """
     n = docs.count()
-    slices = max(1, -(-n // rows))
+    slices = min(SLICES, max(1, -(-n // rows)))
     if slices == 1:
         return F.lit(0)
     cuts = [i / slices for i in range(1, slices)]
-    bounds = docs.agg(F.percentile_approx(key, cuts, max(10_000, 20 * slices)).alias("b")).first()["b"]
-    bounds = sorted(set(bounds or []))
-    return _between(F.col(key), bounds, 0)
-
-
-def _between(key: Column, bounds: list, base: int) -> Column:
-    """Binary search as nested conditions; nulls are in the first slice."""
-    if not bounds:
-        return F.lit(base)
-    mid = len(bounds) // 2
-    return F.when(key >= F.lit(bounds[mid]), _between(key, bounds[mid + 1 :], base + mid + 1)).otherwise(
-        _between(key, bounds[:mid], base)
+    found = docs.agg(F.percentile_approx(key, _constant(cuts, "double"), F.lit(max(10_000, 20 * slices))).alias("b"))
+    bounds = _constant(sorted(set(found.first()["b"] or [])), "bigint")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(slices.bit_length()))])
+    return F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= F.col(key), at + step).otherwise(at)
     )
 
 
