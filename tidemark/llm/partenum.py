@@ -18,7 +18,8 @@ sets share at least one value, for certain:
   in both sets. Which elements are frequent is estimated from a bounded sample of texts; that
   changes how many pairs are compared, never which are found.
 
-Signatures and sets travel as packed arrays, one row per block of texts and bucket of values.
+Texts are read once; their sets are stored as packed arrays of 48-bit hashes. Signatures and sets
+travel as packed arrays, one row per block of texts and bucket of values.
 Equal sets are one node of the join. In a group of sets that share a signature, all are
 compared with one of them; further pairs of the group are compared only between parts of it
 that links found so far do not connect.
@@ -150,7 +151,7 @@ def node_of(elements: np.ndarray) -> tuple[int, int]:
     return int(last[0] >> _U(1)), int(last[1] >> _U(1))
 
 
-def _sets(batches: Iterator[pa.RecordBatch], shingle: int):
+def _described(batches: Iterator[pa.RecordBatch], shingle: int):
     """(doc_id, elements) of every text, over pieces of a batch that are not too large."""
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
@@ -158,36 +159,47 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int):
             yield from zip(piece["doc_id"].to_pylist(), shingle_sets(piece["text"], shingle))
 
 
+def _sets(batches: Iterator[pa.RecordBatch]):
+    """(node, elements) of the described texts that have a set; elements keep their upper bits."""
+    for batch in batches:
+        for node, packed in zip(batch["node"].to_pylist(), batch["elements"]):
+            if node is not None:
+                yield node, from_planes(packed.as_buffer(), ELEMENT_BYTES) << _U(64 - 8 * ELEMENT_BYTES)
+
+
 def describe(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, node and a second name of every text's set; nodes are null for none."""
+    """doc_id, n_shingles, node, a second name and the packed elements of every text's set.
+
+    Texts are read and cut into words here only. Nodes are null for empty sets.
+    """
+    schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "n_shingles", "node", "second")), ("elements", pa.binary())])
 
     def run(batches):
-        held = []
-        for doc_id, elements in _sets(batches, shingle):
+        held, size = [], 0
+        for doc_id, elements in _described(batches, shingle):
             names = node_of(elements) if len(elements) else (None, None)
-            held.append((doc_id, len(elements), *names))
-            if len(held) == BLOCK_TEXTS:
+            held.append((doc_id, len(elements), *names, planes(elements >> _U(64 - 8 * ELEMENT_BYTES), ELEMENT_BYTES)))
+            size += len(held[-1][-1])
+            if len(held) == BLOCK_TEXTS or size > 8 << 20:
                 yield _record(held)
-                held = []
+                held, size = [], 0
         if held:
             yield _record(held)
 
     def _record(rows):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "n_shingles", "node", "second"]
-        )
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, second long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, second long, elements binary")
 
 
-def frequent_elements(docs: DataFrame, texts: int, shingle: int, sample: int = SAMPLE_TEXTS) -> np.ndarray:
+def frequent_elements(info: DataFrame, texts: int, sample: int = SAMPLE_TEXTS) -> np.ndarray:
     """Sorted elements that FREQUENT or more sets of a sample have.
 
     `texts` is the number of texts. The sample has about `sample` of them by hash of the doc_id,
     so what reaches the driver is bounded by their elements.
     """
     part = -(-texts // sample) if texts else 1
-    chosen = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0)
+    chosen = info.filter(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0).select("node", "elements")
 
     def run(batches):
         held, size, seen = [], 0, set()
@@ -201,9 +213,9 @@ def frequent_elements(docs: DataFrame, texts: int, shingle: int, sample: int = S
                 [pa.array(bucket[starts[:-1]].astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "elements"]
             )
 
-        for _, elements in _sets(batches, shingle):
-            if len(elements) and node_of(elements) not in seen:
-                seen.add(node_of(elements))
+        for node, elements in _sets(batches):
+            if node not in seen:
+                seen.add(node)
                 held.append(elements)
                 size += len(elements)
             if size > BLOCK_SIGNATURES:
@@ -223,10 +235,10 @@ def frequent_elements(docs: DataFrame, texts: int, shingle: int, sample: int = S
     return np.sort(np.concatenate([NONE, *[from_planes(x, 8) for x in found]]))
 
 
-def _blocks(docs: DataFrame, shingle: int, bands: Bands, bucket_bits: int, frequent: np.ndarray) -> DataFrame:
+def _blocks(info: DataFrame, bands: Bands, bucket_bits: int, frequent: np.ndarray) -> DataFrame:
     """Rows of packed signatures: bucket, signatures, place of each one's node, nodes."""
     names = ["bucket", "signatures", "places", "nodes"]
-    known = docs.sparkSession.sparkContext.broadcast(frequent)
+    known = info.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
         found, nodes, seen, n = [], [], set(), 0
@@ -253,14 +265,13 @@ def _blocks(docs: DataFrame, shingle: int, bands: Bands, bucket_bits: int, frequ
                 names=names,
             )
 
-        for _, elements in _sets(batches, shingle):
-            sig = signatures(elements, bands, known.value)
-            if not len(sig):
-                continue
-            node, _ = node_of(elements)
+        for node, elements in _sets(batches):
             if node in seen:
                 continue
             seen.add(node)
+            sig = signatures(elements, bands, known.value)
+            if not len(sig):
+                continue
             found.append(sig)
             nodes.append(node)
             n += len(sig)
@@ -270,7 +281,7 @@ def _blocks(docs: DataFrame, shingle: int, bands: Bands, bucket_bits: int, frequ
         if found:
             yield flush()
 
-    return docs.mapInArrow(run, "bucket int, signatures binary, places binary, nodes binary")
+    return info.select("node", "elements").mapInArrow(run, "bucket int, signatures binary, places binary, nodes binary")
 
 
 def _groups(blocks: DataFrame) -> DataFrame:
@@ -340,39 +351,22 @@ def _worth_reading(ids: DataFrame) -> bytes:
     return field.tobytes()
 
 
-def _packed_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+def _packed_sets(info: DataFrame, ids: DataFrame) -> DataFrame:
     """(node, elements) of the texts whose doc_id is in `ids`, and of few others."""
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_worth_reading(ids))
-    slots = docs.withColumn("_slot", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)))
+    bits = info.sparkSession.sparkContext.broadcast(_worth_reading(ids))
+    slots = info.filter(F.col("node").isNotNull()).select(
+        "node", "elements", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).alias("_slot")
+    )
 
     def run(batches):
         field = np.frombuffer(bits.value, dtype=np.int64)
+        for batch in batches:
+            slot = batch["_slot"].to_numpy()
+            hit = (field[slot >> 6] >> (slot & 63)) & 1
+            if hit.any():
+                yield batch.select(["node", "elements"]).filter(pa.array(hit.astype(bool)))
 
-        def wanted():
-            for batch in batches:
-                slot = batch["_slot"].to_numpy()
-                hit = (field[slot >> 6] >> (slot & 63)) & 1
-                if hit.any():
-                    yield batch.filter(pa.array(hit.astype(bool)))
-
-        held, size = [], 0
-        for _, elements in _sets(wanted(), shingle):
-            held.append((node_of(elements)[0], planes(elements >> _U(64 - 8 * ELEMENT_BYTES), ELEMENT_BYTES)))
-            size += len(held[-1][1])
-            if size > 8 << 20:
-                yield _record(held)
-                held, size = [], 0
-        if held:
-            yield _record(held)
-
-    def _record(rows):
-        nodes, elements = zip(*rows)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(nodes, pa.int64()), pa.array(elements, pa.binary())], names=["node", "elements"]
-        )
-
-    return slots.select("doc_id", "text", "_slot").mapInArrow(run, "node long, elements binary").distinct()
+    return slots.mapInArrow(run, "node long, elements binary").distinct()
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
@@ -409,10 +403,9 @@ def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, threshold: float = 0.8, shingle: int = 5) -> DataFrame:
-    """Groups of texts that similar pairs connect: doc_id, n_shingles, component_id, is_kept.
+    """Groups of texts that similar pairs connect: doc_id, n_shingles, component_id.
 
-    component_id is the smallest doc_id of the group. `is_kept` marks one row per group: that
-    of the smallest doc_id.
+    component_id is the smallest doc_id of the group.
 
     Defined cases: a null or empty text, or one without words, has an empty set and is linked
     with nothing; a text of fewer words than a shingle is one shingle; equal rows are linked;
@@ -437,13 +430,13 @@ def jaccard_components(docs: DataFrame, threshold: float = 0.8, shingle: int = 5
         int((totals["n"] or 0) * 0.6) // BUCKET_SIGNATURES,
     )
     bucket_bits = min(16, max(1, (buckets - 1).bit_length()))
-    frequent = frequent_elements(docs, info.count(), shingle)
-    found = stored(_groups(_blocks(docs, shingle, bands, bucket_bits, frequent)), "partenum-groups")
+    frequent = frequent_elements(info, info.count())
+    found = stored(_groups(_blocks(info, bands, bucket_bits, frequent)), "partenum-groups")
     pairs = found.filter(F.col("b").isNotNull()).groupBy("a", "b").agg(F.sum("votes").alias("votes"))
     stars = stored(_sized(pairs, nodes, limit), "partenum-pairs")
     pairs = stars.filter("fits").drop("fits")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stored(_packed_sets(docs, nodes.join(ends, "node").select("doc_id"), shingle), "partenum-elements")
+    sets = stored(_packed_sets(info, nodes.join(ends, "node").select("doc_id")), "partenum-elements")
 
     # First the most promising pair of every set, then those that are still apart.
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a"))
@@ -458,7 +451,7 @@ def jaccard_components(docs: DataFrame, threshold: float = 0.8, shingle: int = 5
     members = _split_groups(found, stars, parts, nodes)
     known = members.select("node").distinct()
     missing = known.join(sets.select("node"), "node", "left_anti").join(nodes, "node").select("doc_id")
-    sets = sets.unionByName(stored(_packed_sets(docs, missing, shingle), "partenum-elements"))
+    sets = sets.unionByName(stored(_packed_sets(info, missing), "partenum-elements"))
     sketches = stored(_sketches(sets.join(known, "node", "left_semi")), "partenum-sketches")
     small = _pairs_of_small_groups(members, limit).join(checked.select("a", "b"), ["a", "b"], "left_anti")
     large = _pairs_of_large_groups(members, sketches, limit).join(checked.select("a", "b"), ["a", "b"], "left_anti")
@@ -471,7 +464,7 @@ def jaccard_components(docs: DataFrame, threshold: float = 0.8, shingle: int = 5
     named = stored(named.withColumn("component", F.coalesce("component", "node")), "partenum-named")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_node = stored(named.join(least, "component").select("node", "component_id"), "partenum-by-node")
-    return info.join(by_node, "node", "left").select(
+    return info.drop("second", "elements").join(by_node, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
