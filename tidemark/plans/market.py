@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.conform import conform
@@ -22,11 +22,10 @@ def stage_trades(raw: DataFrame) -> DataFrame:
     })
 
 
-def candles(trades: DataFrame, unit: str = "minute") -> DataFrame:
-    """One candle per symbol and minute (or hour); equal times are ordered by trade id."""
+def ohlcv() -> list[Column]:
+    """Aggregates of one candle; equal times are ordered by trade id."""
     at = F.struct("trade_time", "trade_id")
-    opened = F.date_trunc(unit, "trade_time").cast(trades.schema["trade_time"].dataType)
-    return trades.groupBy("symbol", opened.alias("candle_open_time")).agg(
+    return [
         F.min_by("price", at).alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
@@ -34,7 +33,13 @@ def candles(trades: DataFrame, unit: str = "minute") -> DataFrame:
         F.sum("quantity").alias("volume"),
         F.sum("notional_value").alias("notional_volume"),
         F.count(F.lit(1)).alias("trade_count"),
-    )
+    ]
+
+
+def candles(trades: DataFrame, unit: str = "minute") -> DataFrame:
+    """One candle per symbol and minute (or hour)."""
+    opened = F.date_trunc(unit, "trade_time").cast(trades.schema["trade_time"].dataType)
+    return trades.groupBy("symbol", opened.alias("candle_open_time")).agg(*ohlcv())
 
 
 def rollup_candles(fine: DataFrame, unit: str = "hour") -> DataFrame:

@@ -52,14 +52,18 @@ def look_back(rows: DataFrame, target: DataFrame, ts: str, target_ts: str, minut
     return rows.filter(edge.isNull() | (F.col(ts) > edge))
 
 
-def payments_by_minute(status: DataFrame, minutes: int = 1) -> DataFrame:
-    """Counts and amounts per status in fixed-width buckets."""
+def status_totals() -> list[Column]:
+    """Count and amount of all payments and of each status."""
     counts = [F.count(F.lit(1)).alias("payments_total")]
     amounts = [F.sum("amount").alias("amount_total")]
     for name in STATUSES:
         hit = F.col("status") == name
         counts.append(F.count_if(hit).alias(f"payments_{name}"))
         amounts.append(F.sum(F.when(hit, F.col("amount"))).alias(f"amount_{name}"))
+    return counts + amounts
+
+
+def payments_by_minute(status: DataFrame, minutes: int = 1) -> DataFrame:
+    """Counts and amounts per status in fixed-width buckets."""
     bucket = bucket_start("requested_at", minutes).alias("request_bucket")
-    grouped = status.groupBy(bucket).agg(*counts, *amounts)
-    return grouped.withColumn("refreshed_at", F.current_timestamp())
+    return status.groupBy(bucket).agg(*status_totals()).withColumn("refreshed_at", F.current_timestamp())

@@ -6,6 +6,7 @@ Every operator takes a streaming or a batch DataFrame. Event-time columns have t
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tidemark.operators.keyed import first_per_key, latest_version
+from tidemark.plans import market, payments
 from tidemark.session import scratch_path
 
 
@@ -70,11 +72,20 @@ def route(df: DataFrame, sinks: Mapping[str, str], checkpoint: str, topic: str =
     )
 
 
-def change_log(df: DataFrame, path: str, checkpoint: str, trigger: Mapping | None = None) -> StreamingQuery:
-    """Write the updated groups of each batch as one version of a keyed change log."""
+def change_log(
+    df: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = (), every: int = 8, trigger: Mapping | None = None
+) -> StreamingQuery:
+    """Write the updated groups of each batch as one version of a keyed change log.
+
+    After `every` batches the versions are folded into a snapshot with one row per key, and what
+    an older snapshot already holds is removed. Reading costs one snapshot and at most `every`
+    versions, however long the stream runs. A repeated batch overwrites what it wrote.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/versions/version={batch_id}")
+        if keys and (batch_id + 1) % every == 0:
+            fold_log(batch.sparkSession, path, keys, batch_id)
 
     return (
         df.writeStream.outputMode("update").foreachBatch(write)
@@ -83,20 +94,92 @@ def change_log(df: DataFrame, path: str, checkpoint: str, trigger: Mapping | Non
     )
 
 
+def fold_log(spark: SparkSession, path: str, keys: Sequence[str], upto: int) -> None:
+    """Fold the versions up to a number into a snapshot; drop what the snapshot before it replaced."""
+    before = [n for n in finished(spark, f"{path}/snapshots", "snapshot") if n < upto]
+    state = _log_since(spark, path, before[-1] if before else None, upto)
+    folded = first_per_key(state, keys, [F.desc("version")])
+    folded.write.mode("overwrite").parquet(f"{path}/snapshots/snapshot={upto}")
+    if before:
+        # Readers that opened the snapshot before this one still find it and the versions after it.
+        remove(spark, [f"{path}/snapshots/snapshot={n}" for n in before[:-1]])
+        old = [n for n in finished(spark, f"{path}/versions", "version") if n <= before[-1]]
+        remove(spark, [f"{path}/versions/version={n}" for n in old])
+
+
+def _log_since(spark: SparkSession, path: str, snapshot: int | None, upto: int | None = None) -> DataFrame:
+    """Rows of a snapshot and of the versions after it, with their version."""
+    numbers = finished(spark, f"{path}/versions", "version")
+    newer = [n for n in numbers if (snapshot is None or n > snapshot) and (upto is None or n <= upto)]
+    parts = [spark.read.parquet(f"{path}/snapshots/snapshot={snapshot}")] if snapshot is not None else []
+    if newer or not parts:
+        versions = spark.read.option("basePath", f"{path}/versions")
+        parts.append(versions.parquet(*[f"{path}/versions/version={n}" for n in newer]))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def finished(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """Numbers n of the subfolders name=n that a job has written whole, ascending."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    found = []
+    for status in fs.listStatus(at):
+        key, _, number = status.getPath().getName().partition("=")
+        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
+        if key == name and number.isdigit() and fs.exists(done):
+            found.append(int(number))
+    return sorted(found)
+
+
+def remove(spark: SparkSession, folders: Sequence[str]) -> None:
+    """Delete folders of a log that newer ones have replaced."""
+    for folder in folders:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def read_log(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """Current state of a change log."""
-    return latest_version(spark.read.parquet(path), keys, "version")
+    """Current state of a change log: its newest snapshot and the versions after it."""
+    snapshots = finished(spark, f"{path}/snapshots", "snapshot")
+    return latest_version(_log_since(spark, path, snapshots[-1] if snapshots else None), keys, "version")
 
 
-def run_log(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+def run_log(df: DataFrame, keys: Sequence[str], label: str, every: int = 8) -> DataFrame:
     """Drain an update-mode stream into a change log and return its final state."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    query = change_log(df, path, path + "-state")
-    query.awaitTermination()
+    change_log(df, path, path + "-state", keys, every).awaitTermination()
     return read_log(spark, path, keys)
 
 
+def until_idle(query: StreamingQuery, idle_seconds: float, poll: float = 0.1) -> list[dict]:
+    """Wait until a running query has met no new rows for so long, stop it, and return its batches.
+
+    A batch is its progress: batchId, numInputRows and so on; only batches with rows count.
+    """
+    batches: dict[int, dict] = {}
+    quiet_since = time.monotonic()
+    while query.isActive:
+        for progress in query.recentProgress:
+            if progress["numInputRows"] and progress["batchId"] not in batches:
+                batches[progress["batchId"]] = progress
+                quiet_since = time.monotonic()
+        status = query.status
+        if status["isTriggerActive"] and status["isDataAvailable"]:
+            quiet_since = time.monotonic()
+        if time.monotonic() - quiet_since > idle_seconds and query.lastProgress is not None:
+            query.stop()
+        time.sleep(poll)
+    if query.exception() is not None:
+        raise query.exception()
+    return [batches[n] for n in sorted(batches)]
+
+
 def run_append(df: DataFrame, label: str) -> DataFrame:
     """Drain an append-mode stream into a table and return it."""
     spark = df.sparkSession
@@ -132,14 +215,17 @@ def newest_trades(trades: DataFrame, n: int = 40) -> DataFrame:
 
 def live_snapshot(trades: DataFrame, prices_path: str, tape_path: str, checkpoint: str, n: int = 40):
     """Two queries that keep the price board and the tape of newest trades current."""
-    board = change_log(live_prices(trades), prices_path, checkpoint + "/prices")
+    board = change_log(live_prices(trades), prices_path, checkpoint + "/prices", ["symbol"])
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         newest = newest_trades(batch, n)
         if batch_id > 0:
-            before = batch.sparkSession.read.parquet(f"{tape_path}/batch={batch_id - 1}")
+            before = spark.read.parquet(f"{tape_path}/batch={batch_id - 1}")
             newest = newest.unionByName(before).orderBy(F.desc("trade_time"), F.desc("trade_id")).limit(n)
         newest.write.mode("overwrite").parquet(f"{tape_path}/batch={batch_id}")
+        # A batch is repeated at most from the one before it, so that one stays.
+        remove(spark, [f"{tape_path}/batch={b}" for b in finished(spark, tape_path, "batch") if b < batch_id - 1])
 
     tape = (
         trades.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint + "/tape")
@@ -164,7 +250,7 @@ def resolve_stream(
 
     Streaming emits a request as rejected when the rejection arrives and as accepted
     when the watermark has passed its grace time. Pending payments and rejections after
-    the grace time do not come out; `resolve_log` has them.
+    the grace time do not come out; `resolve.resolve_log` has them.
     """
     req = requests.withWatermark("requested_at", delay).alias("q")
     rej = rejections.select(
@@ -180,59 +266,18 @@ def resolve_stream(
     )
 
 
-def resolve_log(
-    requests: DataFrame, rejections: DataFrame, grace: str, delay: str = "5 minutes"
-) -> DataFrame:
-    """Change log of payment states by payment_id, for append mode; `payment_states` reads it.
-
-    A request is pending on arrival, accepted when the watermark has passed its grace time and
-    rejected when a rejection arrives, however late. The state keeps all requests and rejections,
-    as either may meet the other at any time. A request later than `delay` is not accepted.
-    """
-    pending = requests.select(
-        "payment_id", "amount", "requested_at", F.lit(None).cast("timestamp").alias("rejected_at"),
-        F.lit("pending").alias("status"),
-    )
-    accepted = resolve_stream(requests, rejections, grace, delay).filter("status = 'accepted'")
-    refused = rejections.select(F.col("payment_id").alias("rejected_id"), "rejected_at")
-    rejected = requests.join(refused, F.col("payment_id") == F.col("rejected_id")).select(
-        "payment_id", "amount", "requested_at", "rejected_at", F.lit("rejected").alias("status")
-    )
-    return pending.unionByName(accepted).unionByName(rejected)
-
-
-def payment_states(log: DataFrame) -> DataFrame:
-    """Current state per payment of a `resolve_log`: states only go from pending to rejected."""
-    step = F.when(F.col("status") == "rejected", 2).when(F.col("status") == "accepted", 1).otherwise(0)
-    ranked = log.withColumn("_step", step)
-    return first_per_key(ranked, ["payment_id"], [F.desc("_step"), F.asc("rejected_at")]).drop("_step")
-
-
 def candle_stream(trades: DataFrame, width: str, delay: str) -> DataFrame:
-    """OHLCV candles per symbol and time window."""
-    at = F.struct("trade_time", "trade_id")
+    """OHLCV candles per symbol and time window; trades later than `delay` are dropped."""
     late = trades.withWatermark("trade_time", delay) if trades.isStreaming else trades
-    candles = late.groupBy("symbol", F.window("trade_time", width)).agg(
-        F.min_by("price", at).alias("open"),
-        F.max("price").alias("high"),
-        F.min("price").alias("low"),
-        F.max_by("price", at).alias("close"),
-        F.sum("quantity").alias("volume"),
-        F.sum(F.col("price") * F.col("quantity")).alias("notional_volume"),
-        F.count(F.lit(1)).alias("trade_count"),
-    )
+    valued = late.withColumn("notional_value", F.col("price") * F.col("quantity"))
+    candles = valued.groupBy("symbol", F.window("trade_time", width)).agg(*market.ohlcv())
     return candles.withColumn("candle_open_time", F.col("window.start")).drop("window")
 
 
-def bucket_stream(payments: DataFrame, width: str, delay: str) -> DataFrame:
-    """Counts and amounts per status and time window."""
-    late = payments.withWatermark("requested_at", delay) if payments.isStreaming else payments
-    aggs = [F.count(F.lit(1)).alias("payments_total"), F.sum("amount").alias("amount_total")]
-    for status in ("accepted", "rejected", "pending"):
-        hit = F.col("status") == status
-        aggs.append(F.count_if(hit).alias(f"payments_{status}"))
-        aggs.append(F.sum(F.when(hit, F.col("amount"))).alias(f"amount_{status}"))
-    grouped = late.groupBy(F.window("requested_at", width)).agg(*aggs)
+def bucket_stream(status: DataFrame, width: str, delay: str) -> DataFrame:
+    """Counts and amounts per status and time window; payments later than `delay` are dropped."""
+    late = status.withWatermark("requested_at", delay) if status.isStreaming else status
+    grouped = late.groupBy(F.window("requested_at", width)).agg(*payments.status_totals())
     return grouped.withColumn("request_bucket", F.col("window.start")).drop("window")
 
 

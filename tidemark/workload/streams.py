@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from tidemark.plans import market, payments
 from tidemark.session import scratch_path
 from tidemark.sources import feeds, sinks
 from tidemark.sources.tables import source
-from tidemark.streaming import streams
+from tidemark.streaming import resolve, streams
+from tidemark.streaming.replay import replay
 from tidemark.workload import adapters as ad
 from tidemark.workload.marts import AMOUNTS, BUCKET_SQL, CANDLE_SQL, ntz
 from tidemark.workload.registry import piece, query
@@ -26,6 +29,28 @@ def zoned(df, *cols):
     return df.withColumns({c: F.col(c).cast("timestamp") for c in cols})
 
 
+# Replayed streams: 30 days of events in six slices. Rows arrive up to an hour after their time, within
+# the delay that the queries allow; a few of the first ten days arrive last, and are dropped.
+DELAY = "1 hour"
+LATE_SQL = "event_id % 97 = 0 AND ts < (SELECT min(ts) FROM events) + INTERVAL 10 DAY"
+piece("late_events", f"SELECT event_id FROM events WHERE {LATE_SQL}")
+piece("trades_in_time", "SELECT * FROM trades WHERE trade_id NOT IN (SELECT event_id FROM late_events)")
+
+
+def arrival(spark, sf, key, ts):
+    """When a row arrives, from the id and the time of its event."""
+    events = source(spark, sf, "events")
+    first, last = (events.agg(f("ts")).scalar().cast("timestamp") for f in (F.min, F.max))
+    key, ts = key.cast("long"), ts.cast("timestamp")
+    late = (key % 97 == 0) & (ts < first + F.expr("INTERVAL 10 DAYS"))
+    return F.when(late, last).otherwise(ts + F.make_dt_interval(secs=key * 7919 % 3600))
+
+
+def replayed_trades(spark, sf):
+    trades = zoned(ad.raw_trades(spark, sf), "trade_time", "event_time").drop("consumed_at")
+    return replay(trades, arrival(spark, sf, F.col("trade_id"), F.col("trade_time")), "trades")
+
+
 def trade_stream(spark, sf):
     trades = zoned(ad.raw_trades(spark, sf), "trade_time", "event_time").drop("consumed_at")
     return as_stream(trades, "trades")
@@ -98,25 +123,65 @@ def s11_tape(spark, sf):
     return ntz(rows.filter(F.col("batch") == newest).drop("batch"), "trade_time")
 
 
-@query("r1_dedupe_stream", "SELECT payment_id, amount, requested_at FROM requests")
+# Payments of the first ten days whose request is delivered once more 17 days on, long after the delay.
+FAR_SQL = "CAST(payment_id AS BIGINT) % 50 = 0 AND requested_at < (SELECT min(ts) FROM events) + INTERVAL 10 DAY"
+
+
+@query("r1_dedupe_stream", f"""
+SELECT payment_id, amount, requested_at, count(*) AS came_out FROM (
+ SELECT payment_id, amount, requested_at FROM requests
+ UNION ALL SELECT payment_id, amount, requested_at FROM requests WHERE {FAR_SQL})
+WHERE CAST(payment_id AS BIGINT) NOT IN (SELECT event_id FROM late_events) GROUP BY 1, 2, 3""")
 def r1(spark, sf):
-    raw = as_stream(zoned(ad.raw_requests(spark, sf), "requested_at", "consumed_at"), "r1", files=1)
-    once = streams.dedupe_stream(raw, "payment_id", "consumed_at", "10 minutes").drop("consumed_at")
-    return ntz(streams.run_append(once, "r1-out"), "requested_at")
+    raw = zoned(ad.raw_requests(spark, sf), "requested_at", "consumed_at")
+    first = source(spark, sf, "events").agg(F.min("ts")).scalar().cast("timestamp")
+    event, ten_days = F.col("payment_id").cast("long"), F.expr("INTERVAL 10 DAYS")
+    in_time = ~((event % 97 == 0) & (F.col("requested_at") < first + ten_days))
+    far = raw.filter(in_time & (event % 50 == 0) & (F.col("requested_at") < first + ten_days) & (F.col("consumed_at") == F.col("requested_at")))
+    raw = raw.unionByName(far.withColumn("consumed_at", F.col("consumed_at") + F.expr("INTERVAL 17 DAYS")))
+    # A repetition within the delay is dropped; one that comes after it counts as new.
+    once = streams.dedupe_stream(replay(raw, arrival(spark, sf, event, F.col("consumed_at")), "r1"), "payment_id", "consumed_at", DELAY)
+    out = streams.run_append(once.drop("consumed_at"), "r1-out")
+    return ntz(out.groupBy("payment_id", "amount", "requested_at").agg(F.count(F.lit(1)).alias("came_out")), "requested_at")
+
+
+# Rejections of the adapter, within the grace time, and others that come 16 days after acceptance.
+KEEP_DAYS = 20
+piece("all_rejections", f"""
+SELECT payment_id, rejected_at FROM raw_rejections
+UNION ALL SELECT CAST(event_id AS VARCHAR), ts + INTERVAL 16 DAY FROM ev WHERE k % 7 = 3 AND ts + INTERVAL 16 DAY <= {ad.CLOCK_SQL}""")
+piece("payments_in_time", "SELECT * FROM requests WHERE CAST(payment_id AS BIGINT) NOT IN (SELECT event_id FROM late_events)")
+piece("stream_end", """
+SELECT epoch_ms(greatest((SELECT max(requested_at) FROM payments_in_time), (SELECT max(rejected_at) FROM all_rejections))) - 3600000 AS ms""")
 
 
 @query("r2_resolve_stream", f"""
-SELECT payment_id, amount, requested_at, rejected_at, status FROM pay_status, (SELECT least((SELECT max(requested_at) FROM requests),
- (SELECT max(rejected_at) FROM raw_rejections)) AS seen)
-WHERE status = 'rejected' OR requested_at + INTERVAL {ad.GRACE} MINUTE < seen""")
+SELECT coalesce(q.payment_id, j.payment_id) AS payment_id, amount, requested_at, rejected_at,
+ CASE WHEN q.payment_id IS NULL THEN 'unmatched' WHEN j.payment_id IS NOT NULL THEN 'rejected'
+      WHEN epoch_ms(requested_at) + {ad.GRACE} * 60000 <= ms THEN 'accepted' ELSE 'pending' END AS status,
+ q.payment_id IS NOT NULL AND epoch_ms(requested_at) + {ad.GRACE} * 60000 <= ms
+  AND (j.payment_id IS NULL OR rejected_at >= requested_at + INTERVAL 16 DAY) AS was_accepted
+FROM payments_in_time q FULL JOIN all_rejections j USING (payment_id), stream_end
+WHERE q.payment_id IS NOT NULL OR epoch_ms(rejected_at) + {KEEP_DAYS} * 86400000 <= ms""")
 def r2(spark, sf):
-    requests = payments.stage_requests(ad.raw_requests(spark, sf)).drop("consumed_at")
-    rejections = payments.stage_rejections(ad.raw_rejections(spark, sf)).drop("consumed_at")
-    log = streams.resolve_log(
-        as_stream(requests, "r2-req", 1), as_stream(rejections, "r2-rej", 1), f"{ad.GRACE} MINUTES",
-        delay="0 seconds")
-    states = streams.payment_states(streams.run_append(log, "r2-out"))
-    return ntz(states.filter("status <> 'pending'"), "requested_at", "rejected_at")
+    ad_requests = zoned(ad.raw_requests(spark, sf), "requested_at").drop("consumed_at")
+    late = ad.ev(spark, sf).filter("k % 7 = 3").select(
+        F.col("event_id").cast("string").alias("payment_id"), (F.col("ts") + F.expr("INTERVAL 16 DAYS")).alias("rejected_at"))
+    refused = ad.raw_rejections(spark, sf).drop("consumed_at").unionByName(late.filter(F.col("rejected_at") <= ad.clock(spark, sf)))
+    refused = zoned(refused, "rejected_at")
+    # One replay of both, so that both streams are cut at the same times.
+    both = ad_requests.withColumn("rejected_at", F.lit(None).cast("timestamp")).unionByName(
+        refused.withColumns({"amount": F.lit(None).cast("double"), "requested_at": F.lit(None).cast("timestamp")}))
+    event = F.col("payment_id").cast("long")
+    come = F.when(F.col("rejected_at").isNull(), arrival(spark, sf, event, F.col("requested_at"))).otherwise(
+        F.col("rejected_at") + F.make_dt_interval(secs=event * 31 % 3600))
+    stream = replay(both, come, "r2")
+    log = resolve.resolve_log(
+        stream.filter("rejected_at IS NULL").drop("rejected_at"), stream.filter("rejected_at IS NOT NULL").select("payment_id", "rejected_at"),
+        timedelta(minutes=ad.GRACE), timedelta(days=KEEP_DAYS), DELAY)
+    with resolve.rocks_db(spark):
+        states = resolve.payment_states(streams.run_append(log, "r2-out"))
+    return ntz(states, "requested_at", "rejected_at")
 
 
 # An earlier evaluation, ten days before the newest event.
@@ -156,20 +221,22 @@ def r3(spark, sf):
     return ntz(spark.read.parquet(path).drop("day"), "requested_at", "rejected_at")
 
 
-@query("r4_bucket_stream", BUCKET_SQL)
+@query("r4_bucket_stream", BUCKET_SQL.replace(
+    "FROM pay_status", "FROM pay_status WHERE CAST(payment_id AS BIGINT) NOT IN (SELECT event_id FROM late_events)"))
 def r4(spark, sf):
     status = payments.payment_status(
         payments.stage_requests(ad.raw_requests(spark, sf)), payments.stage_rejections(ad.raw_rejections(spark, sf)),
         ad.clock(spark, sf).cast("timestamp"), ad.GRACE).drop("status_evaluated_at")
-    buckets = streams.bucket_stream(as_stream(status, "r4"), "5 minutes", "40 days")
-    out = ntz(streams.run_log(buckets, ["request_bucket"], "r4-out"), "request_bucket")
+    come = arrival(spark, sf, F.col("payment_id"), F.col("requested_at"))
+    buckets = streams.bucket_stream(replay(status, come, "r4"), "5 minutes", DELAY)
+    out = ntz(streams.run_log(buckets, ["request_bucket"], "r4-out", every=2), "request_bucket")
     return out.withColumns({c: F.round(c, 2) for c in AMOUNTS})
 
 
-@query("r5_candle_stream", CANDLE_SQL.format(unit="minute"))
+@query("r5_candle_stream", CANDLE_SQL.format(unit="minute").replace("FROM trades", "FROM trades_in_time"))
 def r5(spark, sf):
-    candles = streams.candle_stream(trade_stream(spark, sf), "1 minute", "40 days")
-    out = ntz(streams.run_log(candles, ["symbol", "candle_open_time"], "r5-out"), "candle_open_time")
+    candles = streams.candle_stream(replayed_trades(spark, sf), "1 minute", DELAY)
+    out = ntz(streams.run_log(candles, ["symbol", "candle_open_time"], "r5-out", every=2), "candle_open_time")
     return out.withColumn("notional_volume", F.round("notional_volume", 2))
 
 
@@ -182,8 +249,9 @@ def r6(spark, sf):
         keyed = candles.withColumn("day", F.to_date("candle_open_time"))
         sinks.upsert(keyed, path, ["symbol", "candle_open_time"], "day")
 
-    # The first run ends in the middle of an hour; the second one completes that hour.
-    half = F.lit("2024-01-15 10:31:00").cast("timestamp")
+    # The first run ends in the middle of an hour in the middle of the data; the second one completes it.
+    first, last = (trades.agg(f("trade_time")).scalar() for f in (F.min, F.max))
+    half = F.date_trunc("hour", first + (last - first) / 2) + F.expr("INTERVAL 31 MINUTES")
     save(market.candles(trades.filter(F.col("trade_time") < half), "hour"))
     newer = market.since_last_bucket(trades, spark.read.parquet(path), "trade_time")
     save(market.candles(newer, "hour"))
@@ -210,24 +278,31 @@ def r7(spark, sf):
 
 
 @query("r7_session_stream", f"""
-SELECT * FROM ({_user_sessions("INTERVAL 12 HOUR")}) WHERE session_end + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events)""")
+SELECT * FROM ({_user_sessions("INTERVAL 12 HOUR").replace("FROM events", f"FROM events WHERE NOT ({LATE_SQL})")})
+WHERE session_end + INTERVAL 13 HOUR <= (SELECT max(ts) FROM events)""")
 def r7_stream(spark, sf):
     events = zoned(source(spark, sf, "events"), "ts")
-    sessions = streams.session_stream(as_stream(events, "r7", 1), "user_id", "ts", "12 hours", "0 seconds")
+    stream = replay(events, arrival(spark, sf, F.col("event_id"), F.col("ts")), "r7")
+    sessions = streams.session_stream(stream, "user_id", "ts", "12 hours", DELAY)
     return ntz(streams.run_append(sessions, "r7-out"), "session_start", "session_end")
 
 
 @query("r8_running_state", BOARD_SQL)
 def r8(spark, sf):
-    return ntz(streams.run_log(streams.live_prices(trade_stream(spark, sf)), ["symbol"], "r8"), "updated_at")
+    return ntz(streams.run_log(streams.live_prices(replayed_trades(spark, sf)), ["symbol"], "r8", every=3), "updated_at")
 
 
-@query("r9_micro_batches", "SELECT symbol, count(*) AS trades FROM trades GROUP BY 1")
+@query("r9_micro_batches", """
+SELECT symbol, count(*) AS trades, 5 AS batches, CAST((SELECT count(*) FROM trades) AS BIGINT) AS rows_in_batches FROM trades GROUP BY 1""")
 def r9(spark, sf):
-    options, _ = streams.pace(1, fmt="file")
+    options, trigger = streams.pace(1, fmt="file")
     path = scratch_path(spark, "r9")
     trades = ad.raw_trades(spark, sf).select("symbol", "trade_id")
     trades.repartition(5).write.parquet(path)
     stream = spark.readStream.schema(trades.schema).options(**options).parquet(path)
     counted = stream.groupBy("symbol").agg(F.count(F.lit(1)).alias("trades"))
-    return streams.run_log(counted, ["symbol"], "r9-out")
+    log = path + "-log"
+    batches = streams.until_idle(
+        streams.change_log(counted, log, log + "-state", ["symbol"], every=2, trigger=trigger), idle_seconds=5)
+    return streams.read_log(spark, log, ["symbol"]).withColumns({
+        "batches": F.lit(len(batches)), "rows_in_batches": F.lit(sum(b["numInputRows"] for b in batches)).cast("long")})
