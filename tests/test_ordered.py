@@ -21,12 +21,12 @@ def history(spark):
     return pdf.sort_values(["key", "ts", "id"]), df
 
 
-@pytest.mark.parametrize("days", [1, 3])
-def test_neighbours_cross_bucket_edges(history, days):
+@pytest.mark.parametrize("parts", [None, 1, 7, 50])
+def test_neighbours_cross_part_edges(history, parts):
     pdf, df = history
-    bucket = ordered.day_bucket("ts", days)
-    out = ordered.previous_value(df, ["key"], "id", ["ts", "id"], bucket, "before")
-    out = ordered.next_value(out, ["key"], "id", ["ts", "id"], bucket, "after")
+    df = ordered.split(df, ["key"], ["ts", "id"], parts)
+    out = ordered.previous_value(df, ["key"], "id", ["ts", "id"], "before")
+    out = ordered.next_value(out, ["key"], "id", ["ts", "id"], "after")
     got = {r["id"]: (r["before"], r["after"]) for r in out.collect()}
     groups = pdf.groupby("key")["id"]
     for i, b, a in zip(pdf["id"], groups.shift(1), groups.shift(-1)):
@@ -35,9 +35,26 @@ def test_neighbours_cross_bucket_edges(history, days):
 
 def test_running_total(history):
     pdf, df = history
-    out = ordered.running_total(df, ["key"], "n", ["ts", "id"], ordered.day_bucket("ts"), "total")
-    got = {r["id"]: r["total"] for r in out.collect()}
-    assert got == dict(zip(pdf["id"], pdf.groupby("key")["n"].cumsum()))
+    for rows in (df, ordered.split(df, ["key"], ["ts", "id"], 20)):
+        out = ordered.running_total(rows, ["key"], "n", ["ts", "id"], "total")
+        out = ordered.running_max(out, ["key"], "n", ["ts", "id"], "most")
+        got = {r["id"]: (r["total"], r["most"]) for r in out.collect()}
+        groups = pdf.groupby("key")["n"]
+        assert got == dict(zip(pdf["id"], zip(groups.cumsum(), groups.cummax())))
+        assert set(out.columns) - {ordered.PART} == {*df.columns, "total", "most"}
+
+
+def test_one_visitor_of_one_day_takes_several_tasks(spark):
+    """All rows have one key and one day; parts are cut by rows, and sessions cross their edges."""
+    rows = [("v", i, f"e{i:04}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "who string, s int, id string").withColumn(
+        "ts", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("s") * 40))
+    sizes = [r["count"] for r in ordered.split(df, ["who"], ["ts", "id"], 8).groupBy(ordered.PART).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 500
+    one = sessionize(df, "who", "ts", "id", "1 minute", parts=8)
+    assert {r["session_id"] for r in one.collect()} == {"v-s00001"}
+    many = sessionize(df, "who", "ts", "id", "30 seconds", parts=8).orderBy("id")
+    assert [r["session_id"] for r in many.collect()] == [f"v-s{i + 1:05}" for i in range(2000)]
 
 
 def test_rank_overall_and_within(history):
@@ -102,9 +119,9 @@ def test_null_keys_times_and_values_match_plain_windows(spark):
         "total", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
         "size", F.count(F.lit(1)).over(Window.partitionBy("key")))
     order = ["day", "id"]
-    got = ordered.previous_value(df, ["key"], "n", order, F.col("day"), "before")
-    got = ordered.next_value(got, ["key"], "n", order, F.col("day"), "after")
-    got = ordered.running_total(got, ["key"], "n", order, F.col("day"), "total")
+    got = ordered.previous_value(ordered.split(df, ["key"], order, 9), ["key"], "n", order, "before")
+    got = ordered.next_value(got, ["key"], "n", order, "after")
+    got = ordered.running_total(got, ["key"], "n", order, "total")
     got = with_group_size(got, ["key"], "size")
     names = ["id", "before", "after", "total", "size"]
     assert sorted(map(tuple, got.select(names).collect())) == sorted(map(tuple, want.select(names).collect()))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 
 def pivot_max(axis: str, values: Mapping[str, object], measures: Mapping[str, str]) -> list[Column]:
     """max(measure) for each axis value, as columns of one aggregation.
@@ -33,12 +35,13 @@ def percent_true(condition: Column, digits: int = 1) -> Column:
 
 
 def share_of_total(df: DataFrame, keys: Sequence[str], count: str, share: str, digits: int = 1):
-    """Rows per group and their percentage of all rows. The window sees only the groups."""
-    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count))
-    everything = Window.partitionBy()
-    return groups.withColumn(
-        share, F.round(100.0 * F.col(count) / F.sum(count).over(everything), digits)
-    )
+    """Rows per group and their percentage of all rows.
+
+    The groups are written out and their total is a scalar, so no task holds all groups.
+    """
+    groups = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count)))
+    total = groups.agg(F.sum(count)).scalar()
+    return groups.withColumn(share, F.round(100.0 * F.col(count) / total, digits))
 
 
 def vector_mean(

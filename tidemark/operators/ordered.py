@@ -2,9 +2,9 @@
 
 A window over `partitionBy(key)` handles a whole key in one task. When one key may hold
 a large part of all rows that task is the job. The operators here work in two levels:
-each key is cut into buckets along its order, the window runs inside the bucket, and
-the little that crosses a bucket edge (last value, running total) travels through one
-summary row per bucket.
+all rows are range-sorted by key and order into parts of about equal size, wherever a key
+begins or ends, the window runs inside a part, and the little that crosses the edge of a part
+(last value, running total) travels through one summary row per key and part.
 """
 
 from __future__ import annotations
@@ -17,69 +17,83 @@ from pyspark.sql import functions as F
 from tidemark.operators.keyed import join_null_safe
 from tidemark.session import cut
 
-_BUCKET = "_bucket"
+PART = "_part"
 # monotonically_increasing_id() keeps the row number in the lower 33 bits.
 _ROW_BITS = 33
 
 
-def day_bucket(ts: str, days: int = 1) -> Column:
-    """Bucket number of a timestamp or date column."""
-    number = F.datediff(F.col(ts), F.lit("1970-01-01").cast("date"))
-    return number if days == 1 else F.floor(number / F.lit(days))
+def split(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None = None) -> DataFrame:
+    """Adds PART, the number of the part a row is in; it does not decrease along key and order.
+
+    Parts are cut by a sample of the rows, so they hold about as many rows each, whatever the keys
+    and times are. Written out, as every part is read several times. `parts` is their number; by
+    default Spark joins small ones.
+    """
+    columns = [*keys, *order]
+    ranged = df.repartitionByRange(parts, *columns) if parts else df.repartitionByRange(*columns)
+    return cut(ranged.withColumn(PART, F.spark_partition_id()))
+
+
+def _in_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, bool]:
+    """The rows with PART, and whether it was added here."""
+    return (df, False) if PART in df.columns else (split(df, keys, order), True)
 
 
 def _edges(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], after: bool):
-    """Per key and bucket, the nearest value in the neighbouring non-empty bucket."""
+    """Per key and part, the nearest value in the neighbouring part that has the key."""
     pick = F.min_by if after else F.max_by
-    edge = df.groupBy(*keys, _BUCKET).agg(pick(F.col(value), F.struct(*order)).alias("_edge"))
-    w = Window.partitionBy(*keys).orderBy(_BUCKET)
+    edge = df.groupBy(*keys, PART).agg(pick(F.col(value), F.struct(*order)).alias("_edge"))
+    w = Window.partitionBy(*keys).orderBy(PART)
     step = F.lead if after else F.lag
-    return edge.select(*keys, _BUCKET, step("_edge").over(w).alias("_carried"))
+    return edge.select(*keys, PART, step("_edge").over(w).alias("_carried"))
 
 
-def _neighbour(df, keys, value, order, bucket, name, after):
+def _neighbour(df, keys, value, order, name, after):
     keys, order = list(keys), list(order)
-    tagged = df.withColumn(_BUCKET, bucket)
-    w = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
+    tagged, added = _in_parts(df, keys, order)
+    w = Window.partitionBy(*keys, PART).orderBy(*order)
     step = F.lead if after else F.lag
     local = tagged.withColumn("_local", step(F.col(value)).over(w)).withColumn(
         "_inside", step(F.lit(True)).over(w)
     )
     edges = _edges(tagged, keys, value, order, after)
     near = F.when(F.col("_inside"), F.col("_local")).otherwise(F.col("_carried"))
-    joined = join_null_safe(local, edges, [*keys, _BUCKET]).withColumn(name, near)
-    return joined.drop("_local", "_inside", "_carried", _BUCKET)
+    joined = join_null_safe(local, edges, [*keys, PART]).withColumn(name, near)
+    return joined.drop("_local", "_inside", "_carried", *([PART] if added else []))
 
 
-def previous_value(
-    df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], bucket: Column, name: str
-) -> DataFrame:
-    """lag(value) per key. `bucket` has to be non-decreasing along `order`."""
-    return _neighbour(df, keys, value, order, bucket, name, after=False)
+def previous_value(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], name: str) -> DataFrame:
+    """lag(value) per key. Rows that `split` has cut already keep their parts."""
+    return _neighbour(df, keys, value, order, name, after=False)
 
 
-def next_value(
-    df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], bucket: Column, name: str
-) -> DataFrame:
-    """lead(value) per key. `bucket` has to be non-decreasing along `order`."""
-    return _neighbour(df, keys, value, order, bucket, name, after=True)
+def next_value(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], name: str) -> DataFrame:
+    """lead(value) per key. Rows that `split` has cut already keep their parts."""
+    return _neighbour(df, keys, value, order, name, after=True)
 
 
-def running_total(
-    df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], bucket: Column, name: str
-) -> DataFrame:
-    """sum(value) from the start of the key to the current row; null while all values are null."""
+def _running(df, keys, value, order, name, aggregate, both):
     keys, order = list(keys), list(order)
-    tagged = df.withColumn(_BUCKET, bucket)
-    inside = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
+    tagged, added = _in_parts(df, keys, order)
+    inside = Window.partitionBy(*keys, PART).orderBy(*order)
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = tagged.groupBy(*keys, _BUCKET).agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, _BUCKET, F.sum("_sum").over(before).alias("_offset"))
-    local = tagged.withColumn("_local", F.sum(value).over(inside))
-    joined = join_null_safe(local, offsets, [*keys, _BUCKET])
-    both = F.coalesce(F.col("_local") + F.col("_offset"), F.col("_local"), F.col("_offset"))
-    return joined.withColumn(name, both).drop("_local", "_offset", _BUCKET)
+    totals = tagged.groupBy(*keys, PART).agg(aggregate(value).alias("_part_value"))
+    before = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, PART, aggregate("_part_value").over(before).alias("_offset"))
+    local = tagged.withColumn("_local", aggregate(value).over(inside))
+    joined = join_null_safe(local, offsets, [*keys, PART])
+    joined = joined.withColumn(name, both(F.col("_local"), F.col("_offset")))
+    return joined.drop("_local", "_offset", *([PART] if added else []))
+
+
+def running_total(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], name: str) -> DataFrame:
+    """sum(value) from the start of the key to the current row; null while all values are null."""
+    return _running(df, keys, value, order, name, F.sum, lambda a, b: F.coalesce(a + b, a, b))
+
+
+def running_max(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], name: str) -> DataFrame:
+    """max(value) from the start of the key to the current row; null while all values are null."""
+    return _running(df, keys, value, order, name, F.max, F.greatest)
 
 
 def rank_rows(

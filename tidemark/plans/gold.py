@@ -48,15 +48,9 @@ def session_summary(sessions: DataFrame, graph: DataFrame) -> DataFrame:
 # --- customers --------------------------------------------------------------
 
 
-def dim_customer(versions: DataFrame, days: int = 365) -> DataFrame:
-    """Type-2 dimension: each version is valid until the next one starts.
-
-    Versions count up with time, so a customer's history is split along the version number.
-    """
-    slices = F.floor(F.col("version_number") / F.lit(days))
-    dated = next_value(
-        versions, ["customer_id"], "effective_at", ["version_number"], slices, "valid_to"
-    )
+def dim_customer(versions: DataFrame) -> DataFrame:
+    """Type-2 dimension: each version is valid until the next one starts."""
+    dated = next_value(versions, ["customer_id"], "effective_at", ["version_number"], "valid_to")
     return (
         dated.withColumn("customer_sk", surrogate_key("customer_id", "version_number"))
         .withColumn("is_current", F.col("valid_to").isNull())

@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import running_max
+from tidemark.session import cut
+
 
 def _row(check: str, severity: str, failures: Column) -> Column:
     status = F.when(failures == 0, "pass").otherwise(severity)
@@ -59,27 +62,42 @@ def report(*results: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, results)
 
 
+# Hours that one task looks at, besides the trailing ones before them.
+BLOCK_HOURS = 4096
+_HOUR = 3_600_000_000
+
+
 def _hours(df: DataFrame, ts: str, *aggs: Column) -> DataFrame:
-    """Aggregates for every hour between the first and the last row, empty hours included."""
-    hour = F.date_trunc("hour", ts).cast(df.schema[ts].dataType)
-    counted = df.filter(F.col(ts).isNotNull()).groupBy(hour.alias("hour")).agg(*aggs)
-    span = F.sequence(F.min("hour"), F.max("hour"), F.expr("INTERVAL 1 HOUR"))
-    spine = counted.agg(span.alias("_hours")).select(F.explode("_hours").alias("hour"))
-    return spine.join(counted, "hour", "left")
+    """Aggregates for every hour between the first and the last row, empty hours included.
+
+    Hours are numbered since 1970 and made in parallel, so a far-off timestamp is many rows, not
+    one large one.
+    """
+    spark, kind = df.sparkSession, df.schema[ts].dataType
+    hour = F.date_trunc("hour", ts).cast("timestamp")
+    number = F.floor(F.unix_micros(hour) / F.lit(_HOUR))
+    counted = cut(df.filter(F.col(ts).isNotNull()).groupBy(number.alias("n")).agg(*aggs))
+    first, last = counted.agg(F.min("n"), F.max("n")).first()
+    spine = spark.range(*((first, last + 1) if first is not None else (0, 0))).withColumnRenamed("id", "n")
+    return spine.join(counted, "n", "left").withColumn("hour", F.timestamp_micros(F.col("n") * F.lit(_HOUR)).cast(kind))
 
 
 def _scored(
     hours: DataFrame, metric: str, trailing: int, limit: float, severity: str, both: bool
 ) -> DataFrame:
-    """z-score of each hour against the hours before it. The window runs over hours, not rows.
+    """z-score of each hour `n` against the hours before it; `hours` has all of them.
 
-    `both` reports unusually low values as well as high ones.
+    Hours are cut in blocks, and a block gets the trailing hours before it once more, so a window
+    sees a block and what it looks back on. `both` reports unusually low values as well as high ones.
     """
-    past = Window.orderBy("hour").rowsBetween(-trailing, -1)
+    own = F.floor(F.col("n") / BLOCK_HOURS)
+    again = F.floor((F.col("n") + trailing) / BLOCK_HOURS)
+    blocks = hours.withColumn("_block", F.explode(F.sequence(own, again)))
+    past = Window.partitionBy("_block").orderBy("n").rowsBetween(-trailing, -1)
     value = F.col(metric)
     mean, spread = F.avg(value).over(past), F.stddev_samp(value).over(past)
     z = (value - mean) / F.nullif(spread, F.lit(0.0))
-    scored = hours.withColumn("z_score", z)
+    scored = blocks.withColumn("z_score", z).filter(F.col("_block") == own).drop("_block", "n")
     odd = (F.abs("z_score") if both else F.col("z_score")) > limit
     return scored.withColumn("status", F.when(odd, severity).otherwise("pass"))
 
@@ -98,9 +116,7 @@ def freshness_anomalies(
 ) -> DataFrame:
     """Seconds since the newest load at the end of each hour, compared with the hours before."""
     hours = _hours(df, ts, F.max(ts).alias("_newest"))
-    so_far = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    newest = F.max("_newest").over(so_far)
-    end = F.col("hour") + F.expr("INTERVAL 1 HOUR")
-    stale = (F.unix_micros(end.cast("timestamp")) - F.unix_micros(newest.cast("timestamp"))) / 1e6
-    hours = hours.select("hour", stale.alias("staleness_seconds"))
+    hours = running_max(hours, [], "_newest", ["n"], "_so_far")
+    stale = ((F.col("n") + 1) * F.lit(_HOUR) - F.unix_micros(F.col("_so_far").cast("timestamp"))) / 1e6
+    hours = hours.select("n", "hour", stale.alias("staleness_seconds"))
     return _scored(hours, "staleness_seconds", trailing, limit, severity, both=False)

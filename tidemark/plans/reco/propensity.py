@@ -9,13 +9,13 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import zero_if_null
 from tidemark.functions.timeparts import elapsed_days
 from tidemark.operators.joins import membership, outer_merge
-from tidemark.operators.ordered import deciles, rank_rows
+from tidemark.operators.ordered import deciles, rank_rows, running_total, split as in_parts
 from tidemark.session import cut
 
 # Model inputs and the recency of customers without any event.
@@ -133,27 +133,15 @@ def drivers(model: PipelineModel) -> list[tuple[str, float]]:
 def average_precision(scored: DataFrame, score: str, truth: str) -> Column:
     """Step-wise area under the precision-recall curve, as a scalar.
 
-    Rows with one score form one step. The steps are ranked in parallel, and running
-    counts come from per-slice totals.
+    Rows with one score form one step. Running counts come from parts of the sorted steps.
     """
-    steps = scored.groupBy(F.col(score).alias("_score")).agg(
+    steps = scored.groupBy((-F.col(score)).alias("_minus")).agg(
         F.sum(truth).alias("_hits"), F.count(F.lit(1)).alias("_n")
     )
-    ranked = rank_rows(steps, [F.desc("_score")], "_rank")
-    ranked = ranked.withColumn("_slice", F.floor(F.col("_rank") / 10_000))
-    inside = Window.partitionBy("_slice").orderBy("_rank").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranked.groupBy("_slice").agg(F.sum("_hits").alias("h"), F.sum("_n").alias("n"))
-    offsets = totals.select(
-        "_slice",
-        F.coalesce(F.sum("h").over(before), F.lit(0)).alias("_h0"),
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_n0"),
-    )
-    running = ranked.withColumns({
-        "_h": F.sum("_hits").over(inside), "_seen": F.sum("_n").over(inside),
-    }).join(offsets, "_slice")
-    precision = (F.col("_h") + F.col("_h0")) / (F.col("_seen") + F.col("_n0"))
+    steps = in_parts(steps, [], ["_minus"])
+    running = running_total(steps, [], "_hits", ["_minus"], "_h")
+    running = running_total(running, [], "_n", ["_minus"], "_seen")
+    precision = F.col("_h") / F.col("_seen")
     return running.agg(F.sum(precision * F.col("_hits")) / F.sum("_hits")).scalar()
 
 

@@ -438,10 +438,6 @@ def w1(spark, sf):
     return best.select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-def _order_days():
-    return ordered.day_bucket("o_orderdate", 365)
-
-
 def _null_customers(spark, sf):
     """Orders with a customer group that is null for one in fifty customers."""
     return t(spark, sf, "orders").withColumn("_cust", F.expr("nullif(o_custkey % 50, 7)"))
@@ -452,7 +448,7 @@ SELECT o_orderkey, lag(o_orderdate) OVER w AS before, coalesce(o_orderdate - lag
 FROM orders WINDOW w AS (PARTITION BY nullif(o_custkey % 50, 7) ORDER BY o_orderdate, o_orderkey)""")
 def w2(spark, sf):
     rows = ordered.previous_value(
-        _null_customers(spark, sf), ["_cust"], "o_orderdate", ["o_orderdate", "o_orderkey"], _order_days(), "before")
+        _null_customers(spark, sf), ["_cust"], "o_orderdate", ["o_orderdate", "o_orderkey"], "before")
     gap = F.col("o_orderdate") - F.col("before") > F.expr("INTERVAL 90 DAYS")
     return rows.select("o_orderkey", "before", F.coalesce(gap, F.lit(True)).alias("long_gap"))
 
@@ -463,7 +459,7 @@ SELECT o_orderkey, CAST(sum(CASE WHEN o_orderkey % 3 > 0 THEN CAST(floor(o_total
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS spent FROM orders""")
 def w3(spark, sf):
     rows = _null_customers(spark, sf).withColumn("amount", F.when(F.col("o_orderkey") % 3 > 0, F.floor("o_totalprice")))
-    out = ordered.running_total(rows, ["_cust"], "amount", ["o_orderdate", "o_orderkey"], _order_days(), "spent")
+    out = ordered.running_total(rows, ["_cust"], "amount", ["o_orderdate", "o_orderkey"], "spent")
     return out.select("o_orderkey", "spent")
 
 
@@ -472,7 +468,7 @@ SELECT o_orderkey, o_orderdate AS valid_from, lead(o_orderdate) OVER w AS valid_
 FROM orders WINDOW w AS (PARTITION BY nullif(o_custkey % 50, 7) ORDER BY o_orderdate, o_orderkey)""")
 def w4(spark, sf):
     rows = ordered.next_value(
-        _null_customers(spark, sf), ["_cust"], "o_orderdate", ["o_orderdate", "o_orderkey"], _order_days(), "valid_to")
+        _null_customers(spark, sf), ["_cust"], "o_orderdate", ["o_orderdate", "o_orderkey"], "valid_to")
     return rows.select("o_orderkey", F.col("o_orderdate").alias("valid_from"), "valid_to",
                        F.col("valid_to").isNull().alias("is_current"))
 

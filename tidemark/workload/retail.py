@@ -207,7 +207,7 @@ FROM versions WINDOW w AS (PARTITION BY customer_id ORDER BY version_number)""")
 
 def dim_customer(spark, sf):
     # The adapter numbers versions by day, 200,000 numbers a day.
-    return gold.dim_customer(retail.customer_versions(ad.raw_versions(spark, sf)), 365 * ad.SHIFT)
+    return gold.dim_customer(retail.customer_versions(ad.raw_versions(spark, sf)))
 
 
 @query("m22_dim_customer", "SELECT * FROM dim_cust")
