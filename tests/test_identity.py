@@ -25,9 +25,9 @@ def clicks(spark):
     return df.withColumn("event_at", F.concat(F.lit("2024-01-01 "), "event_at").cast("timestamp_ntz"))
 
 
-@pytest.mark.parametrize("hot_pairs", [0, 10**9])
-def test_bridge_tiers(clicks, rows, hot_pairs):
-    out = identity.bridge(clicks, hot_pairs)
+
+def test_bridge_tiers(clicks, rows):
+    out = identity.bridge(clicks)
     assert rows(out, "anonymous_id", "customer_id", "link_method", "confidence", "n_signals") == [
         ("address", "c4", "shared_ip", 0.35, 2), ("mail", "c3", "email_click_encoded", 0.99, 2),
         ("print", "c3", "device_fingerprint", 0.55, 1), ("shop", "c4", "checkout_email", 0.98, 1),

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import gram
+from tidemark.operators import gram, links
 from tidemark.operators.links import best_shared
 
 
@@ -45,31 +45,44 @@ def brute_force(sources, targets):
     return best
 
 
-@pytest.mark.parametrize("hot_pairs", [0, 6, 40, 10**9])
+def population(seed, n_sources, n_targets, n_keys, share):
+    """Values from rare to one that most members have; members with one value and with very many."""
+    rng = np.random.default_rng(seed)
+    odds = np.linspace(0.02, 1.0, n_keys) ** 3 * share
+    sources = {(f"s{m:03}", f"k{k}") for m in range(n_sources) for k in np.flatnonzero(rng.random(n_keys) < odds)}
+    targets = {(f"t{m:03}", f"k{k}") for m in range(n_targets) for k in np.flatnonzero(rng.random(n_keys) < odds)}
+    everything = {("s999", f"k{k}") for k in range(n_keys)} | {("lonely", "nobody")}
+    return sorted(sources | everything), sorted(targets | {("t999", f"k{k}") for k in range(0, n_keys, 2)} | {("t998", "unasked")})
+
+
+@pytest.mark.parametrize("shape", [(40, 30, 13, 0.8), (60, 60, 40, 0.3), (30, 50, 4, 1.0), (80, 20, 25, 0.1)])
 @pytest.mark.parametrize("weighted", [False, True])
-def test_best_shared_with_hot_keys(spark, hot_pairs, weighted):
-    """Whatever counts as hot, the result is that of joining everything."""
-    rng = np.random.default_rng(11)
-    sources, targets = set(), set()
-    for m in range(40):
-        for k in rng.choice(12, rng.integers(1, 5), replace=False):
-            sources.add((f"s{m:02d}", f"k{k}"))
-        if rng.random() < 0.5:
-            sources.add((f"s{m:02d}", "hot"))
-    for m in range(30):
-        for k in rng.choice(12, rng.integers(1, 4), replace=False):
-            targets.add((f"t{m:02d}", f"k{k}"))
-        if rng.random() < 0.7:
-            targets.add((f"t{m:02d}", "hot"))
-    sources.add(("lonely", "nobody"))
-    left = [(s, k, (hash_free(s, k) if weighted else 1)) for s, k in sorted(sources)]
+def test_best_shared(spark, shape, weighted):
+    """The result is that of joining everything."""
+    sources, targets = population(11, *shape)
+    left = [(s, k, (hash_free(s, k) if weighted else 1)) for s, k in sources]
     a = spark.createDataFrame(left, "s string, k string, w int")
-    b = spark.createDataFrame(sorted(targets), "t string, k string")
-    out = best_shared(a, b, "s", "t", "k", "w" if weighted else None, hot_pairs)
+    b = spark.createDataFrame(targets, "t string, k string")
+    out = best_shared(a, b, "s", "t", "k", "w" if weighted else None)
     got = {r["s"]: (r["t"], r["strength"]) for r in out.collect()}
     assert got == brute_force(left, targets)
 
 
+def test_no_stage_pairs_the_members_of_a_frequent_value(spark, monkeypatch):
+    """500 sources and 500 targets share two values; what is compared is a handful of rests."""
+    sizes = []
+    real = links._pairs
+    monkeypatch.setattr(links, "_pairs", lambda *a: (lambda out: sizes.append(out.count()) or out)(real(*a)))
+    sources = [(f"s{i:03}", k) for i in range(500) for k in ("gateway", "agent") if k == "gateway" or i % 2]
+    targets = [(f"t{i:03}", k) for i in range(500) for k in ("gateway", "agent") if k == "gateway" or i % 3 == 2]
+    sources += [(f"s{i:03}", f"own{i}") for i in range(20)]
+    targets += [(f"t{i + 400:03}", f"own{i}") for i in range(20)]
+    a, b = spark.createDataFrame(sources, "s string, k string"), spark.createDataFrame(targets, "t string, k string")
+    got = {r["s"]: (r["t"], r["strength"]) for r in best_shared(a, b, "s", "t", "k").collect()}
+    assert got == brute_force([(*x, 1) for x in sources], targets)
+    assert sum(sizes) < 100
+
+
 def hash_free(s, k):
     return 1 + (sum(map(ord, s + k)) % 3)
 

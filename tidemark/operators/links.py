@@ -1,14 +1,20 @@
 """Best link between two populations that share attributes (a many-to-many match).
 
-Strength is the number of shared attribute values; each source keeps its strongest
-target, ties going to the smallest target id. A value shared by very many (a carrier
-gateway address, say) would join every source with every target behind it. Two exact
-reductions keep that from happening:
-
-* members with the same set of values are interchangeable, so one source stands for
-  all its twins, and of several twin targets only the smallest can win;
-* values that still join too many representatives are left out of the join. They count
-  through the sets of such values: few sets exist, and members with equal sets collapse.
+Strength is the number (or weight) of shared attribute values; each source keeps its strongest
+target, ties going to the smallest target id. A value shared by very many (a carrier gateway
+address, say) would join every source with every target behind it. One exact plan avoids that,
+whatever the sizes:
+
+* Values are ordered by how many targets have them. The rest of a member from a value on are that
+  value and its more frequent ones. Two members whose rests are equal are interchangeable for
+  the pairs that have this value as their rarest shared one, so rests are compared, not members,
+  and of targets with one rest only the smallest can win. The more frequent a value, the fewer
+  different rests there are from it on: the most frequent one has a single one on either side.
+* The weight of a source's rest bounds what any target can reach whose rarest shared value is
+  there. Sources are matched by their rarest value first; a more frequent one is looked at only
+  where its bound is not below the strength found already.
+
+A pair of rests is rated by the rows of one member of each; sets are never collected.
 """
 
 from __future__ import annotations
@@ -17,101 +23,86 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.keyed import first_per_key
+from tidemark.operators.ordered import running
 from tidemark.session import cut
 
-HOT_PAIRS = 50_000_000
+_REST = ["_key", "_d1", "_d2"]
 
 
-def _twins(df: DataFrame, member: str, values: list[str], head: str) -> DataFrame:
-    """Each member with the smallest member that has the same set of values.
+def _rests(rows: DataFrame, member: str, frequency: DataFrame, values: list[str]) -> DataFrame:
+    """Rows of members with the name of their rest from that value on.
 
-    Sets are compared by size and two 64-bit digests, never collected.
+    _n is the number of values of the rest, _bound its weight; _d1 and _d2 are 128 bits of digest.
     """
-    digest = df.groupBy(member).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum(F.xxhash64(*values).cast("decimal(20,0)")).alias("_h1"),
-        F.bit_xor(F.xxhash64(F.lit(17), *values)).alias("_h2"),
+    ranked = rows.join(frequency, "_key").withColumns({
+        "_often": -F.col("_f"), "_place": -F.xxhash64("_key"), "_one": F.lit(1).cast("long"),
+        "_h1": F.xxhash64(F.lit(3), *values), "_h2": F.xxhash64(F.lit(17), *values),
+    })
+    added = running(
+        ranked, [member], ["_often", "_place", "_key"],
+        {"_n": ("_one", "sum"), "_bound": ("_w", "sum"), "_d1": ("_h1", "xor"), "_d2": ("_h2", "xor")},
     )
-    heads = digest.groupBy("_n", "_h1", "_h2").agg(F.min(member).alias(head))
-    return digest.join(heads, ["_n", "_h1", "_h2"]).select(member, head)
+    return cut(added.select(member, "_key", "_w", "_n", "_bound", "_d1", "_d2"))
 
 
-def _best_pairs(sources: DataFrame, targets: DataFrame) -> DataFrame:
-    counted = (
-        sources.join(targets, "_key").groupBy("source", "target").agg(F.sum("_w").alias("strength"))
-    )
-    return first_per_key(counted, ["source"], [F.desc("strength"), F.asc("target")])
+def _pairs(rests: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of a source's and a target's rest from the same value on; one member stands for each.
+
+    A source that has its rest alone meets a target in the largest rest they share only: the other
+    rests say less of the same pair.
+    """
+    mine = rests.groupBy(*_REST, "_n").agg(F.min("source").alias("_s"), F.count(F.lit(1)).alias("_size"))
+    theirs = right.groupBy(*_REST, F.col("_n").alias("_m")).agg(F.min("target").alias("_t"))
+    theirs = theirs.select(F.col("_key"), "_m", "_t")
+    both = mine.join(theirs, "_key").withColumn("_alone", F.col("_size") == 1)
+    rest = F.when(~F.col("_alone"), F.struct(*_REST))
+    largest = F.struct("_n", *_REST, "_m")
+    kept = both.groupBy("_s", "_t", "_alone", rest.alias("_rest")).agg(F.max(largest).alias("_at"))
+    return kept.select("_s", "_t", "_alone", "_at.*")
+
+
+def _rated(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """The strength of each pair of rests: the weight of the values that both have."""
+    own = left.select(F.col("source").alias("_s"), F.col("_key").alias("_value"), F.col("_n").alias("_i"), "_w")
+    other = right.select(F.col("target").alias("_t"), F.col("_key").alias("_value"), F.col("_n").alias("_j"))
+    of_source = pairs.join(own, "_s").filter(F.col("_i") <= F.col("_n"))
+    shared = of_source.join(other, ["_t", "_value"]).filter(F.col("_j") <= F.col("_m"))
+    return shared.groupBy("_s", "_t", "_alone", *_REST).agg(F.sum("_w").alias("strength"))
+
+
+def _per_source(rests: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """The strongest target that each source has through the given rests."""
+    rated = cut(_rated(cut(_pairs(rests, right)), left, right))
+    order = [F.desc("strength"), F.asc("target")]
+    alone = rated.filter("_alone").select(F.col("_s").alias("source"), F.col("_t").alias("target"), "strength")
+    shared = rated.filter(~F.col("_alone")).select(*_REST, F.col("_t").alias("target"), "strength")
+    of_members = rests.select("source", *_REST).join(first_per_key(shared, _REST, order), _REST)
+    return first_per_key(alone.unionByName(of_members.select("source", "target", "strength")), ["source"], order)
 
 
 def best_shared(
-    sources: DataFrame, targets: DataFrame, source: str, target: str, key: str,
-    weight: str | None = None, hot_pairs: int = HOT_PAIRS,
+    sources: DataFrame, targets: DataFrame, source: str, target: str, key: str, weight: str | None = None
 ) -> DataFrame:
     """Per source the target sharing most values of `key`; columns source, target, strength.
 
-    Both inputs hold distinct (member, key) rows without nulls. With `weight`, a shared
-    value counts as much as the source row says.
+    Both inputs hold distinct (member, key) rows without nulls. With `weight`, a shared value
+    counts as much as the source row says; weights are not negative.
     """
     w = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
-    sources = sources.select(
-        F.col(source).alias("source"), F.col(key).alias("_key"), w.alias("_w")
-    )
-    targets = targets.select(F.col(target).alias("target"), F.col(key).alias("_key"))
-
-    # Every source row with the head of its twins; the heads stand for all of them.
-    tagged = cut(sources.join(_twins(sources, "source", ["_key", "_w"], "_head"), "source"))
-    left = tagged.filter("source = _head").drop("_head")
-    target_twins = _twins(targets, "target", ["_key"], "_head").filter("target = _head")
-    right = cut(targets.join(target_twins.select("target"), "target", "left_semi"))
-
-    fan = (
-        left.groupBy("_key").agg(F.count(F.lit(1)).alias("_s"))
-        .join(right.groupBy("_key").agg(F.count(F.lit(1)).alias("_t")), "_key")
-    )
-    hot = fan.filter(F.col("_s") * F.col("_t") > hot_pairs).select("_key")
-    # The same plan whether or not some value is that frequent.
-    best = _with_hot_keys(left, right, cut(hot))
-    return (
-        tagged.select("source", "_head").distinct()
-        .join(best.withColumnRenamed("source", "_head"), "_head")
-        .select(F.col("source").alias(source), F.col("target").alias(target), "strength")
-    )
-
-
-def _with_hot_keys(left: DataFrame, right: DataFrame, hot: DataFrame) -> DataFrame:
-    def hot_set(df: DataFrame, member: str, cell, name: str) -> DataFrame:
-        rows = df.join(hot, "_key", "left_semi")
-        return rows.groupBy(member).agg(F.sort_array(F.collect_list(cell)).alias(name))
-
-    source_sets = hot_set(left, "source", F.struct("_key", "_w"), "_mine")
-    target_sets = hot_set(right, "target", F.col("_key"), "_theirs")
-
-    # Pairs that share at least one ordinary value, completed with their shared hot values.
-    ordinary = (
-        left.join(hot, "_key", "left_anti")
-        .join(right.join(hot, "_key", "left_anti"), "_key")
-        .groupBy("source", "target")
-        .agg(F.sum("_w").alias("_n"))
-        .join(source_sets, "source", "left")
-        .join(target_sets, "target", "left")
-    )
-    shared = F.filter("_mine", lambda x: F.array_contains(F.col("_theirs"), x["_key"]))
-    extra = F.aggregate(shared, F.lit(0).cast("bigint"), lambda n, x: n + x["_w"])
-    ordinary = ordinary.select(
-        "source", "target", (F.col("_n") + F.coalesce(extra, F.lit(0))).alias("strength")
-    )
-
-    # Pairs that share hot values only: equal sets collapse, the smallest target stands for its set.
-    heads = target_sets.groupBy("_theirs").agg(F.min("target").alias("target"))
-    per_set = _best_pairs(
-        source_sets.select("_mine").distinct().select(
-            F.col("_mine").alias("source"), F.inline("_mine")
-        ),
-        heads.select("target", F.explode("_theirs").alias("_key")),
-    )
-    via_hot = source_sets.join(per_set.withColumnRenamed("source", "_mine"), "_mine").select(
-        "source", "target", "strength"
-    )
-    return first_per_key(
-        ordinary.unionByName(via_hot), ["source"], [F.desc("strength"), F.asc("target")]
-    )
+    sources = sources.select(F.col(source).alias("source"), F.col(key).alias("_key"), w.alias("_w"))
+    targets = targets.select(F.col(target).alias("target"), F.col(key).alias("_key"), F.lit(1).cast("bigint").alias("_w"))
+
+    # Values that only one side has say nothing.
+    frequency = targets.groupBy("_key").agg(F.count(F.lit(1)).alias("_f"))
+    frequency = cut(frequency.join(sources.select("_key").distinct(), "_key", "left_semi"))
+    left = _rests(sources, "source", frequency, ["_key", "_w"])
+    right = _rests(targets, "target", frequency, ["_key"])
+
+    whole = left.groupBy("source").agg(F.max("_n").alias("_n"))
+    first = cut(_per_source(left.join(whole, ["source", "_n"], "left_semi"), left, right))
+    found = first.select("source", F.col("strength").alias("_least"))
+    open_ = left.join(whole, ["source", "_n"], "left_anti").join(found, "source")
+    # A rest of equal weight can still hold a smaller target.
+    second = _per_source(cut(open_.filter(F.col("_bound") >= F.col("_least")).drop("_least")), left, right)
+    best = first_per_key(first.unionByName(second), ["source"], [F.desc("strength"), F.asc("target")])
+    return best.select(F.col("source").alias(source), F.col("target").alias(target), "strength")

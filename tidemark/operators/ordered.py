@@ -9,7 +9,7 @@ begins or ends, the window runs inside a part, and the little that crosses the e
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,28 +72,48 @@ def next_value(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[s
     return _neighbour(df, keys, value, order, name, after=True)
 
 
-def _running(df, keys, value, order, name, aggregate, both):
+# Aggregates that a part's rows and the parts before it add up to: function, and how two are joined.
+_AGGREGATES = {
+    "sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)),
+    "max": (F.max, F.greatest),
+    "xor": (F.bit_xor, lambda a, b: F.coalesce(a.bitwiseXOR(b), a, b)),
+}
+
+
+def running(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, tuple[str, str]]
+) -> DataFrame:
+    """Aggregates from the start of the key to the current row; null while all values are null.
+
+    `values` maps a new column to the column it sums up and one of sum, max and xor. Rows that
+    `split` has cut already keep their parts.
+    """
     keys, order = list(keys), list(order)
     tagged, added = _in_parts(df, keys, order)
     inside = Window.partitionBy(*keys, PART).orderBy(*order)
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = tagged.groupBy(*keys, PART).agg(aggregate(value).alias("_part_value"))
     before = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, PART, aggregate("_part_value").over(before).alias("_offset"))
-    local = tagged.withColumn("_local", aggregate(value).over(inside))
-    joined = join_null_safe(local, offsets, [*keys, PART])
-    joined = joined.withColumn(name, both(F.col("_local"), F.col("_offset")))
-    return joined.drop("_local", "_offset", *([PART] if added else []))
+    totals, offsets, local, both = [], [], {}, {}
+    for name, (value, kind) in values.items():
+        aggregate, join = _AGGREGATES[kind]
+        totals.append(aggregate(value).alias(f"_of_part_{name}"))
+        offsets.append(aggregate(f"_of_part_{name}").over(before).alias(f"_before_{name}"))
+        local[f"_inside_{name}"] = aggregate(value).over(inside)
+        both[name] = join(F.col(f"_inside_{name}"), F.col(f"_before_{name}"))
+    edges = tagged.groupBy(*keys, PART).agg(*totals).select(*keys, PART, *offsets)
+    joined = join_null_safe(tagged.withColumns(local), edges, [*keys, PART]).withColumns(both)
+    used = [f"_{k}_{name}" for name in values for k in ("inside", "before")]
+    return joined.drop(*used, *([PART] if added else []))
 
 
 def running_total(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], name: str) -> DataFrame:
-    """sum(value) from the start of the key to the current row; null while all values are null."""
-    return _running(df, keys, value, order, name, F.sum, lambda a, b: F.coalesce(a + b, a, b))
+    """sum(value) from the start of the key to the current row."""
+    return running(df, keys, order, {name: (value, "sum")})
 
 
 def running_max(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], name: str) -> DataFrame:
-    """max(value) from the start of the key to the current row; null while all values are null."""
-    return _running(df, keys, value, order, name, F.max, F.greatest)
+    """max(value) from the start of the key to the current row."""
+    return running(df, keys, order, {name: (value, "max")})
 
 
 def rank_rows(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.aggregates import share_of_total
 from tidemark.operators.keyed import first_per_key
-from tidemark.operators.links import HOT_PAIRS, best_shared
+from tidemark.operators.links import best_shared
 from tidemark.session import cut
 
 # Link methods with their confidence.
@@ -65,7 +65,7 @@ def deterministic_links(events: DataFrame) -> DataFrame:
     )
 
 
-def bridge(events: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
+def bridge(events: DataFrame) -> DataFrame:
     """Cookie to customer links in a deterministic and a probabilistic tier.
 
     A cookie without a signal of its own takes the customer with whom it shares most
@@ -87,12 +87,12 @@ def bridge(events: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     by_print = cut(best_shared(
         unknown.filter(complete).select("anonymous_id", both),
         of_customer.filter(complete).select("customer_id", both),
-        "anonymous_id", "customer_id", "print", hot_pairs=hot_pairs,
+        "anonymous_id", "customer_id", "print",
     ))
     left_over = unknown.join(by_print, "anonymous_id", "left_anti").filter(
         F.col("ip_address").isNotNull()
     )
-    by_address = _best_by_address(left_over, of_customer, hot_pairs)
+    by_address = _best_by_address(left_over, of_customer)
 
     def tier(links: DataFrame, method: str) -> DataFrame:
         return links.select(
@@ -111,7 +111,7 @@ def bridge(events: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     return links.withColumn("confidence", confidence)
 
 
-def _best_by_address(sightings: DataFrame, of_customer: DataFrame, hot_pairs: int) -> DataFrame:
+def _best_by_address(sightings: DataFrame, of_customer: DataFrame) -> DataFrame:
     """Best customer by shared addresses; an address used with n agents counts n times."""
     mine = sightings.groupBy("anonymous_id", "ip_address").agg(F.count(F.lit(1)).alias("agents"))
     theirs = (
@@ -119,7 +119,7 @@ def _best_by_address(sightings: DataFrame, of_customer: DataFrame, hot_pairs: in
         .select("customer_id", "ip_address").distinct()
     )
     return best_shared(
-        mine, theirs, "anonymous_id", "customer_id", "ip_address", "agents", hot_pairs
+        mine, theirs, "anonymous_id", "customer_id", "ip_address", "agents"
     )
 
 
