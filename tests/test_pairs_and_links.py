@@ -8,9 +8,10 @@ from tidemark.operators import gram, links
 from tidemark.operators.links import best_shared
 
 
-@pytest.mark.parametrize("n_items,salts", [(30, 1), (30, 5), (1300, 3)])
-def test_pair_sums_match_matrix_product(spark, n_items, salts):
-    """Several blocks, a group that holds every item, groups of one item."""
+@pytest.mark.parametrize("n_items,salts,small", [(30, 1, False), (30, 5, True), (2300, 3, False), (300, 2, True)])
+def test_pair_sums_match_matrix_product(spark, n_items, salts, small):
+    """Several blocks, a group that holds every item, groups of one item; chunks and sums that do not fit."""
+    sizes = {"block": 16, "chunk": 50, "spill": 40} if small else {}
     rng = np.random.default_rng(n_items)
     x = (rng.random((25, n_items)) < 0.05) * rng.integers(1, 5, (25, n_items))
     x[0] = 1
@@ -18,12 +19,25 @@ def test_pair_sums_match_matrix_product(spark, n_items, salts):
     cells = [(int(g), int(i), float(x[g, i]), float(w[g])) for g, i in zip(*np.nonzero(x))]
     df = spark.createDataFrame(cells, "g int, i int, v double, w double")
     got = {(r["item_a"], r["item_b"]): r["dot"]
-           for r in gram.pair_sums(df, "g", "i", "v", "w", salts).collect()}
+           for r in gram.pair_sums(df, "g", "i", "v", "w", salts, **sizes).collect()}
     full = x.T @ (x * w[:, None])
     want = {(int(a), int(b)): float(full[a, b]) for a, b in zip(*np.nonzero(np.triu(full, 1)))}
     assert got == want
 
 
+def test_sparse_sums_spill_and_add_up():
+    rng = np.random.default_rng(2)
+    sums, out = gram.Sums(100), []
+    keys, values = rng.integers(0, 500, 5000), rng.integers(1, 9, 5000).astype(float)
+    for part in np.array_split(np.arange(5000), 70):
+        out += list(sums.add(keys[part], values[part]))
+        assert sums.held <= 100 + 72
+    out += list(sums.rest())
+    assert len(out) > 2 and all((np.diff(k) > 0).all() for k, _ in out)
+    got = np.bincount(np.concatenate([k for k, _ in out]), np.concatenate([v for _, v in out]), 500)
+    assert (got == np.bincount(keys, values, 500)).all()
+
+
 def test_dense_numbers(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("c",)], "v string")
     got = {r["v"]: r["n"] for r in gram.dense_numbers(df, "v", "n").collect()}

@@ -2,9 +2,9 @@
 
 Counting which items share a group is the product X'X of the group-by-item matrix. A
 self-join of the groups would write every pair of every group as a row. Here items are
-spread over blocks, a group travels once per pair of blocks it touches, and the pair
-sums of a block pair accumulate in one dense block per task, so only finished sums leave
-the task.
+spread over blocks, a group travels once per pair of blocks it touches, and a task sums the
+pairs of one block pair in a sorted sparse accumulator. Only sums leave the task; an accumulator
+that gets too large leaves what it has so far as a partial sum.
 """
 
 from __future__ import annotations
@@ -19,69 +19,117 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import rank_rows
 
-BLOCK = 512  # items per block
-CHUNK = 4096  # rows turned into one dense matrix
+BLOCK = 1024  # items per block, at most so many cells per row
+CHUNK = 1 << 20  # pairs made at a time
+SPILL = 1 << 22  # sums held at a time
 
 
-def _cells(batch: pa.RecordBatch, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row number, position inside the block, and value of every cell of a batch."""
+class Sums:
+    """Sparse sums by key: sorted runs that are merged when there are many entries."""
+
+    def __init__(self, spill: int):
+        self.spill, self.runs, self.held = spill, [], 0
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Add values; yields partial sums if those held would be too many."""
+        self._push(*self._reduced(keys, values))
+        if self.held > self.spill:
+            merged = self._merged()
+            # Sums that hardly shrink are of too many keys to hold.
+            if len(merged[0]) > self.spill // 2:
+                yield merged
+            else:
+                self._push(*merged)
+
+    def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.runs:
+            yield self._merged()
+
+    def _push(self, keys, values):
+        self.runs.append((keys, values))
+        self.held += len(keys)
+
+    def _merged(self):
+        keys, values = (np.concatenate(x) for x in zip(*self.runs))
+        self.runs, self.held = [], 0
+        return self._reduced(keys, values)
+
+    @staticmethod
+    def _reduced(keys, values):
+        order = np.argsort(keys, kind="stable")
+        keys, values = keys[order], values[order]
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))[: len(keys)]
+        return keys[starts], np.add.reduceat(values, starts) if len(keys) else values
+
+
+def _cells(batch: pa.RecordBatch, side: str, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells per row, and position inside the block and value of every cell of a batch."""
     items, values = batch.column(f"items_{side}"), batch.column(f"values_{side}")
-    lengths = pc.list_value_length(items).fill_null(0).to_numpy(zero_copy_only=False)
-    rows = np.repeat(np.arange(len(lengths)), lengths)
-    return rows, items.flatten().to_numpy() % BLOCK, values.flatten().to_numpy()
-
-
-def _dense(cells, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows `first` to `last` as a matrix over the positions that occur in them."""
-    rows, places, values = cells
-    lo, hi = np.searchsorted(rows, [first, last])
-    used, column = np.unique(places[lo:hi], return_inverse=True)
-    out = np.zeros((last - first, len(used)))
-    out[rows[lo:hi] - first, column] = values[lo:hi]
-    return out, used
-
-
-def _add(block: np.ndarray, batch: pa.RecordBatch, diagonal: bool) -> None:
-    """Add the weighted outer products of a batch of rows of one block pair."""
-    weight = batch.column("weight").to_numpy()
-    a = _cells(batch, "a")
-    b = a if diagonal else _cells(batch, "b")
-    for first in range(0, batch.num_rows, CHUNK):
-        last = min(first + CHUNK, batch.num_rows)
-        x, mine = _dense(a, first, last)
-        y, theirs = (x, mine) if diagonal else _dense(b, first, last)
-        block[np.ix_(mine, theirs)] += (x * weight[first:last, None]).T @ y
-
-
-def _accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum rows sorted by block pair; one block pair is held at a time."""
-    current, block = None, None
-
-    def finished() -> pa.RecordBatch:
-        left, right = np.nonzero(np.triu(block, 1) if current[0] == current[1] else block)
-        return pa.RecordBatch.from_pydict({
-            "item_a": current[0] * BLOCK + left, "item_b": current[1] * BLOCK + right,
-            "dot": block[left, right],
-        })
-
-    for batch in batches:
-        first, second = (batch.column(c).to_numpy() for c in ("block_a", "block_b"))
-        edges = np.flatnonzero((np.diff(first) != 0) | (np.diff(second) != 0)) + 1
-        for start, stop in zip([0, *edges], [*edges, batch.num_rows]):
-            if start == stop:
-                continue
-            pair = (int(first[start]), int(second[start]))
-            if pair != current:
-                if current is not None:
-                    yield finished()
-                current, block = pair, np.zeros((BLOCK, BLOCK))
-            _add(block, batch.slice(start, stop - start), pair[0] == pair[1])
-    if current is not None:
-        yield finished()
+    lengths = pc.list_value_length(items).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return lengths, items.flatten().to_numpy().astype(np.int64) % block, values.flatten().to_numpy()
+
+
+def _products(batch: pa.RecordBatch, diagonal: bool, block: int, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and weighted products of the pairs of every row of one block pair, a chunk at a time.
+
+    Inside one block a pair is taken once, the smaller item first.
+    """
+    n, mine, x = _cells(batch, "a", block)
+    m, theirs, y = (n, mine, x) if diagonal else _cells(batch, "b", block)
+    rows = np.repeat(np.arange(len(n)), n)
+    starts, weight = np.cumsum(m) - m, batch.column("weight").to_numpy()[rows]
+    partners = m[rows]
+    upto = np.cumsum(partners)
+    total = int(upto[-1]) if len(upto) else 0
+    cuts = np.unique(np.searchsorted(upto, np.arange(chunk, total + chunk, chunk)))
+    for first, last in zip([0, *(cuts[:-1] + 1).tolist()], (cuts + 1).tolist()):
+        count = partners[first:last]
+        a = np.repeat(np.arange(first, min(last, len(rows))), count)
+        inside = np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)
+        b = starts[rows[a]] + inside
+        if diagonal:
+            once = mine[a] < theirs[b]
+            a, b = a[once], b[once]
+        yield mine[a] * block + theirs[b], weight[a] * x[a] * y[b]
+
+
+def _accumulator(block: int, chunk: int, spill: int):
+    """Sums rows sorted by block pair; one block pair is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, sums = None, Sums(spill)
+
+        def finished(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+            some = values != 0
+            left, right = np.divmod(keys[some], block)
+            return pa.RecordBatch.from_pydict({
+                "item_a": current[0] * block + left, "item_b": current[1] * block + right,
+                "dot": values[some],
+            })
+
+        for batch in batches:
+            first, second = (batch.column(c).to_numpy() for c in ("block_a", "block_b"))
+            edges = np.flatnonzero((np.diff(first) != 0) | (np.diff(second) != 0)) + 1
+            for start, stop in zip([0, *edges], [*edges, batch.num_rows]):
+                if start == stop:
+                    continue
+                pair = (int(first[start]), int(second[start]))
+                if pair != current:
+                    for done in sums.rest():
+                        yield finished(*done)
+                    current, sums = pair, Sums(spill)
+                for keys, values in _products(batch.slice(start, stop - start), pair[0] == pair[1], block, chunk):
+                    for done in sums.add(keys, values):
+                        yield finished(*done)
+        for done in sums.rest():
+            yield finished(*done)
+
+    return run
 
 
 def pair_sums(
-    df: DataFrame, group: str, item: str, value: str, weight: str, salts: int | None = None
+    df: DataFrame, group: str, item: str, value: str, weight: str, salts: int | None = None,
+    block: int = BLOCK, chunk: int = CHUNK, spill: int = SPILL,
 ) -> DataFrame:
     """sum over groups of weight * value_a * value_b for each unordered item pair.
 
@@ -94,9 +142,9 @@ def pair_sums(
     cell = F.struct(
         F.col(item).cast("bigint").alias("item"), F.col(value).cast("double").alias("value")
     )
-    # At most BLOCK cells per row.
+    # At most `block` cells per row.
     packed = (
-        df.groupBy(F.col(group).alias("_group"), F.floor(F.col(item) / BLOCK).cast("int").alias("_block"))
+        df.groupBy(F.col(group).alias("_group"), F.floor(F.col(item) / block).cast("int").alias("_block"))
         .agg(F.collect_list(cell).alias("_cells"), F.first(F.col(weight).cast("double")).alias("weight"))
         .select("_group", "_block", "weight", F.col("_cells.item").alias("items"),
                 F.col("_cells.value").alias("values"))
@@ -105,8 +153,6 @@ def pair_sums(
         "_group", F.col("_block").alias("block_a"), F.col("_block").alias("block_b"), "weight",
         F.col("items").alias("items_a"), F.col("values").alias("values_a"),
     )
-    if (df.agg(F.max(item)).first()[0] or 0) < BLOCK:
-        return _summed(same, salts)
     # Groups that touch several blocks travel once per pair of different blocks.
     touched = packed.groupBy("_group").agg(F.collect_set("_block").alias("_blocks"))
     left = (
@@ -120,10 +166,10 @@ def pair_sums(
         F.col("values").alias("values_b"),
     )
     mixed = left.join(right, ["_group", "block_b"])
-    return _summed(same.unionByName(mixed, allowMissingColumns=True), salts)
+    return _summed(same.unionByName(mixed, allowMissingColumns=True), salts, _accumulator(block, chunk, spill))
 
 
-def _summed(rows: DataFrame, salts: int) -> DataFrame:
+def _summed(rows: DataFrame, salts: int, accumulate) -> DataFrame:
     """Accumulate each block pair in salted parts, then add the parts up."""
     rows = rows.withColumns({
         side: F.col(side) if side in rows.columns else F.lit(None).cast(kind)
@@ -134,9 +180,9 @@ def _summed(rows: DataFrame, salts: int) -> DataFrame:
         rows.repartition("block_a", "block_b", "_salt")
         .sortWithinPartitions("block_a", "block_b")
         .select("block_a", "block_b", "weight", "items_a", "values_a", "items_b", "values_b")
-        .mapInArrow(_accumulate, "item_a bigint, item_b bigint, dot double")
+        .mapInArrow(accumulate, "item_a bigint, item_b bigint, dot double")
     )
-    return partial.groupBy("item_a", "item_b").agg(F.sum("dot").alias("dot"))
+    return partial.groupBy("item_a", "item_b").agg(F.sum("dot").alias("dot")).filter("dot <> 0")
 
 
 def dense_numbers(df: DataFrame, col: str, name: str) -> DataFrame:

@@ -73,6 +73,30 @@ def k2(spark, sf):
     return co_purchase(spark, sf).withColumn("score", F.round("score", 9))
 
 
+# The same over variants, of which there are several blocks.
+piece("bought_variants", "SELECT order_id, customer_id, variant_id FROM all_lines JOIN all_orders USING (order_id) JOIN variants USING (variant_id)")
+piece("tx_variants", """
+SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY t) AS n FROM (
+ SELECT DISTINCT 'o:' || order_id AS t, variant_id AS g, 2.0::DOUBLE AS w FROM bought_variants
+ UNION ALL SELECT DISTINCT 'c:' || customer_id, variant_id, 1.0 FROM bought_variants WHERE customer_id IS NOT NULL)) WHERE n >= 2""")
+piece("occ_variants", "SELECT g, sum(w) AS o FROM tx_variants GROUP BY 1")
+
+
+@query("k2_co_purchase_variants", """
+SELECT variant_id, neighbour_variant_id, cooc_weight, round(score, 9) AS score, rank FROM (
+ SELECT p.g AS variant_id, p.h AS neighbour_variant_id, c AS cooc_weight, c / sqrt(a.o * b.o) AS score,
+  row_number() OVER (PARTITION BY p.g ORDER BY c / sqrt(a.o * b.o) DESC, p.h) AS rank
+ FROM (SELECT x.g, y.g AS h, sum(x.w) AS c FROM tx_variants x JOIN tx_variants y ON x.t = y.t AND x.g <> y.g GROUP BY x.g, y.g HAVING sum(x.w) >= 2) p
+ JOIN occ_variants a ON p.g = a.g JOIN occ_variants b ON p.h = b.g) WHERE rank <= 10""")
+def k2_variants(spark, sf):
+    own = retail.dim_product(spark, sf).withColumn("product_group_id", F.col("variant_id"))
+    baskets = copurchase.transactions(retail.fact_order_line(spark, sf), retail.fact_order(spark, sf), own)
+    found = copurchase.neighbours(baskets, copurchase.group_names(own))
+    return found.select(
+        F.col("product_group_id").alias("variant_id"), F.col("neighbour_product_group_id").alias("neighbour_variant_id"),
+        "cooc_weight", F.round("score", 9).alias("score"), "rank")
+
+
 # --- collaborative filtering -------------------------------------------------
 
 
