@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators.keyed import top_per_key
 from tidemark.plans import activation
 from tidemark.plans.reco import blend, collaborative, copurchase, embeddings, propensity
 
@@ -45,17 +46,53 @@ def dense_scores(x, k):
     return w @ sim
 
 
-def test_recommendations_match_dense_product(matrix):
+@pytest.mark.parametrize("n", [5, 20])
+def test_recommendations_match_dense_product(matrix, n):
+    """Unseen items by score; items that nothing points to fill up, by name."""
     x, inter = matrix
     want = dense_scores(x, 20)
-    got = collaborative.recommend(inter, 5).collect()
-    assert not [r for r in got if r["customer_id"] == "c00"]
-    for r in got:
-        c, i = int(r["customer_id"][1:]), int(r["product_group_id"][1:])
-        assert x[c, i] == 0 and r["score"] == pytest.approx(want[c, i])
+    got = {}
+    for r in collaborative.recommend(inter, n).collect():
+        got.setdefault(r["customer_id"], {})[r["rank"]] = (r["product_group_id"], r["score"])
+    assert "c00" not in got
     for c in range(1, 30):
-        scores = sorted((want[c, i] for i in range(25) if x[c, i] == 0 and want[c, i] > 0), reverse=True)[:5]
-        assert [r["score"] for r in sorted(got, key=lambda r: r["rank"]) if r["customer_id"] == f"c{c:02d}"] == pytest.approx(scores)
+        unseen = sorted((i for i in range(25) if x[c, i] == 0), key=lambda i: (-round(want[c, i], 9), i))[:n]
+        mine = got[f"c{c:02d}"]
+        assert sorted(mine) == list(range(1, len(unseen) + 1))
+        assert [mine[k][0] for k in sorted(mine)] == [f"i{i:02d}" for i in unseen]
+        assert [mine[k][1] for k in sorted(mine)] == pytest.approx([want[c, i] for i in unseen])
+
+
+def test_lists_are_filled_up(spark, rows):
+    """a points to y only; b has seen all; c has one item that nobody else has."""
+    data = [("a", "x", 1), ("d", "x", 2), ("d", "y", 1), ("c", "z", 1)] + [("b", i, 1) for i in "uvwxyz"]
+    inter = spark.createDataFrame([r for r in data if r[0] != "b"] + [("b", i, 1) for i in "xyz"], "customer_id string, product_group_id string, weight int")
+    got = rows(collaborative.recommend(inter, 3).select("customer_id", "rank", "product_group_id"))
+    assert [r for r in got if r[0] == "b"] == []
+    assert {r[2] for r in got if r[0] == "a"} == {"y", "z"} and {r[2] for r in got if r[0] == "c"} == {"x", "y"}
+    items = spark.createDataFrame([(i,) for i in "tuvwxyz"], "product_group_id string")
+    wide = rows(collaborative.recommend(inter, 3, items=items).select("customer_id", "product_group_id", "score"))
+    assert {c: sum(r[0] == c for r in wide) for c in "abcd"} == dict.fromkeys("abcd", 3)
+    assert {r[1] for r in wide if r[0] == "b"} == {"t", "u", "v"} and all(r[2] == 0 for r in wide if r[0] == "b")
+
+
+def test_search_reads_only_sets_that_can_count(spark):
+    """The sets that are read give the same best variants as all sets."""
+    rng = np.random.default_rng(4)
+    relevance = spark.createDataFrame(
+        [(f"q{q}", [f"w{s}"], int(rng.integers(1, 4))) for q in range(6) for s in range(40)], "query string, found array<string>, relevance long")
+    short = spark.createDataFrame(
+        [([f"w{s}"], f"v{s:02}{k}", float(rng.integers(0, 9))) for s in range(40) for k in range(int(rng.integers(1, 5)))],
+        "found array<string>, variant_id string, popularity double")
+    needed = activation.needed_sets(relevance, short, 5)
+
+    def best(pairs):
+        order = [F.desc("relevance"), F.desc("popularity"), F.asc("variant_id")]
+        kept = top_per_key(pairs.join(short, "found"), ["query"], order, 5)
+        return sorted((r["query"], r["variant_id"]) for r in kept.collect())
+
+    assert best(needed) == best(relevance)
+    assert needed.count() < relevance.count() / 3
 
 
 def test_evaluation_counts_every_customer_with_two_items(matrix):

@@ -66,6 +66,24 @@ def text_hits(queries: DataFrame, texts: DataFrame) -> DataFrame:
     return set_relevance(tokens, sets).join(sets, "found").select("query", "search_text", "relevance")
 
 
+def needed_sets(relevance: DataFrame, short: DataFrame, size: int) -> DataFrame:
+    """The (query, found, relevance) that can give one of a query's `size` best variants.
+
+    Sets are read in order of relevance, then of their most popular variant, until those before
+    hold enough: nothing of a less relevant set can come before them, and of `size` sets of one
+    relevance the next one's best variant comes after all of theirs.
+    """
+    heads = short.groupBy("found").agg(
+        F.count(F.lit(1)).alias("_variants"), F.min(F.struct((-F.col("popularity")).alias("p"), "variant_id")).alias("_best"))
+    ranked = relevance.join(heads, "found")
+    # Levels of relevance are as many as a query has words.
+    levels = ranked.groupBy("query", "relevance").agg(F.sum("_variants").alias("_n"))
+    above = Window.partitionBy("query").orderBy(F.desc("relevance")).rowsBetween(Window.unboundedPreceding, -1)
+    open_ = levels.withColumn("_above", F.coalesce(F.sum("_n").over(above), F.lit(0))).filter(F.col("_above") < size)
+    reached = ranked.join(open_.select("query", "relevance"), ["query", "relevance"])
+    return top_per_key(reached, ["query", "relevance"], ["_best"], size).select("query", "found", "relevance")
+
+
 def search_pools(queries: DataFrame, items: DataFrame, size: int = POOL) -> DataFrame:
     """Per distinct query text the best variants by relevance and popularity, with a base score.
 
@@ -75,11 +93,11 @@ def search_pools(queries: DataFrame, items: DataFrame, size: int = POOL) -> Data
     texts = queries.select("query").distinct()
     tokens = cut(asked_words(queries))
     sets = cut(word_sets(tokens, items.select("search_text").distinct()))
-    short = top_per_key(
-        items.join(sets, "search_text"), ["found"], [F.desc("popularity"), F.asc("variant_id")], size)
+    short = cut(top_per_key(
+        items.join(sets, "search_text"), ["found"], [F.desc("popularity"), F.asc("variant_id")], size))
     order = [F.desc("relevance"), F.desc("popularity"), F.asc("variant_id")]
-    hits = set_relevance(tokens, sets).join(short, "found").drop("found").select(
-        "query", *items.columns, "relevance")
+    needed = needed_sets(set_relevance(tokens, sets), short, size)
+    hits = needed.join(short, "found").drop("found").select("query", *items.columns, "relevance")
     # Small (at most `size` rows per query text) and read twice below.
     matched = cut(top_per_key(hits, ["query"], order, size))
     # Nothing matched: the most popular variants, which are the same for all such queries.
@@ -148,7 +166,7 @@ def _fallback_rows(keys: DataFrame, scores: DataFrame, limit: int) -> DataFrame:
         *keys.columns, F.lit("popularity_fallback").alias("source"),
         (F.col("_pos") + 1).alias("rank"),
         *[F.col(f"_item.{c}").alias(c) for c in ("variant_id", "style_name", "category_id", "price")],
-    )
+    )  # without a size of the customer's or a score of theirs
 
 
 def homepage(customers: DataFrame, ranked: DataFrame, scores: DataFrame, limit: int = 10) -> DataFrame:
@@ -156,10 +174,10 @@ def homepage(customers: DataFrame, ranked: DataFrame, scores: DataFrame, limit:
     own = ranked.join(customers.select("customer_id"), "customer_id", "left_semi")
     own = own.filter(F.col("rank") <= limit).select(
         "customer_id", F.lit("ranking").alias("source"), "rank", "variant_id", "style_name",
-        "category_id", "price",
+        "category_id", "size", "price", "final_score",
     )
     cold = customers.select("customer_id").join(own.select("customer_id").distinct(), "customer_id", "left_anti")
-    return own.unionByName(_fallback_rows(cold, scores, limit))
+    return own.unionByName(_fallback_rows(cold, scores, limit), allowMissingColumns=True)
 
 
 def product_page(neighbours: DataFrame, products: DataFrame, scores: DataFrame, limit: int = 10):
@@ -172,11 +190,11 @@ def product_page(neighbours: DataFrame, products: DataFrame, scores: DataFrame,
         .join(one, "neighbour_product_group_id", "left")
         .select("product_group_id", F.lit("co_purchase").alias("source"), "rank", "variant_id",
                 F.col("neighbour_style_name").alias("style_name"),
-                F.col("neighbour_category_id").alias("category_id"), "price")
+                F.col("neighbour_category_id").alias("category_id"), "price", "score")
     )
     bare = products.select("product_group_id").distinct().join(
         also.select("product_group_id").distinct(), "product_group_id", "left_anti")
-    return also.unionByName(_fallback_rows(bare, scores, limit))
+    return also.unionByName(_fallback_rows(bare, scores, limit), allowMissingColumns=True)
 
 
 def email_export(
@@ -209,16 +227,22 @@ def email_export(
 
 
 def customer_context(
-    customers: DataFrame, embeddings: DataFrame, cf: DataFrame, propensity: DataFrame
+    asked: DataFrame, customers: DataFrame, embeddings: DataFrame, cf: DataFrame, propensity: DataFrame
 ) -> DataFrame:
-    """Everything the online side looks up for a known customer, in one row."""
+    """Everything the online side looks up for the customers asked for, one row each.
+
+    Customers without a profile are not known: they have no consent, and an empty map of groups.
+    """
     affinity = cf.groupBy("customer_id").agg(
         F.map_from_entries(F.collect_list(F.struct("product_group_id", "score"))).alias("cf"))
+    profile = customers.select("customer_id", "home_size", "email", "marketing_consent", F.lit(True).alias("known"))
+    none = F.create_map().cast("map<string,double>")
     return (
-        customers.select("customer_id", "home_size", "email",
-                         F.coalesce("marketing_consent", F.lit(False)).alias("marketing_consent"))
+        asked.select("customer_id").join(profile, "customer_id", "left")
         .join(embeddings.select("customer_id", "embedding"), "customer_id", "left")
         .join(affinity, "customer_id", "left")
         .join(propensity.select("customer_id", F.col("purchase_propensity").alias("propensity"),
                                 "propensity_decile"), "customer_id", "left")
+        .withColumns({c: F.coalesce(c, F.lit(False)) for c in ("known", "marketing_consent")})
+        .withColumn("cf", F.coalesce("cf", none))
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.gram import dense_numbers, pair_sums
@@ -82,11 +82,41 @@ def affinities(inter: DataFrame, customers: int | None = None) -> DataFrame:
     return scores.join(seen, ["customer_id", "product_group_id"], "left_anti")
 
 
-def recommend(inter: DataFrame, n: int = TOP_N) -> DataFrame:
-    """The n best unseen product groups per customer."""
+def _best_first() -> list[Column]:
+    return [F.desc(F.round("score", 9)), F.asc("product_group_id")]
+
+
+def recommend(
+    inter: DataFrame, n: int = TOP_N, customers: int | None = None, items: DataFrame | None = None
+) -> DataFrame:
+    """The n best unseen product groups per customer, with score and rank.
+
+    Where a customer's items point to fewer, unseen groups with score 0 follow by name, as long as
+    there are any. `items` are the groups to choose from, by default all of `inter`.
+    """
     inter = cut(inter)
-    order = [F.desc(F.round("score", 9)), F.asc("product_group_id")]
-    return top_per_key(affinities(inter), ["customer_id"], order, n, rank="rank")
+    best = cut(top_per_key(affinities(inter, customers), ["customer_id"], _best_first(), n))
+    items = inter.select("product_group_id").distinct() if items is None else items
+    filled = best.unionByName(_unseen(inter, best, items, n))
+    return top_per_key(filled, ["customer_id"], _best_first(), n, rank="rank")
+
+
+def _unseen(inter: DataFrame, best: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """Groups with score 0 for customers with fewer than n others: enough of the first ones by name.
+
+    A customer who has seen s groups and has p others is filled up from the first n + s + p.
+    """
+    numbers = cut(dense_numbers(items, "product_group_id", "_number"))
+    total = numbers.agg(F.count(F.lit(1))).scalar()
+    seen = inter.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_seen"))
+    have = best.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_have"))
+    short = seen.join(have, "customer_id", "left").withColumn("_have", F.coalesce("_have", F.lit(0))).filter(F.col("_have") < n)
+    upto = F.least(n + F.col("_seen") + F.col("_have"), total)
+    pool = short.filter(total > 0).select("customer_id", F.explode(F.sequence(F.lit(0).cast("bigint"), upto - 1)).alias("_number"))
+    named = pool.join(numbers, "_number").select("customer_id", "product_group_id", F.lit(0.0).alias("score"))
+    keys = ["customer_id", "product_group_id"]
+    taken = inter.select(*keys).unionByName(best.select(*keys))
+    return named.join(taken, keys, "left_anti")
 
 
 def evaluate(inter: DataFrame, k: int = EVAL_K) -> DataFrame:
@@ -102,8 +132,8 @@ def evaluate(inter: DataFrame, k: int = EVAL_K) -> DataFrame:
     train = cut(inter.join(held, keys, "left_anti"))
 
     n_customers = inter.select("customer_id").distinct().count()
-    order = [F.desc(F.round("score", 9)), F.asc("product_group_id")]
-    top = top_per_key(affinities(train, n_customers), ["customer_id"], order, k)
+    items = inter.select("product_group_id").distinct()
+    top = recommend(train, k, n_customers, items)
     cf = held.join(top, keys, "left_semi").agg(F.count(F.lit(1)).alias("cf_hits"))
 
     # Popular items a customer has not seen: position among all, less the seen ones before it.

@@ -673,24 +673,3 @@ def raw_plays(spark: SparkSession, sf: str) -> DataFrame:
         F.col("ts").alias("ingested_at"),
     )
 
-
-# --- recommendations --------------------------------------------------------
-
-piece("inter", """
-SELECT 'C' || o_custkey AS customer_id, p_name AS product_group_id,
-       CAST(sum(CASE WHEN l_returnflag = 'A' THEN 3 ELSE 1 END) AS BIGINT) AS weight, max(l_shipdate) AS last_at
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
-GROUP BY ALL
-""")
-
-
-def inter(spark: SparkSession, sf: str) -> DataFrame:
-    """Interactions of customers with product names, from their order lines."""
-    line, orders, part = (source(spark, sf, t) for t in ("lineitem", "orders", "part"))
-    weight = F.when(F.col("l_returnflag") == "A", 3).otherwise(1)
-    return (
-        line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy(tag("C", "o_custkey").alias("customer_id"), F.col("p_name").alias("product_group_id"))
-        .agg(F.sum(weight).alias("weight"), F.max("l_shipdate").alias("last_at"))
-    )

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from tidemark.operators.gram import dense_numbers
+from tidemark.operators.joins import lookup
 from tidemark.operators.ordered import deciles, rank_rows
 from tidemark.plans import activation
 from tidemark.plans.reco import blend, collaborative, copurchase, embeddings, popularity, propensity
@@ -14,6 +15,7 @@ from tidemark.session import cut
 from tidemark.sources.tables import source
 from tidemark.workload import adapters as ad
 from tidemark.workload import retail
+from tidemark.workload.published import published
 from tidemark.workload.registry import piece, query, rounded as R
 
 DIM = 64  # length of the given vectors
@@ -100,12 +102,42 @@ def k2_variants(spark, sf):
 # --- collaborative filtering -------------------------------------------------
 
 
-@query("k3_interactions", """
-SELECT customer_id_extended AS customer_id, product_group_id, CAST(sum(CASE WHEN event_type = 'add_to_cart' THEN 3 ELSE 1 END) AS BIGINT) AS weight,
- max(event_at) AS last_at FROM fact_ev f JOIN variants v ON product_id = variant_id
-WHERE customer_id_extended IS NOT NULL AND event_type IN ('page_view', 'add_to_cart') GROUP BY ALL""")
+# Views and carts of resolved customers; all that follows learns from them, not from purchases.
+piece("browsed_events", """
+SELECT customer_id_extended AS customer_id, product_group_id, event_type, event_at FROM fact_ev JOIN variants ON product_id = variant_id
+WHERE customer_id_extended IS NOT NULL AND event_type IN ('page_view', 'add_to_cart')""")
+piece("inter", """
+SELECT customer_id, product_group_id, CAST(sum(CASE WHEN event_type = 'add_to_cart' THEN 3 ELSE 1 END) AS BIGINT) AS weight,
+ max(event_at) AS last_at FROM browsed_events GROUP BY ALL""")
+piece("browsed", "SELECT customer_id, product_group_id, count(*) AS n FROM browsed_events GROUP BY ALL")
+
+
+@query("k3_interactions", "SELECT * FROM inter")
 def k3(spark, sf):
-    return collaborative.interactions(retail.fact_event(spark, sf), retail.dim_product(spark, sf))
+    return interactions(spark, sf)
+
+
+def events(spark, sf):
+    columns = ["customer_id_extended", "session_id", "event_type", "event_at", "product_id"]
+    return published(spark, sf, "events", lambda: retail.fact_event(spark, sf).select(*columns))
+
+
+def interactions(spark, sf):
+    return collaborative.interactions(events(spark, sf), retail.dim_product(spark, sf))
+
+
+def browsed(spark, sf):
+    return collaborative.browsed(events(spark, sf), retail.dim_product(spark, sf)).select(
+        "customer_id", "product_group_id")
+
+
+def cf_lists(spark, sf):
+    return published(spark, sf, "cf", lambda: collaborative.recommend(interactions(spark, sf)))
+
+
+def tastes_of(spark, sf):
+    return published(
+        spark, sf, "tastes", lambda: embeddings.embed_customers(browsed(spark, sf), group_vectors(spark, sf), DIM))
 
 
 def _cf_pieces(prefix: str, table: str, customers: str) -> None:
@@ -118,18 +150,25 @@ SELECT p.g, p.h, d / sqrt(a.sq * b.sq) AS sim FROM (
 JOIN {prefix}sq a ON p.g = a.g JOIN {prefix}sq b ON p.h = b.g
 QUALIFY row_number() OVER (PARTITION BY p.g ORDER BY d / sqrt(a.sq * b.sq) DESC, p.h) <= 20""")
     piece(f"{prefix}rec", f"""
-SELECT customer_id, h AS product_group_id, score, row_number() OVER (PARTITION BY customer_id ORDER BY round(score, 9) DESC, h) AS rank FROM (
+SELECT c.customer_id, g.product_group_id, coalesce(score, 0) AS score,
+ row_number() OVER (PARTITION BY c.customer_id ORDER BY round(coalesce(score, 0), 9) DESC, g.product_group_id) AS rank
+FROM (SELECT DISTINCT customer_id FROM {table}) c CROSS JOIN (SELECT DISTINCT product_group_id FROM inter) g LEFT JOIN (
  SELECT customer_id, h, sum(weight * idf * sim) AS score FROM {table} i JOIN {prefix}sim s ON i.product_group_id = s.g
- JOIN {prefix}sq q ON i.product_group_id = q.g GROUP BY customer_id, h) c
-WHERE NOT EXISTS (FROM {table} o WHERE o.customer_id = c.customer_id AND o.product_group_id = c.h)""")
+ JOIN {prefix}sq q ON i.product_group_id = q.g GROUP BY customer_id, h) p ON p.customer_id = c.customer_id AND p.h = g.product_group_id
+WHERE NOT EXISTS (FROM {table} o WHERE o.customer_id = c.customer_id AND o.product_group_id = g.product_group_id)""")
 
 
 _cf_pieces("cf_", "inter", "(SELECT count(DISTINCT customer_id) FROM inter)")
 
 
-@query("k4_cf_recommend", "SELECT customer_id, product_group_id, round(score, 6) AS score, rank FROM cf_rec WHERE rank <= 20")
+@query("k4_cf_recommend", """
+SELECT customer_id, product_group_id, style_name, category_id, round(score, 6) AS score, rank
+FROM cf_rec LEFT JOIN style_of USING (product_group_id) WHERE rank <= 20""")
 def k4(spark, sf):
-    return collaborative.recommend(ad.inter(spark, sf)).withColumn("score", F.round("score", 6))
+    recs = collaborative.recommend(interactions(spark, sf))
+    names = copurchase.group_names(retail.dim_product(spark, sf))
+    named = lookup(recs, names, "product_group_id", {"style_name": "style_name", "category_id": "category_id"})
+    return named.withColumn("score", F.round("score", 6))
 
 
 piece("held", """
@@ -152,7 +191,7 @@ SELECT n_eval, cf_hits, base_hits, cf_hits / n_eval AS cf_hit_rate, base_hits /
      WHERE t.customer_id = h.customer_id AND q.place < p.place) AS position
    FROM held h JOIN place p ON h.product_group_id = p.product_group_id) WHERE position <= 10)""")
 def k5(spark, sf):
-    return collaborative.evaluate(ad.inter(spark, sf))
+    return collaborative.evaluate(interactions(spark, sf))
 
 
 # --- embeddings --------------------------------------------------------------
@@ -176,7 +215,6 @@ def group_vectors(spark, sf):
     return numbers.join(vectors, "vec_id").drop("vec_id")
 
 
-piece("browsed", "SELECT 'C' || o_custkey AS customer_id, p_name AS product_group_id, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL")
 piece("taste", """
 SELECT customer_id, list(s / l ORDER BY i) AS embedding FROM (
  SELECT customer_id, i, s, sqrt(sum(s * s) OVER (PARTITION BY customer_id)) AS l FROM (
@@ -185,13 +223,6 @@ SELECT customer_id, list(s / l ORDER BY i) AS embedding FROM (
 GROUP BY 1""")
 
 
-def browsed(spark, sf):
-    line, orders, part = (source(spark, sf, t) for t in ("lineitem", "orders", "part"))
-    rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
-        part, F.col("l_partkey") == F.col("p_partkey"))
-    return rows.select(ad.tag("C", "o_custkey").alias("customer_id"), F.col("p_name").alias("product_group_id"))
-
-
 @query("k7_embed_customers", "SELECT customer_id, list_transform(embedding, lambda x: round(x, 6)) AS embedding FROM taste")
 def k7(spark, sf):
     out = embeddings.embed_customers(browsed(spark, sf), group_vectors(spark, sf), DIM)
@@ -241,7 +272,7 @@ def features(spark, sf, cutoff=CUTOFF):
     from tidemark.plans import retail as silver
 
     back = F.expr(f"INTERVAL {SHIFT_DAYS} DAYS")
-    moved = retail.fact_event(spark, sf).withColumn("event_at", F.col("event_at") - back)
+    moved = events(spark, sf).withColumn("event_at", F.col("event_at") - back)
     mails = silver.email_events(ad.raw_emails(spark, sf)).withColumn("event_at", F.col("event_at") - back)
     return propensity.features_asof(
         moved, retail.fact_order(spark, sf), mails, retail.dim_customer(spark, sf), cutoff)
@@ -333,29 +364,30 @@ def demand_by_group(spark, sf):
 
 
 def blended(spark, sf):
-    seen = browsed(spark, sf)
-    groups = cut(group_vectors(spark, sf))
-    tastes = cut(embeddings.embed_customers(seen, groups, DIM))
-    cf = cut(collaborative.recommend(ad.inter(spark, sf)))
-    near = cut(co_purchase(spark, sf))
-    popular = cut(demand_by_group(spark, sf))
-    seeds = cut(blend.recent_groups(seen))
-    cands = blend.candidates(tastes, cf, near, seeds, popular)
-    return blend.blend(cands, tastes, groups, popular), tastes, cf, near, groups
+    near = published(spark, sf, "co_purchase", lambda: co_purchase(spark, sf).select(
+        "product_group_id", "neighbour_product_group_id", "score"))
+    popular = published(spark, sf, "demand_by_group", lambda: demand_by_group(spark, sf))
+    tastes, seeds = tastes_of(spark, sf), cut(blend.recent_groups(browsed(spark, sf)))
+    cands = blend.candidates(tastes, cf_lists(spark, sf), near, seeds, popular)
+    return blend.blend(cands, tastes, group_vectors(spark, sf), popular)
 
 
 @query("k14_blend", """
 SELECT customer_id, product_group_id, round(cf_score, 6) AS cf_score, round(copurchase_score, 6) AS copurchase_score,
  round(embedding_score, 6) AS embedding_score, round(popularity_score, 6) AS popularity_score, round(b, 6) AS blended, group_rank FROM blended""")
 def k14(spark, sf):
-    rows = blended(spark, sf)[0]
+    rows = blended(spark, sf)
     names = [f"{s}_score" for s in blend.WEIGHTS] + ["blended"]
     return rows.withColumns({n: F.round(n, 6) for n in names})
 
 
 def ranked(spark, sf):
     return blend.ranked_recommendations(
-        blended(spark, sf)[0], retail.dim_product(spark, sf), retail.dim_customer(spark, sf).filter("is_current"))
+        blended(spark, sf), retail.dim_product(spark, sf), retail.dim_customer(spark, sf).filter("is_current"))
+
+
+def ranked_lists(spark, sf):
+    return published(spark, sf, "ranked", lambda: ranked(spark, sf))
 
 
 @query("k15_expand_variant", "SELECT * FROM ranked")
@@ -405,36 +437,37 @@ SELECT request_id, query, customer_id, known AS personalized, rank, variant_id,
  QUALIFY row_number() OVER (PARTITION BY request_id, product_group_id ORDER BY coalesce(size = home_size, false) DESC, final DESC, variant_id) = 1))
 WHERE rank <= 10""")
 def x1(spark, sf):
-    groups = cut(group_vectors(spark, sf))
-    tastes = embeddings.embed_customers(browsed(spark, sf), groups, DIM)
     sizes = retail.dim_customer(spark, sf).filter("is_current").select("customer_id", "home_size")
     items = cut(activation.catalogue(retail.dim_product(spark, sf), _scores(spark, sf)))
     return activation.search_rerank(
-        _requests(spark, sf), items, sizes.join(tastes, "customer_id", "left"),
-        collaborative.recommend(ad.inter(spark, sf)), groups)
+        _requests(spark, sf), items, sizes.join(tastes_of(spark, sf), "customer_id", "left"),
+        cf_lists(spark, sf), group_vectors(spark, sf))
 
 
-FALLBACK = """SELECT variant_id, style_name, category_id, price, row_number() OVER (ORDER BY popularity_score DESC, variant_id) AS rank
+FALLBACK = """SELECT variant_id, style_name, category_id, price, NULL::VARCHAR AS size, NULL::DOUBLE AS score, row_number() OVER (ORDER BY popularity_score DESC, variant_id) AS rank
  FROM demand WHERE is_in_stock QUALIFY rank <= 10"""
 
 
 @query("x2_homepage", f"""
-SELECT customer_id, 'ranking' AS source, rank, variant_id, style_name, category_id, price FROM ranked WHERE rank <= 10
-UNION ALL SELECT 'V' || s_suppkey, 'popularity_fallback', rank, variant_id, style_name, category_id, price FROM supplier, ({FALLBACK})""")
+SELECT customer_id, 'ranking' AS source, rank, variant_id, style_name, category_id, size, price, final_score FROM ranked WHERE rank <= 10
+UNION ALL SELECT customer_id, 'popularity_fallback', rank, variant_id, style_name, category_id, size, price, score
+ FROM (SELECT 'C' || c_custkey AS customer_id FROM customer UNION ALL SELECT 'V' || s_suppkey FROM supplier) c, ({FALLBACK})
+ WHERE customer_id NOT IN (SELECT customer_id FROM ranked)""")
 def x2(spark, sf):
     known = source(spark, sf, "customer").select(ad.tag("C", "c_custkey").alias("customer_id"))
     strangers = source(spark, sf, "supplier").select(ad.tag("V", "s_suppkey").alias("customer_id"))
-    return activation.homepage(known.unionByName(strangers), ranked(spark, sf), _scores(spark, sf))
+    return activation.homepage(known.unionByName(strangers), ranked_lists(spark, sf), _scores(spark, sf))
 
 
 @query("x3_product_page", f"""
-SELECT b.product_group_id, 'co_purchase' AS source, rank, variant_id, n.style_name, n.category_id, price FROM bought_with b
+SELECT b.product_group_id, 'co_purchase' AS source, rank, variant_id, n.style_name, n.category_id, price, round(score, 9) AS score FROM bought_with b
  JOIN style_of n ON neighbour_product_group_id = n.product_group_id
  LEFT JOIN (SELECT product_group_id, min(variant_id) AS variant_id, arg_min(price, variant_id) AS price FROM cards GROUP BY 1) c ON c.product_group_id = neighbour_product_group_id
-UNION ALL SELECT g.product_group_id, 'popularity_fallback', rank, variant_id, style_name, category_id, price
+UNION ALL SELECT g.product_group_id, 'popularity_fallback', rank, variant_id, style_name, category_id, price, score
  FROM (SELECT DISTINCT product_group_id FROM variants WHERE product_group_id NOT IN (SELECT product_group_id FROM bought_with)) g, ({FALLBACK})""")
 def x3(spark, sf):
-    return activation.product_page(co_purchase(spark, sf), retail.dim_product(spark, sf), _scores(spark, sf))
+    pages = activation.product_page(co_purchase(spark, sf), retail.dim_product(spark, sf), _scores(spark, sf))
+    return pages.withColumn("score", F.round("score", 9))
 
 
 piece("likely", """
@@ -450,31 +483,58 @@ def likely(spark, sf):
         ((F.col("c_acctbal") + 1000) / 11000).alias("purchase_propensity"), "propensity_decile")
 
 
+REC_FIELDS = ("style_name", "category_id", "variant_id", "price")
+
+
+def export_columns(out):
+    """Every field of the recommendations as a list of its own, which SQL compares."""
+    return out.withColumns({f"rec_{f}": F.col(f"recommendations.{f}") for f in REC_FIELDS}).drop("recommendations")
+
+
 @query("x4_email_export", f"""
 SELECT a.customer_id, email, first_name, {R("p", 4)} AS propensity, d AS propensity_decile,
- (SELECT list(variant_id ORDER BY rank)
-  FROM ranked r WHERE r.customer_id = a.customer_id AND rank <= 3) AS recommendations
+ {", ".join(f"coalesce((SELECT list({f} ORDER BY rank) FROM ranked r WHERE r.customer_id = a.customer_id AND rank <= 3), []) AS rec_{f}" for f in REC_FIELDS)}
 FROM (SELECT l.*, email, first_name FROM likely l JOIN dim_cust c ON l.customer_id = c.customer_id AND is_current
  WHERE marketing_consent AND d >= 5 ORDER BY p DESC, l.customer_id LIMIT 100) a""")
 def x4(spark, sf):
     people = retail.dim_customer(spark, sf).filter("is_current")
-    out = activation.email_export(cut(likely(spark, sf)), people, ranked(spark, sf), min_decile=5)
-    return out.withColumn("recommendations", F.col("recommendations.variant_id"))
+    return export_columns(activation.email_export(cut(likely(spark, sf)), people, ranked_lists(spark, sf), min_decile=5))
+
+
+@query("x4_email_export_scored")
+def x4_scored(spark, sf):
+    """The export as it is used: by the scores of the propensity model."""
+    people = retail.dim_customer(spark, sf).filter("is_current")
+    return export_columns(activation.email_export(cut(k13(spark, sf)), people, ranked_lists(spark, sf)))
+
+
+def context(spark, sf, scores):
+    people = retail.dim_customer(spark, sf).filter("is_current")
+    strangers = source(spark, sf, "supplier").select(ad.tag("V", "s_suppkey").alias("customer_id"))
+    asked = people.select("customer_id").unionByName(strangers)
+    return activation.customer_context(asked, people, tastes_of(spark, sf), cf_lists(spark, sf), scores)
 
 
 @query("x5_customer_context", f"""
-SELECT c.customer_id, home_size, email, marketing_consent, {R("p", 6)} AS propensity, d AS propensity_decile,
- list_transform(embedding, lambda x: round(x, 6)) AS embedding, n AS cf_items, round(total, 6) AS cf_total
-FROM dim_cust c LEFT JOIN taste t ON c.customer_id = t.customer_id LEFT JOIN likely l ON c.customer_id = l.customer_id
-LEFT JOIN (SELECT customer_id, count(*) AS n, sum(score) AS total FROM cf_rec WHERE rank <= 20 GROUP BY 1) r ON c.customer_id = r.customer_id WHERE is_current""")
+SELECT q.customer_id, c.customer_id IS NOT NULL AS known, home_size, email, coalesce(marketing_consent, false) AS marketing_consent,
+ {R("p", 6)} AS propensity, d AS propensity_decile, list_transform(embedding, lambda x: round(x, 6)) AS embedding,
+ coalesce(cf_groups, []) AS cf_groups, coalesce(cf_scores, []) AS cf_scores
+FROM (SELECT customer_id FROM dim_cust WHERE is_current UNION ALL SELECT 'V' || s_suppkey FROM supplier) q
+LEFT JOIN (SELECT * FROM dim_cust WHERE is_current) c ON q.customer_id = c.customer_id
+LEFT JOIN taste t ON q.customer_id = t.customer_id LEFT JOIN likely l ON q.customer_id = l.customer_id
+LEFT JOIN (SELECT customer_id, list(product_group_id ORDER BY product_group_id) AS cf_groups, list(round(score, 6) ORDER BY product_group_id) AS cf_scores
+ FROM cf_rec WHERE rank <= 20 GROUP BY 1) r ON q.customer_id = r.customer_id""")
 def x5(spark, sf):
-    people = retail.dim_customer(spark, sf).filter("is_current")
-    tastes = embeddings.embed_customers(browsed(spark, sf), group_vectors(spark, sf), DIM)
-    rows = activation.customer_context(
-        people, tastes, collaborative.recommend(ad.inter(spark, sf)), likely(spark, sf))
-    scores = F.map_values("cf")
-    total = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x)
-    return rows.select(
-        "customer_id", "home_size", "email", "marketing_consent", F.round("propensity", 6).alias("propensity"),
-        "propensity_decile", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"),
-        F.size("cf").cast("bigint").alias("cf_items"), F.round(total, 6).alias("cf_total"))
+    rows = context(spark, sf, likely(spark, sf))
+    entries = F.array_sort(F.map_entries("cf"))
+    return rows.withColumns({
+        "propensity": F.round("propensity", 6), "embedding": F.transform("embedding", lambda x: F.round(x, 6)),
+        "cf_groups": F.transform(entries, lambda e: e["key"]),
+        "cf_scores": F.transform(entries, lambda e: F.round(e["value"], 6)),
+    }).drop("cf")
+
+
+@query("x5_customer_context_scored")
+def x5_scored(spark, sf):
+    """The look-up rows as they are used: with the scores of the propensity model."""
+    return context(spark, sf, k13(spark, sf))
