@@ -26,10 +26,9 @@ CENTROIDS = 32
 TRAINING_SAMPLE = 20_000
 SLAB = 4096
 QUERY_BLOCK = 1024
-# Share of all vectors that the cells a query meets have to hold, and a least number. The given
-# vectors have no near neighbours (cosines of the first five around 0.4), which takes a large share.
+# Share of all vectors that the cells a query meets have to hold. The given vectors have no near
+# neighbours (cosines of the first five around 0.4), which takes a large share.
 CANDIDATE_SHARE = 0.6
-LEAST_CANDIDATES = 2000
 
 
 def usable(vector: Column) -> Column:
@@ -115,27 +114,32 @@ def _training_sample(rows: DataFrame, sample: int) -> np.ndarray:
 
 
 def packed_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(vec_id, vector): usable vectors of the most common length, packed as doubles.
+    """(row, vec_id, vector): usable vectors of the most common length, packed as doubles.
 
-    A key that occurs several times counts once, with the smallest of its vectors.
+    Every row is one, also of several with one key; `row` tells them apart. A vector is scaled by
+    a power of two so that its largest component is about 1: that changes no cosine, and squares
+    neither overflow nor vanish.
     """
     rows = df.filter(F.col(key).isNotNull() & usable(F.col(vector))).select(
         F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("_v")
     )
     common = rows.groupBy(F.size("_v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     rows = rows.filter(F.size("_v") == (common["n"] if common else 0))
-    rows = rows.groupBy("vec_id").agg(F.min("_v").alias("_v"))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
 
     def run(batches):
         for batch in batches:
             lists = batch["_v"]
             data = np.ascontiguousarray(lists.flatten().to_numpy(zero_copy_only=False), dtype="<f8")
             m = data.reshape(len(lists), -1) if len(lists) else data.reshape(0, 1)
+            _, exponent = np.frexp(np.abs(m).max(axis=1, initial=0))
+            m = np.ldexp(m, -exponent[:, None])
             yield pa.RecordBatch.from_arrays(
-                [batch["vec_id"], pa.array([r.tobytes() for r in m], pa.binary())], names=["vec_id", "vector"]
+                [batch["row"], batch["vec_id"], pa.array([r.tobytes() for r in m], pa.binary())],
+                names=["row", "vec_id", "vector"],
             )
 
-    return rows.mapInArrow(run, "vec_id long, vector binary")
+    return rows.mapInArrow(run, "row long, vec_id long, vector binary")
 
 
 def _slabs(sizes: np.ndarray, slab: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,17 +168,19 @@ def nearest(
     centroids: int = CENTROIDS,
     sample: int = TRAINING_SAMPLE,
     share: float = CANDIDATE_SHARE,
-    least: int = LEAST_CANDIDATES,
 ) -> DataFrame:
     """The k nearest vectors found for every query: query_id, rank, vec_id, score (cosine).
 
     Codebooks are fitted on `sample` vectors, those of the smallest hash of the key; every
     vector is in the index. With share = 1 the search is exact.
 
+    `queries` names its rows by key: every row of `vectors` with such a key is a query of its own,
+    and its candidates are all rows but itself.
+
     Defined cases: vectors that are null, zero, of an uncommon length, or that hold null or
-    non-finite components take no part, nor do rows without a key; ties go to the smaller
-    vec_id; a query does not find itself; with fewer candidates there are fewer rows; empty
-    tables give an empty result; other columns are ignored.
+    non-finite components take no part, nor do rows without a key; of several rows with one key
+    each is a candidate, and a query finds the others; ties go to the smaller vec_id; with fewer
+    candidates there are fewer rows; empty tables give an empty result; other columns are ignored.
     """
     base = stored(packed_vectors(vectors, key, vector), "vectors")
     training = _training_sample(base, sample)
@@ -188,23 +194,25 @@ def nearest(
         for batch in batches:
             cells = books.cells(_matrix(batch["vector"])) if batch.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch["vec_id"], batch["vector"], pa.array(cells.astype(np.int64))], names=["vec_id", "vector", "cell"]
+                [batch["row"], batch["vec_id"], batch["vector"], pa.array(cells.astype(np.int64))],
+                names=["row", "vec_id", "vector", "cell"],
             )
 
-    entries = stored(base.mapInArrow(assign, "vec_id long, vector binary, cell long"), "index")
+    entries = stored(base.mapInArrow(assign, "row long, vec_id long, vector binary, cell long"), "index")
     # One row per cell: at most centroids squared.
     sizes = np.zeros(len(books.first) * len(books.second), dtype=np.int64)
     for row in entries.groupBy("cell").count().collect():
         sizes[row["cell"]] = row["count"]
     first, cut = _slabs(sizes, SLAB)
-    enough = max(least, int(np.ceil(share * sizes.sum())))
+    enough = max(k + 1, int(np.ceil(share * sizes.sum())))
 
     def place(batches):
         for batch in batches:
             cell = batch["cell"].to_numpy()
-            spread = batch["vec_id"].to_numpy() % cut[cell]
+            spread = batch["row"].to_numpy() % cut[cell]
             yield pa.RecordBatch.from_arrays(
-                [batch["vec_id"], batch["vector"], pa.array(first[cell] + spread)], names=["vec_id", "vector", "slab"]
+                [batch["row"], batch["vec_id"], batch["vector"], pa.array(first[cell] + spread)],
+                names=["row", "vec_id", "vector", "slab"],
             )
 
     def visit(batches):
@@ -219,45 +227,49 @@ def nearest(
                 met = {int(first[c]) + s for c in walk(a[i], b[i], sizes, enough) for s in range(int(cut[c]))}
                 at += [i] * len(met)
                 slabs += sorted(met)
+            at = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch["vec_id"].take(pa.array(at)), batch["vector"].take(pa.array(at)), pa.array(slabs, pa.int64())],
-                names=["query_id", "query", "slab"],
+                [batch["row"].take(at), batch["vec_id"].take(at), batch["vector"].take(at), pa.array(slabs, pa.int64())],
+                names=["query_row", "query_id", "query", "slab"],
             )
 
     asked = base.join(queries.select(F.col(key).cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    visits = asked.mapInArrow(visit, "query_id long, query binary, slab long").withColumn(
-        "block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    )
-    placed = entries.mapInArrow(place, "vec_id long, vector binary, slab long").withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    visits = asked.mapInArrow(visit, "query_row long, query_id long, query binary, slab long").withColumn(
+        "block", F.pmod(F.xxhash64("query_row"), F.lit(blocks))
     )
+    visits = stored(visits, "visits")
+    # A slab goes to the blocks of queries that visit it; there are slabs * blocks of them at most.
+    met = visits.select(F.col("slab").alias("_slab"), F.col("block").alias("_block")).distinct()
+    placed = entries.mapInArrow(place, "row long, vec_id long, vector binary, slab long")
+    placed = placed.join(met, F.col("slab") == F.col("_slab")).drop("_slab").withColumnRenamed("_block", "block")
 
     def compare(left, right):
-        out = [[], [], []]
+        out = [[], [], [], []]
         if left.num_rows and right.num_rows:
             q, v = _matrix(left["query"].combine_chunks()), _matrix(right["vector"].combine_chunks())
-            ids, names = right["vec_id"].to_numpy(), left["query_id"].to_numpy()
+            ids, rows = right["vec_id"].to_numpy(), right["row"].to_numpy()
             nq, nv = np.sqrt((q * q).sum(axis=1)), np.sqrt((v * v).sum(axis=1))
             rough = (q / nq[:, None]) @ (v / nv[:, None]).T
-            for i, name in enumerate(names):
-                row = np.where(ids == name, -2.0, rough[i])
+            for i, (own, name) in enumerate(zip(left["query_row"].to_pylist(), left["query_id"].to_pylist())):
+                row = np.where(rows == own, -2.0, rough[i])
                 n = min(k, len(row))
                 # All that may be among the first k, compared again alike for equal vectors.
                 near = np.flatnonzero(row >= np.partition(row, len(row) - n)[len(row) - n] - 1e-9)
-                near = near[ids[near] != name]
+                near = near[rows[near] != own]
                 exact = (v[near] * q[i]).sum(axis=1) / (nq[i] * nv[near])
                 best = np.lexsort((ids[near], -exact))[:k]
-                out[0] += [int(name)] * len(best)
-                out[1] += ids[near][best].tolist()
-                out[2] += exact[best].tolist()
+                out[0] += [own] * len(best)
+                out[1] += [name] * len(best)
+                out[2] += ids[near][best].tolist()
+                out[3] += exact[best].tolist()
         return pa.table(
-            [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))],
-            names=["query_id", "vec_id", "score"],
+            [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))],
+            names=["query_row", "query_id", "vec_id", "score"],
         )
 
     found = visits.groupBy("slab", "block").cogroup(placed.groupBy("slab", "block")).applyInArrow(
-        compare, "query_id long, vec_id long, score double"
+        compare, "query_row long, query_id long, vec_id long, score double"
     )
-    ranked = top_per_key(found, ["query_id"], [F.desc("score"), F.asc("vec_id")], k, "rank")
+    ranked = top_per_key(found, ["query_row"], [F.desc("score"), F.asc("vec_id")], k, "rank")
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
