@@ -67,3 +67,13 @@ def payments_by_minute(status: DataFrame, minutes: int = 1) -> DataFrame:
     """Counts and amounts per status in fixed-width buckets."""
     bucket = bucket_start("requested_at", minutes).alias("request_bucket")
     return status.groupBy(bucket).agg(*status_totals()).withColumn("refreshed_at", F.current_timestamp())
+
+
+def unsettled(status: DataFrame, buckets: DataFrame, minutes: int, look_back_minutes: int) -> DataFrame:
+    """Payments whose buckets a refresh recomputes: whole ones, from the look-back before the newest on.
+
+    All payments for an empty target.
+    """
+    back = -(-look_back_minutes // minutes) * minutes
+    edge = buckets.agg(F.max("request_bucket") - F.expr(f"INTERVAL {back} MINUTES")).scalar()
+    return status.filter(edge.isNull() | (F.col("requested_at") >= edge))

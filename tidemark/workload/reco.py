@@ -309,6 +309,31 @@ def k12(spark, sf):
     return propensity.evaluate(propensity.predict(model, test))
 
 
+piece("spent", f"""
+SELECT customer_id, total_spend + n_sessions AS s, CASE WHEN customer_id IN (SELECT customer_id FROM all_orders WHERE order_status <> 'cancelled' AND customer_id IS NOT NULL
+ AND order_at >= TIMESTAMP '{CUTOFF}') THEN 1 ELSE 0 END AS label FROM feat""")
+
+
+piece("spent_ranks", """
+SELECT *, (rank() OVER (ORDER BY s) + rank() OVER (ORDER BY s) + count(*) OVER (PARTITION BY s) - 1) / 2.0 AS mean_rank,
+ row_number() OVER (ORDER BY s, customer_id) AS rn, count(*) OVER () AS n, sum(label) OVER () AS p FROM spent""")
+piece("spent_steps", """
+SELECT h, sum(h) OVER w AS hits, sum(c) OVER w AS seen FROM (SELECT s, sum(label) AS h, count(*) AS c FROM spent GROUP BY s) WINDOW w AS (ORDER BY s DESC)""")
+piece("spent_top", "SELECT avg(label) AS rate FROM spent_ranks WHERE greatest(1, ceil((rn - 1) * 10.0 / (n - 1))) = 10")
+
+
+@query("k12_metrics_of_a_score", """
+SELECT count(*) AS n_test, round((sum(mean_rank) FILTER (WHERE label = 1) - any_value(p) * (any_value(p) + 1) / 2.0) / (any_value(p) * (any_value(n) - any_value(p))), 9) AS roc_auc,
+ (SELECT round(sum(hits / seen * h) / sum(h), 9) FROM spent_steps) AS pr_auc, round(avg(label), 9) AS base_rate, (SELECT round(rate, 9) FROM spent_top) AS top_decile_rate,
+ round((SELECT rate FROM spent_top) / greatest(avg(label), 1e-9), 9) AS lift FROM spent_ranks""")
+def k12_metrics(spark, sf):
+    """The evaluation of a score that SQL can make too: what a customer spent, with ties."""
+    marked = propensity.label(features(spark, sf), retail.fact_order(spark, sf), CUTOFF)
+    scored = marked.withColumn("purchase_propensity", (F.col("total_spend") + F.col("n_sessions")).cast("double"))
+    out = propensity.evaluate(scored)
+    return out.select("n_test", *[F.round(c, 9).alias(c) for c in out.columns if c != "n_test"])
+
+
 def window_end(spark, sf):
     """Just after the newest order: every event and order so far counts."""
     newest = source(spark, sf, "orders").agg(F.max("o_orderdate").cast("date")).first()[0]

@@ -259,6 +259,50 @@ def r6(spark, sf):
     return out.withColumn("notional_volume", F.round("notional_volume", 2))
 
 
+@query("m1_ohlcv_1m_incremental", CANDLE_SQL.format(unit="minute"))
+def m1_incremental(spark, sf):
+    """Minute candles in three runs; each recomputes the newest minute and adds what came after it."""
+    trades = market.stage_trades(ad.raw_trades(spark, sf))
+    first, last = (trades.agg(f("trade_time")).scalar() for f in (F.min, F.max))
+    path = scratch_path(spark, "m1")
+    for share in (0.3, 0.31, 1.0):
+        so_far = trades.filter(F.col("trade_time") <= first + (last - first) * share)
+        stored = sinks.read_if_exists(spark, path)
+        newer = so_far if stored is None else market.since_last_bucket(so_far, stored, "trade_time")
+        candles = market.candles(newer, "minute").withColumn("day", F.to_date("candle_open_time"))
+        sinks.upsert(candles, path, ["symbol", "candle_open_time"], "day")
+    out = ntz(sinks.read_table(spark, path).drop("day"), "candle_open_time")
+    return out.withColumn("notional_volume", F.round("notional_volume", 2))
+
+
+piece("settled_from", f"""
+SELECT time_bucket(INTERVAL 5 MINUTE, max(time_bucket(INTERVAL 5 MINUTE, requested_at)) - INTERVAL {ad.LOOK_BACK} MINUTE) AS edge FROM status_then""")
+piece("status_seen", """
+SELECT payment_id, amount, requested_at, status FROM status_then WHERE requested_at < (SELECT edge FROM settled_from)
+UNION ALL SELECT payment_id, amount, requested_at, status FROM pay_status WHERE requested_at >= (SELECT edge FROM settled_from)""")
+
+
+@query("m4_payments_incremental", BUCKET_SQL.replace("FROM pay_status", "FROM status_seen"))
+def m4_incremental(spark, sf):
+    """Counts as of ten days ago, then a refresh: buckets before the look-back keep what they had."""
+    requests = payments.stage_requests(ad.raw_requests(spark, sf))
+    rejections = payments.stage_rejections(ad.raw_rejections(spark, sf))
+    now = ad.clock(spark, sf).cast("timestamp")
+    path = scratch_path(spark, "m4")
+
+    def save(status):
+        buckets = payments.payments_by_minute(status, 5).withColumn("day", F.to_date("request_bucket"))
+        sinks.upsert(buckets, path, ["request_bucket"], "day")
+
+    then = now - F.expr("INTERVAL 10 DAYS")
+    save(payments.payment_status(
+        requests.filter(F.col("requested_at") <= then), rejections.filter(F.col("rejected_at") <= then), then, ad.GRACE))
+    status = payments.payment_status(requests, rejections, now, ad.GRACE)
+    save(payments.unsettled(status, sinks.read_table(spark, path), 5, ad.LOOK_BACK))
+    out = ntz(sinks.read_table(spark, path).drop("day", "refreshed_at"), "request_bucket")
+    return out.withColumns({c: F.round(c, 2) for c in AMOUNTS})
+
+
 def _user_sessions(gap):
     return f"""
 SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS num_events FROM (
