@@ -203,3 +203,27 @@ def test_words_of_four_languages_are_kept(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     rows = embeddings.term_weights(df, "id", "text").collect()
     assert all(r["row"].numNonzeros() == 3 for r in rows)
+
+
+@pytest.mark.parametrize("blocks", [(1024, 16384), (7, 11)])
+def test_nearest_for_all_seeds(spark, blocks):
+    """Several blocks, ties, null and zero vectors, seeds that are no items, fewer items than asked for."""
+    rng = np.random.default_rng(8)
+    items = [(i, [float(x) for x in rng.integers(-2, 3, 3)]) for i in range(80)] + [(90, None), (91, [0.0] * 3)]
+    seeds = items[:20] + [(500 + i, [float(x) for x in rng.integers(1, 4, 3)]) for i in range(10)]
+    a, b = (spark.createDataFrame(x, "k long, v array<double>") for x in (seeds, items))
+    got = {}
+    for r in embeddings.nearest_for_all(a, b, "k", "v", 4, *blocks).collect():
+        got.setdefault(r["seed"], {})[r["rank"]] = (r["k"], round(r["cos"], 9))
+
+    def cos(x, y):
+        return float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y))
+
+    for name, v in seeds:
+        if not any(v):
+            assert name not in got
+            continue
+        near = sorted((-round(cos(v, w), 12), k) for k, w in items if w is not None and any(w) and k != name)[:4]
+        assert [got[name][i + 1] for i in range(4)] == [(k, round(-c, 9)) for c, k in near]
+    few = embeddings.nearest_for_all(a, b.filter("k < 2"), "k", "v", 4, *blocks)
+    assert few.groupBy("seed").count().agg({"count": "max"}).first()[0] <= 2

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import vectors
 from tidemark.operators.aggregates import vector_mean
+from tidemark.operators.keyed import top_per_key
 from tidemark.session import cut
 
 TERMS = 400
@@ -91,3 +92,52 @@ def nearest(df: DataFrame, key: str, vector: str, seed: Column, seed_key: Column
     rows = df.filter(F.col(key) != seed_key).withColumn("_seed", seed)
     scored = rows.select(key, vectors.cosine(vector, "_seed").alias("cos"))
     return scored.orderBy(F.desc("cos"), key).limit(k)
+
+
+# Rows of a block of seeds and of a block of items, which one task compares.
+SEED_BLOCK, ITEM_BLOCK = 1024, 16_384
+
+
+def nearest_for_all(
+    seeds: DataFrame, items: DataFrame, key: str, vector: str, k: int = 5,
+    seed_block: int = SEED_BLOCK, item_block: int = ITEM_BLOCK,
+) -> DataFrame:
+    """The k items closest to every seed by cosine: seed, rank, key, cos. A seed does not find its own key.
+
+    Exact: blocks of seeds meet blocks of items, a pair of blocks in one task, which keeps k
+    items per seed. So seeds times item blocks rows are shuffled, not seeds times items. Vectors
+    that are null or zero take no part; ties go to the smaller key.
+    """
+
+    def blocked(df: DataFrame, size: int) -> tuple[DataFrame, int]:
+        usable = F.exists(vector, lambda x: x != 0)
+        rows = cut(df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(usable))
+        blocks = max(1, -(-rows.count() // size))
+        return rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), blocks
+
+    left, n = blocked(seeds, seed_block)
+    right, m = blocked(items, item_block)
+    # Each side goes to all blocks of the other one.
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select("id", "v", F.col("own").alias("i"), F.col("other").alias("j"))
+    right = right.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("id", "v", F.col("other").alias("i"), F.col("own").alias("j"))
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = {"seed": [], key: [], "cos": []}
+        if len(a) and len(b):
+            x, y = (np.stack(df["v"].to_numpy()) for df in (a, b))
+            ids = b["id"].to_numpy()
+            cos = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
+            for name, row in zip(a["id"], cos):
+                row = np.where(ids == name, -np.inf, row)
+                some = min(k, len(row))
+                least = np.partition(row, len(row) - some)[len(row) - some]
+                # Rounded like the order of the result, so that ties are ties in all blocks.
+                near = np.flatnonzero((row >= least - 1e-9) & (ids != name))
+                best = near[np.lexsort((ids[near], -row[near].round(12)))][:k]
+                out["seed"] += [name] * len(best)
+                out[key] += ids[best].tolist()
+                out["cos"] += row[best].tolist()
+        return pd.DataFrame(out)
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(compare, f"seed long, {key} long, cos double")
+    return top_per_key(found, ["seed"], [F.desc(F.round("cos", 12)), F.asc(key)], k, rank="rank")

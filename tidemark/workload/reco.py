@@ -241,6 +241,15 @@ def k8(spark, sf):
     return near.withColumn("cos", F.round("cos", 6))
 
 
+@query("k8_nearest_for_all", """
+SELECT s.vec_id AS seed, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], s.embedding::DOUBLE[]), 6) AS cos,
+ row_number() OVER (PARTITION BY s.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], s.embedding::DOUBLE[]), 12) DESC, e.vec_id) AS rank
+FROM embeddings e JOIN embeddings s ON e.vec_id <> s.vec_id QUALIFY rank <= 5""")
+def k8_all(spark, sf):
+    rows = source(spark, sf, "embeddings")
+    return embeddings.nearest_for_all(rows, rows, "vec_id", "embedding").withColumn("cos", F.round("cos", 6))
+
+
 # --- propensity --------------------------------------------------------------
 
 # The events are moved back into the years of the orders.
