@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -56,3 +57,57 @@ def test_risk_does_not_go_negative():
     unlabelled = [np.array([rng.integers(2, 50)]) for _ in range(360)] + positives
     w, bias = toxicity.fit(positives, unlabelled, 50, 0.1)
     assert w[0] + bias > 0 and (w[2:] + bias < 0).all()
+
+
+def plain_risk(w, positives, unlabelled, prior, decay):
+    """The estimated risk in loops; where its second part is negative, what a step back minimises."""
+    def score(row):
+        return 1 / (1 + math.exp(-(sum(w[f] for f in row) + w[-1])))
+
+    p, u = [score(r) for r in positives], [score(r) for r in unlabelled]
+    negative = sum(u) / len(u) - prior * sum(p) / len(p)
+    positive = prior * sum(1 - s for s in p) / len(p)
+    ridge = decay / 2 * sum(x * x for x in w[:-1])
+    return (positive + negative if negative >= 0 else -negative) + ridge, negative
+
+
+def test_fit_against_numeric_gradients():
+    """Adam on gradients from differences of the plain risk; some steps are steps back."""
+    rng = np.random.default_rng(6)
+    positives = [np.unique(np.append(rng.integers(1, 6, 2), 0)) for _ in range(6)]
+    unlabelled = [np.unique(rng.integers(1, 6, 2)) for _ in range(12)]
+    features, prior, rate, decay = 6, 0.5, 0.2, 1e-3
+    w = np.zeros(features + 1)
+    mean, square, back = np.zeros_like(w), np.zeros_like(w), 0
+    for step in range(1, 41):
+        _, negative = plain_risk(w, positives, unlabelled, prior, decay)
+        back += negative < 0
+        change = np.zeros_like(w)
+        for i in range(len(w)):
+            up, down = w.copy(), w.copy()
+            up[i] += 1e-6
+            down[i] -= 1e-6
+            change[i] = (plain_risk(up, positives, unlabelled, prior, decay)[0] - plain_risk(down, positives, unlabelled, prior, decay)[0]) / 2e-6
+        mean = 0.9 * mean + 0.1 * change
+        square = 0.99 * square + 0.01 * change * change
+        w = w - rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+    got, bias = toxicity.fit(positives, unlabelled, features, prior, steps=40, rate=rate, decay=decay)
+    assert back > 0 and np.allclose(np.append(got, bias), w, atol=1e-3)
+
+
+def test_select_against_plain_counts():
+    rng = np.random.default_rng(3)
+    n_p, n_u, prior = 60, 400, 0.1
+    positive, unlabelled = rng.integers(0, 40, 300), rng.integers(0, 60, 300)
+    positive[:5], unlabelled[:5] = [0, 60, 3, 2, 30], [0, 0, 1, 0, 30]
+    want = []
+    for f, (a, b) in enumerate(zip(positive.tolist(), unlabelled.tolist())):
+        share = (a + b) / (n_p + n_u)
+        evidence = 0.0
+        for k, n in ((a, n_p), (b, n_u)):
+            for seen, expected in ((k / n, share), (1 - k / n, 1 - share)):
+                if seen > 0:
+                    evidence += 2 * n * seen * math.log(seen / expected)
+        if a >= toxicity.LEAST_POSITIVES and b / n_u < 1.5 * prior * a / n_p and evidence >= toxicity.EVIDENCE:
+            want.append(f)
+    assert want and toxicity.select(positive, unlabelled, n_p, n_u, prior).tolist() == want
