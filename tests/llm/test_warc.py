@@ -58,5 +58,34 @@ def test_look_up_finds_all_captures_of_a_url(spark, monkeypatch):
     assert {r["asked_key"] for r in found} == {"org,example,h3)/p4"}
 
 
+def test_looking_up_all_urls_reads_every_record(spark):
+    """Several blocks of one URL, URLs that were not captured, and a URL key per odd page."""
+    rows = PAGES + [(100 + i, "http://hot.example.org/", f"text {i % 50}") for i in range(2500)]
+    rows += [(5000 + i, f"http://h{i}.example.org/", None) for i in range(1200)]
+    df = pages(spark, rows).repartition(5)
+    capture = warc.write(df)
+    assert capture.directory.count() >= 4
+    asked = df.select("url").unionByName(spark.createDataFrame([(f"http://n{i}.example.org/",) for i in range(300)], "url string"))
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = sorted((tuple(r[c] for c in columns) for r in warc.look_up(capture, asked).collect()), key=repr)
+    assert found == brute(rows, 0) == read(capture)
+
+
+def test_close_records_are_one_read(tmp_path, monkeypatch):
+    (tmp_path / "a").write_bytes(bytes(range(200)))
+    reads = []
+    ranges = warc._Ranges(f"file://{tmp_path}")
+    real = ranges.get
+    monkeypatch.setattr(ranges, "get", lambda *a: reads.append(a) or real(*a))
+    monkeypatch.setattr(warc, "GAP_BYTES", 5)
+    monkeypatch.setattr(warc, "READ_BYTES", 60)
+    asked = [("k", "a", 50, 10), ("k", "a", 0, 10), ("k", "a", 12, 8), ("k", "a", 62, 50), ("k", "a", 112, 20)]
+    got = {r[2]: data for r, data in ranges.near(asked)}
+    assert got == {p: bytes(range(p, p + n)) for _, _, p, n in asked}
+    assert reads == [("a", 0, 20), ("a", 50, 10), ("a", 62, 50), ("a", 112, 20)]
+
+
 def test_no_pages(spark):
-    assert read(warc.write(pages(spark, []))) == []
+    none = pages(spark, [])
+    capture = warc.write(none)
+    assert read(capture) == [] and warc.look_up(capture, none).count() == 0

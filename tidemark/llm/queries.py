@@ -159,7 +159,8 @@ FROM (SELECT page_id, h, sha1(h) AS digest, max(page_id) OVER (PARTITION BY h) A
 
 @query("op5_warc", WARC_SQL)
 def op5(spark, sf_dir):
-    records = warc.write(read(spark, sf_dir, "pages")).read()
+    pages = read(spark, sf_dir, "pages")
+    records = warc.look_up(warc.write(pages), pages)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -34,6 +34,8 @@ from tidemark.session import scratch_path, stored
 
 BLOCK_LINES = 1000
 FILE_BYTES = 1 << 30
+# Records with smaller gaps between them are read as one range of at most so many bytes.
+GAP_BYTES, READ_BYTES = 1 << 16, 8 << 20
 _FOOTER = "<Q"
 _FOOTER_BYTES = 8
 _SAFE = "".join(chr(c) for c in range(0x21, 0x7F))
@@ -262,6 +264,21 @@ class _Ranges:
     def lines(self, name: str, position: int, length: int) -> list[list]:
         return [json.loads(x) for x in gzip.decompress(self.get(name, position, length)).decode().split("\n")]
 
+    def near(self, records: list[tuple]) -> Iterator[tuple[tuple, bytes]]:
+        """Records (key, file, position, length) with their bytes; close ones are one read."""
+        group: list[tuple] = []
+        for r in [*sorted(records, key=lambda r: r[1:3]), None]:
+            if group:
+                _, name, first, _ = group[0]
+                end = group[-1][2] + group[-1][3]
+                if r is None or r[1] != name or r[2] - end > GAP_BYTES or r[2] + r[3] - first > READ_BYTES:
+                    data = self.get(name, first, end - first)
+                    for done in group:
+                        yield done, data[done[2] - first : done[2] - first + done[3]]
+                    group = []
+            if r is not None:
+                group.append(r)
+
     def directory(self, name: str) -> list[list]:
         end = self.file(name).size()
         (length,) = struct.unpack(_FOOTER, self.get(name, end - _FOOTER_BYTES, _FOOTER_BYTES))
@@ -294,9 +311,17 @@ def read_blocks(directory: DataFrame, folder: str) -> DataFrame:
     return directory.repartition(parts, "file", "position").mapInArrow(run, _RECORD_DDL)
 
 
+_PLACE = pa.schema([("asked_key", pa.string()), ("file", pa.string()), ("position", pa.int64()), ("length", pa.int64())])
+
+
 def look_up(capture: Capture, urls: DataFrame) -> DataFrame:
     """Records of the given URLs (column `url`): asked_key and the record's columns.
 
+    Keys are sorted over tasks. A task finds each one's blocks by binary search, in the first keys
+    of the index files and then in the directory at the end of a file. Blocks then go to tasks of
+    their own, so a URL with very many captures is read by many; a block is read once, and
+    records that lie close together in an archive file are read as one range.
+
     The first keys of index files, one per file, come to the driver: as many as partitions.
     """
     heads = sorted(
@@ -305,21 +330,49 @@ def look_up(capture: Capture, urls: DataFrame) -> DataFrame:
     folder = capture.folder
     keys = [k for k, _ in heads]
 
-    def run(batches):
-        ranges, directories = _Ranges(folder), {}
+    def search(batches):
+        ranges, held = _Ranges(folder), (None, None, None)
         for batch in batches:
             rows = []
             for asked in batch["asked_key"].to_pylist():
                 for _, name in heads[max(0, bisect.bisect_left(keys, asked) - 1) : bisect.bisect_right(keys, asked)]:
-                    blocks = directories.setdefault(name, None) or ranges.directory(name)
-                    directories[name] = blocks
-                    firsts = [b[0] for b in blocks]
+                    if held[0] != name:
+                        blocks = ranges.directory(name)
+                        held = (name, blocks, [b[0] for b in blocks])
+                    _, blocks, firsts = held
                     for _, at, length in blocks[max(0, bisect.bisect_left(firsts, asked) - 1) : bisect.bisect_right(firsts, asked)]:
-                        for line in ranges.lines(name, at, length):
-                            if line[0] == asked:
-                                rows.append((asked, *_parsed(ranges, *line[2:])))
+                        rows.append((asked, name, at, length))
             if rows:
-                yield _batch(rows, pa.schema([("asked_key", pa.string()), *_RECORD]))
+                yield _batch(rows, _PLACE)
+
+    def fetch(batches):
+        ranges, block, by_key, wanted = _Ranges(folder), None, {}, []
+
+        def records():
+            for (_, file, position, length), data in ranges.near(wanted):
+                said = parse(gzip.decompress(data))
+                yield (file, position, *(said[c] for c in _RECORD.names))
+
+        def finished():
+            key_of = {(file, position): key for key, file, position, _ in wanted}
+            rows = [(key_of[file, position], *said) for file, position, *said in records()]
+            return _batch(rows, pa.schema([("asked_key", pa.string()), *_RECORD]))
+
+        for batch in batches:
+            for asked, *place in zip(*(batch[c].to_pylist() for c in _PLACE.names)):
+                if place != block:
+                    if wanted:
+                        yield finished()
+                    block, by_key, wanted = place, {}, []
+                    for key, _, *at in ranges.lines(*place):
+                        by_key.setdefault(key, []).append(at)
+                wanted += [(asked, *at) for at in by_key.get(asked, ())]
+        if wanted:
+            yield finished()
 
     asked = urls.select(url_key(F.col("url")).alias("asked_key")).distinct()
-    return asked.mapInArrow(run, "asked_key string, " + _RECORD_DDL)
+    places = asked.repartitionByRange("asked_key").sortWithinPartitions("asked_key").mapInArrow(
+        search, "asked_key string, file string, position long, length long"
+    )
+    blocks = places.repartition("file", "position").sortWithinPartitions("file", "position", "asked_key")
+    return blocks.mapInArrow(fetch, "asked_key string, " + _RECORD_DDL)
