@@ -1,8 +1,18 @@
 import random
+import re
+import zlib
+from collections import Counter, defaultdict
+from itertools import combinations
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+from tokenizers import Tokenizer
 
 from odd_tables import no_docs, odd_docs, odd_rows  # noqa: F401
 import corpus_pipeline
-from tidemark.llm import graph, mixing
+from tidemark.llm import graph, mixing, packing, toxicity
+from tidemark.llm.queries import tokenizer_path, tuned
 
 
 def test_components(spark):
@@ -60,3 +70,88 @@ def test_mixing_takes_whole_texts_and_first_words(spark, odd_docs, odd_rows):
 def test_stages_of_no_documents(spark, no_docs):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, no_docs, "/root/testdata/sf0.001").count() == 0, name
+
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def shingles(text):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def without_near_copies(rows):
+    sets = {r["doc_id"]: shingles(r["text"] or "") for r in rows}
+    root = {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if x and y and 100 * len(x & y) >= 80 * len(x | y):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    return [r for r in rows if find(r["doc_id"]) == r["doc_id"]]
+
+
+def mixed(rows):
+    """Texts as often as the mix takes them, from the SQL of the mix."""
+    con = duckdb.connect()
+    con.register("kept", pa.table({c: [r[c] for r in rows] for c in ("doc_id", "source", "text")}))
+    taken = dict(con.sql(mixing.oracle(docs="kept")).project("doc_id, taken").fetchall())
+    out = []
+    for r in rows:
+        spans = [m.end() for m in WORD.finditer(r["text"] or "")]
+        whole, rest = divmod(taken[r["doc_id"]], len(spans)) if spans else (1, 0)
+        out += [(r["doc_id"], r["text"] or "")] * whole + ([(r["doc_id"], r["text"][: spans[rest - 1]])] if rest else [])
+    return out
+
+
+def test_pipeline_against_plain_code(spark):
+    """All stages on a whole small table; only the trained weights are taken from the operator."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs = tuned(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    classifier = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = [r.asDict() for r in docs.collect()]
+    scores = classifier.score(pa.array([r["text"] for r in rows], pa.string()))
+    clean = [r for r, s in zip(rows, scores) if s < 0.5]
+    kept = without_near_copies(clean)
+    assert len(kept) < len(clean) < len(rows)
+    texts = mixed(kept)
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    want = Counter()
+    for doc_id, text in texts:
+        want[doc_id, np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], dtype="<u4").tobytes()] += 1
+    pieces, sequences = Counter(), defaultdict(list)
+    for r in corpus_pipeline.run(spark, sf_dir).collect():
+        pieces[r["doc_id"], r["doc_tokens"], r["start"], r["length"], r["ids_crc32"]] += 1
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for placed in sequences.values():
+        ends = np.cumsum([n for _, n in sorted(placed)])
+        assert [at for at, _ in sorted(placed)] == [0, *ends[:-1].tolist()] and ends[-1] <= packing.WINDOW
+    # Every copy of a text is made up of pieces that lie end to end.
+    for (doc_id, data), copies in want.items():
+        total = len(data) // 4
+        for _ in range(copies):
+            at = 0
+            while at < total:
+                found = next(
+                    p for p, n in pieces.items()
+                    if n and p[:3] == (doc_id, total, at) and zlib.crc32(data[4 * at : 4 * (at + p[3])]) == p[4])
+                pieces[found] -= 1
+                at += found[3]
+    assert not +pieces
+
+
+def test_toxic_stage_of_odd_rows(spark, odd_docs, odd_rows):
+    """Nulls, repeats and clashing names: what is not flagged stays as it was, columns of documents only."""
+    classifier = toxicity.Classifier(np.full(toxicity.DIMENSIONS, -1), np.zeros(0), -10.0)
+    kept = corpus_pipeline.keep_clean(odd_docs, classifier)
+    assert kept.columns == corpus_pipeline.COLUMNS
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, odd_rows))
+    everything = toxicity.Classifier(np.full(toxicity.DIMENSIONS, -1), np.zeros(0), 10.0)
+    assert corpus_pipeline.keep_clean(odd_docs, everything).count() == 0
