@@ -21,7 +21,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not take for toxic; it is trained on the stage's own input.
 
-    A null doc_id or text is judged like any other; repeated rows are judged alike.
+    A null doc_id or text is judged like any other; repeated rows are judged alike; without toxic
+    examples nothing goes.
     """
     tuned(spark)
     classifier = toxicity.train(docs, read(spark, sf_dir, "labels"))
@@ -54,7 +55,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: whole, and once more in part where it says so.
 
     The part of a text is its first words, up to the end of the last one. A document of which
-    nothing is taken goes, except one without words, which has nothing to take and stays.
+    nothing is taken goes, except one without words, which has nothing to take and stays. A null
+    text is one without words and stays null; a null source is a source of its own; repeated rows
+    are taken each; no documents give none.
     """
     tuned(spark)
     mixed = mixing.mix(docs, carry=["text", "lang", "n_chars"])
@@ -70,7 +73,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all texts in sequences of at most 2048 tokens."""
+    """Pieces of all texts in sequences of at most 2048 tokens.
+
+    A null or empty text is its end token alone, a null doc_id stays null, and repeated rows are
+    packed each; no documents give no pieces.
+    """
     tuned(spark)
     return packing.pack(docs, tokenizer_path())
 
