@@ -25,6 +25,27 @@ def test_pair_sums_match_matrix_product(spark, n_items, salts, small):
     assert got == want
 
 
+@pytest.mark.parametrize("shift", [0, -7, 1 << 40])
+def test_pair_sums_end_small_sums_and_take_any_numbers(spark, shift):
+    """Sums below `least` do not leave the strips; a repeated cell is no pair of its own."""
+    cells = [("g", 1), ("g", 2), ("h", 1), ("h", 2), ("h", 3), ("i", 4), ("i", 4), (None, 5), ("g", None)]
+    df = spark.createDataFrame([(g, None if i is None else i + shift, 1.0) for g, i in cells], "g string, i long, one double")
+    out = gram.pair_sums(df, "g", "i", "one", "one", least=2.0)
+    assert [tuple(r) for r in out.collect()] == [(1 + shift, 2 + shift, 2.0)]
+    assert gram.pair_sums(df.limit(0), "g", "i", "one", "one").count() == 0
+
+
+def test_pairs_are_sent_in_few_rows():
+    """Items spread over 2000 blocks of the earlier layout; a row holds hundreds of pairs, not one."""
+    rng = np.random.default_rng(5)
+    width = 2_000_000
+    keys = np.unique(rng.integers(0, 1000, 50_000) * 2000 * width + rng.integers(0, width, 50_000))
+    sent = [r for b in gram._runs(keys, np.ones(len(keys)), width, np.array([500_000, 1_000_000])) for r in b.to_pylist()]
+    assert len(sent) < 110 and {r["strip"] for r in sent} == {0, 1, 2}
+    back = [h * width + p for r in sent for h, p in zip(np.repeat(r["heads"], r["counts"]), r["partners"])]
+    assert back == keys.tolist()
+
+
 def test_sparse_sums_spill_and_add_up():
     rng = np.random.default_rng(2)
     sums, out = gram.Sums(100), []

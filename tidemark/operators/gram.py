@@ -1,10 +1,11 @@
-"""Pair sums over groups as a blocked sparse matrix product.
+"""Pair sums over groups as a sparse matrix product in strips.
 
 Counting which items share a group is the product X'X of the group-by-item matrix. A
-self-join of the groups would write every pair of every group as a row. Here items are
-spread over blocks, a group travels once per pair of blocks it touches, and a task sums the
-pairs of one block pair in a sorted sparse accumulator. Only sums leave the task; an accumulator
-that gets too large leaves what it has so far as a partial sum.
+self-join of the groups would write every pair of every group as a row. Here a task multiplies
+the groups it holds and adds their pairs up before anything is sent. Items are cut into strips
+with about equally many cells, a pair belongs to the strip of its smaller item, and what
+tasks send of a strip are runs: an item, how many partners follow, the partners, their sums. One task
+adds up a whole strip, so the sums that leave it are final, and small ones can end there.
 """
 
 from __future__ import annotations
@@ -14,25 +15,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import rank_rows
+from tidemark.session import cut
 
-BLOCK = 1024  # items per block, at most so many cells per row
+BLOCK = 4096  # cells of a group per row, at most
 CHUNK = 1 << 20  # pairs made at a time
-SPILL = 1 << 22  # sums held at a time
+SPILL = 1 << 22  # sums held at a time by a task that makes pairs
+STRIPS = 4096  # strips at most
+RUN = 512  # pairs per row that is sent
+RUNS = "strip int, heads array<int>, counts array<int>, partners array<int>, dots array<double>"
 
 
 class Sums:
-    """Sparse sums by key: sorted runs that are merged when there are many entries."""
+    """Sparse sums by key: entries are held as they come, and sorted and added up when there are many."""
 
     def __init__(self, spill: int):
         self.spill, self.runs, self.held = spill, [], 0
 
     def add(self, keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Add values; yields partial sums if those held would be too many."""
-        self._push(*self._reduced(keys, values))
+        self._push(keys, values)
         if self.held > self.spill:
             merged = self._merged()
             # Sums that hardly shrink are of too many keys to hold.
@@ -41,6 +46,13 @@ class Sums:
             else:
                 self._push(*merged)
 
+    def add_all(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Add values and keep all sums, however many they are."""
+        self._push(keys, values)
+        if self.held > self.spill:
+            self._push(*self._merged())
+            self.spill = max(self.spill, 2 * self.held)
+
     def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if self.runs:
             yield self._merged()
@@ -56,29 +68,39 @@ class Sums:
 
     @staticmethod
     def _reduced(keys, values):
+        if len(keys) and keys.min() >= 0 and int(keys.max()) < len(keys):
+            # Few different keys: counted into places instead of sorted.
+            some = np.flatnonzero(np.bincount(keys))
+            return some, np.bincount(keys, values)[some]
         order = np.argsort(keys, kind="stable")
         keys, values = keys[order], values[order]
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))[: len(keys)]
         return keys[starts], np.add.reduceat(values, starts) if len(keys) else values
 
 
-def _cells(batch: pa.RecordBatch, side: str, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cells per row, and position inside the block and value of every cell of a batch."""
+def _cells(batch: pa.RecordBatch, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells per row, and item and value of every cell of a batch."""
     items, values = batch.column(f"items_{side}"), batch.column(f"values_{side}")
     lengths = pc.list_value_length(items).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return lengths, items.flatten().to_numpy().astype(np.int64) % block, values.flatten().to_numpy()
+    return lengths, items.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy()
 
 
-def _products(batch: pa.RecordBatch, diagonal: bool, block: int, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys and weighted products of the pairs of every row of one block pair, a chunk at a time.
+def _products(batch: pa.RecordBatch, width: int, diagonal: bool, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and weighted products of the pairs of every row, a chunk at a time.
 
-    Inside one block a pair is taken once, the smaller item first.
+    Cells of a row are sorted by item. Inside one row a cell meets the ones after it, else all of
+    the other side, which come after it too.
     """
-    n, mine, x = _cells(batch, "a", block)
-    m, theirs, y = (n, mine, x) if diagonal else _cells(batch, "b", block)
+    n, mine, x = _cells(batch, "a")
     rows = np.repeat(np.arange(len(n)), n)
-    starts, weight = np.cumsum(m) - m, batch.column("weight").to_numpy()[rows]
-    partners = m[rows]
+    weight = batch.column("weight").to_numpy()[rows]
+    if diagonal:
+        theirs, y = mine, x
+        starts = np.arange(len(rows)) + 1
+        partners = np.cumsum(n)[rows] - starts
+    else:
+        m, theirs, y = _cells(batch, "b")
+        starts, partners = (np.cumsum(m) - m)[rows], m[rows]
     upto = np.cumsum(partners)
     total = int(upto[-1]) if len(upto) else 0
     cuts = np.unique(np.searchsorted(upto, np.arange(chunk, total + chunk, chunk)))
@@ -86,103 +108,143 @@ def _products(batch: pa.RecordBatch, diagonal: bool, block: int, chunk: int) ->
         count = partners[first:last]
         a = np.repeat(np.arange(first, min(last, len(rows))), count)
         inside = np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)
-        b = starts[rows[a]] + inside
-        if diagonal:
-            once = mine[a] < theirs[b]
-            a, b = a[once], b[once]
-        yield mine[a] * block + theirs[b], weight[a] * x[a] * y[b]
+        b = starts[a] + inside
+        # A repeated cell is no pair.
+        once = mine[a] < theirs[b]
+        a, b = a[once], b[once]
+        yield mine[a] * width + theirs[b], weight[a] * x[a] * y[b]
+
+
+def _runs(keys: np.ndarray, values: np.ndarray, width: int, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sorted sums as rows of one strip each, at most RUN pairs long."""
+    heads, partners = np.divmod(keys, width)
+    strips = np.searchsorted(edges, heads, side="right")
+    # A row ends with its strip or when it is full; a head's run ends with the row too.
+    first = np.concatenate(([0], np.flatnonzero(np.diff(strips)) + 1))
+    place = np.arange(len(keys)) - np.repeat(first, np.diff(np.append(first, len(keys))))
+    rows = np.flatnonzero(place % RUN == 0)
+    new_row = np.zeros(len(keys), dtype=bool)
+    new_row[rows] = True
+    runs = np.flatnonzero(new_row | np.concatenate(([True], heads[1:] != heads[:-1])))
+    counts = np.diff(np.append(runs, len(keys)))
+    of_runs = pa.array(np.append(np.searchsorted(runs, rows), len(runs)), pa.int32())
+    of_pairs = pa.array(np.append(rows, len(keys)), pa.int32())
+    whole = pa.RecordBatch.from_arrays([
+        pa.array(strips[rows], pa.int32()),
+        pa.ListArray.from_arrays(of_runs, pa.array(heads[runs], pa.int32())),
+        pa.ListArray.from_arrays(of_runs, pa.array(counts, pa.int32())),
+        pa.ListArray.from_arrays(of_pairs, pa.array(partners, pa.int32())),
+        pa.ListArray.from_arrays(of_pairs, pa.array(values, pa.float64())),
+    ], names=["strip", "heads", "counts", "partners", "dots"])
+    for start in range(0, whole.num_rows, 1000):
+        yield whole.slice(start, 1000)
+
+
+def _multiplier(width: int, edges: list[int], diagonal: bool, chunk: int, spill: int):
+    """Multiplies the groups of a task; yields runs of sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, bounds = Sums(spill), np.array(edges, dtype=np.int64)
+        for batch in batches:
+            for keys, values in _products(batch, width, diagonal, chunk):
+                for done in sums.add(keys, values):
+                    yield from _runs(*done, width, bounds)
+        for done in sums.rest():
+            if len(done[0]):
+                yield from _runs(*done, width, bounds)
+
+    return run
 
 
-def _accumulator(block: int, chunk: int, spill: int):
-    """Sums rows sorted by block pair; one block pair is held at a time."""
+def _adder(width: int, least: float | None, spill: int):
+    """Adds up runs sorted by strip; one strip is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, sums = None, Sums(spill)
 
-        def finished(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-            some = values != 0
-            left, right = np.divmod(keys[some], block)
-            return pa.RecordBatch.from_pydict({
-                "item_a": current[0] * block + left, "item_b": current[1] * block + right,
-                "dot": values[some],
-            })
+        def finished() -> Iterator[pa.RecordBatch]:
+            for keys, values in sums.rest():
+                some = values != 0 if least is None else (values != 0) & (values >= least)
+                left, right = np.divmod(keys[some], width)
+                whole = pa.RecordBatch.from_pydict({"item_a": left, "item_b": right, "dot": values[some]})
+                for start in range(0, whole.num_rows, 1 << 16):
+                    yield whole.slice(start, 1 << 16)
 
         for batch in batches:
-            first, second = (batch.column(c).to_numpy() for c in ("block_a", "block_b"))
-            edges = np.flatnonzero((np.diff(first) != 0) | (np.diff(second) != 0)) + 1
+            strips = batch.column("strip").to_numpy()
+            edges = np.flatnonzero(np.diff(strips)) + 1
             for start, stop in zip([0, *edges], [*edges, batch.num_rows]):
                 if start == stop:
                     continue
-                pair = (int(first[start]), int(second[start]))
-                if pair != current:
-                    for done in sums.rest():
-                        yield finished(*done)
-                    current, sums = pair, Sums(spill)
-                for keys, values in _products(batch.slice(start, stop - start), pair[0] == pair[1], block, chunk):
-                    for done in sums.add(keys, values):
-                        yield finished(*done)
-        for done in sums.rest():
-            yield finished(*done)
+                part, strip = batch.slice(start, stop - start), int(strips[start])
+                if strip != current:
+                    yield from finished()
+                    current, sums = strip, Sums(spill)
+                heads, counts, partners, dots = (part.column(c).flatten().to_numpy() for c in ("heads", "counts", "partners", "dots"))
+                sums.add_all(np.repeat(heads.astype(np.int64), counts) * width + partners, dots)
+        yield from finished()
 
     return run
 
 
 def pair_sums(
     df: DataFrame, group: str, item: str, value: str, weight: str, salts: int | None = None,
-    block: int = BLOCK, chunk: int = CHUNK, spill: int = SPILL,
+    block: int = BLOCK, chunk: int = CHUNK, spill: int = SPILL, least: float | None = None,
 ) -> DataFrame:
     """sum over groups of weight * value_a * value_b for each unordered item pair.
 
-    `item` is a dense number from 0 and (group, item) is unique; `weight` belongs to the
-    group. Returns item_a < item_b, dot, where dot is not zero. A hot block pair is split
-    into `salts` parts by group and summed up afterwards.
+    `item` is a whole number and (group, item) is unique; `weight` belongs to the
+    group. Returns item_a < item_b, dot, where dot is not zero and not below `least`. Groups are
+    dealt over at least `salts` tasks; a group with more than `block` cells is cut into
+    rows of so many, which meet each other.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salts = salts or max(partitions, 32)
-    cell = F.struct(
-        F.col(item).cast("bigint").alias("item"), F.col(value).cast("double").alias("value")
-    )
-    # At most `block` cells per row.
-    packed = (
-        df.groupBy(F.col(group).alias("_group"), F.floor(F.col(item) / block).cast("int").alias("_block"))
-        .agg(F.collect_list(cell).alias("_cells"), F.first(F.col(weight).cast("double")).alias("weight"))
-        .select("_group", "_block", "weight", F.col("_cells.item").alias("items"),
-                F.col("_cells.value").alias("values"))
-    )
-    same = packed.select(
-        "_group", F.col("_block").alias("block_a"), F.col("_block").alias("block_b"), "weight",
-        F.col("items").alias("items_a"), F.col("values").alias("values_a"),
-    )
-    # Groups that touch several blocks travel once per pair of different blocks.
-    touched = packed.groupBy("_group").agg(F.collect_set("_block").alias("_blocks"))
-    left = (
-        packed.join(touched.filter(F.size("_blocks") > 1), "_group")
-        .withColumn("block_b", F.explode(F.filter("_blocks", lambda b: b > F.col("_block"))))
-        .select("_group", F.col("_block").alias("block_a"), "block_b", "weight",
-                F.col("items").alias("items_a"), F.col("values").alias("values_a"))
+    cells = df.filter(F.col(item).isNotNull()).select(
+        F.col(group).alias("_group"), F.col(item).cast("bigint").alias("_item"),
+        F.col(value).cast("double").alias("_value"), F.col(weight).cast("double").alias("_weight"))
+    place = F.row_number().over(Window.partitionBy("_group").orderBy("_item")) - 1
+    placed = cells.repartition(max(partitions, salts or 1), "_group").withColumn("_place", place)
+    cell = F.struct("_item", "_value")
+    packed = cut(
+        placed.groupBy("_group", F.floor(F.col("_place") / block).cast("int").alias("_part"))
+        .agg(F.sort_array(F.collect_list(cell)).alias("_cells"), F.first("_weight").alias("weight"), F.sum("_place").alias("_pairs"))
+        .select("_group", "_part", "weight", "_pairs", F.col("_cells._item").alias("items_a"), F.col("_cells._value").alias("values_a"))
     )
-    right = packed.select(
-        "_group", F.col("_block").alias("block_b"), F.col("items").alias("items_b"),
-        F.col("values").alias("values_b"),
+    ends = F.min(F.array_min("items_a")), F.max(F.array_max("items_a"))
+    pairs, parts, lowest, highest = (int(x or 0) for x in packed.agg(F.sum("_pairs"), F.max("_part"), *ends).first())
+    if lowest < 0 or highest >= 1 << 31:
+        return _renumbered(df, group, item, value, weight, salts, block, chunk, spill, least)
+    width = highest + 1
+    # So many strips that one is no more than a few times what a task holds anyway.
+    count = min(STRIPS, max(partitions, -(-pairs // spill)))
+    shares = [(i + 1) / count for i in range(count - 1)] or [0.5]
+    edges = packed.select(F.explode("items_a").alias("item")).agg(F.percentile_approx("item", shares, 10 * STRIPS)).first()[0]
+    edges = sorted(set(edges or []))
+
+    def multiplied(rows: DataFrame, diagonal: bool) -> DataFrame:
+        return rows.mapInArrow(_multiplier(width, edges, diagonal, chunk, spill), RUNS)
+
+    partial = multiplied(packed.select("weight", "items_a", "values_a"), True)
+    if parts > 0:
+        later = packed.select("_group", F.col("_part").alias("_later"), F.col("items_a").alias("items_b"), F.col("values_a").alias("values_b"))
+        met = packed.join(later.filter("_later > 0"), "_group").filter("_part < _later")
+        met = met.select("weight", "items_a", "values_a", "items_b", "values_b").repartition(partitions)
+        partial = partial.unionByName(multiplied(met, False))
+    return (
+        partial.repartition(min(count, len(edges) + 1) if len(edges) else 1, "strip")
+        .sortWithinPartitions("strip")
+        .mapInArrow(_adder(width, least, spill), "item_a bigint, item_b bigint, dot double")
     )
-    mixed = left.join(right, ["_group", "block_b"])
-    return _summed(same.unionByName(mixed, allowMissingColumns=True), salts, _accumulator(block, chunk, spill))
-
-
-def _summed(rows: DataFrame, salts: int, accumulate) -> DataFrame:
-    """Accumulate each block pair in salted parts, then add the parts up."""
-    rows = rows.withColumns({
-        side: F.col(side) if side in rows.columns else F.lit(None).cast(kind)
-        for side, kind in (("items_b", "array<bigint>"), ("values_b", "array<double>"))
-    })
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_group"), F.lit(salts)).cast("int"))
-    partial = (
-        rows.repartition("block_a", "block_b", "_salt")
-        .sortWithinPartitions("block_a", "block_b")
-        .select("block_a", "block_b", "weight", "items_a", "values_a", "items_b", "values_b")
-        .mapInArrow(accumulate, "item_a bigint, item_b bigint, dot double")
-    )
-    return partial.groupBy("item_a", "item_b").agg(F.sum("dot").alias("dot")).filter("dot <> 0")
+
+
+def _renumbered(df: DataFrame, group: str, item: str, value: str, weight: str, *limits) -> DataFrame:
+    """`pair_sums` of items that are no small numbers."""
+    numbers = cut(dense_numbers(df.filter(F.col(item).isNotNull()), item, "_number"))
+    sums = pair_sums(df.join(numbers, item), group, "_number", value, weight, *limits)
+    for side in ("item_a", "item_b"):
+        names = numbers.select(F.col("_number").alias(side), F.col(item).cast("bigint").alias("_name"))
+        sums = sums.join(names, side).drop(side).withColumnRenamed("_name", side)
+    return sums.select("item_a", "item_b", "dot")
 
 
 def dense_numbers(df: DataFrame, col: str, name: str) -> DataFrame:

@@ -50,8 +50,7 @@ def neighbours(
     baskets = cut(baskets)
     numbers = cut(dense_numbers(baskets, "product_group_id", "number"))
     numbered = baskets.join(numbers, "product_group_id").withColumn("one", F.lit(1.0))
-    pairs = pair_sums(numbered, "transaction", "number", "one", "weight")
-    pairs = pairs.filter(F.col("dot") >= min_weight)
+    pairs = pair_sums(numbered, "transaction", "number", "one", "weight", least=min_weight)
 
     occ = baskets.groupBy("product_group_id").agg(F.sum("weight").alias("occ"))
     stats = numbers.join(occ, "product_group_id")
