@@ -103,6 +103,20 @@ def test_best_shared(spark, shape, weighted):
     assert got == brute_force(left, targets)
 
 
+@pytest.mark.parametrize("weighted,often", [(False, 1), (True, 40), (True, 10**9)])
+def test_many_values_of_few_are_compared_in_blocks(spark, monkeypatch, weighted, often):
+    """Members with most of 40 values, whose rests all differ: no pairs of rests are made."""
+    monkeypatch.setattr(links, "_pairs", lambda *a: pytest.fail("pairs of rests"))
+    for name, size in (("HEAVY", 1), ("TARGET_BLOCK", 32), ("SLICE", 10), ("VALUES", 7), ("OFTEN", often)):
+        monkeypatch.setattr(links, name, size)
+    sources, targets = population(3, 300, 70, 40, 0.9)
+    left = [(s, k, (hash_free(s, k) if weighted else 1)) for s, k in sources]
+    a = spark.createDataFrame(left, "s string, k string, w int")
+    b = spark.createDataFrame(targets, "t string, k string")
+    out = best_shared(a, b, "s", "t", "k", "w" if weighted else None)
+    assert {r["s"]: (r["t"], r["strength"]) for r in out.collect()} == brute_force(left, targets)
+
+
 def test_no_stage_pairs_the_members_of_a_frequent_value(spark, monkeypatch):
     """500 sources and 500 targets share two values; what is compared is a handful of rests."""
     sizes = []

@@ -15,18 +15,31 @@ whatever the sizes:
   where its bound is not below the strength found already.
 
 A pair of rests is rated by the rows of one member of each; sets are never collected.
+
+Where members have many values of few, nearly all rests differ and little is bounded: then pairs of
+rests are far more than rows. Their number is known before they are made. If it is too large, blocks
+of sources meet blocks of targets instead, a pair of blocks in one task, which multiplies their
+matrices and keeps one target per source; what is shuffled grows with members times blocks.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.gram import dense_numbers
 from tidemark.operators.keyed import first_per_key
 from tidemark.operators.ordered import running
 from tidemark.session import cut
 
 _REST = ["_key", "_d1", "_d2"]
+HEAVY = 64  # pairs of rests per row from which blocks are compared
+SOURCE_BLOCK, TARGET_BLOCK = 65_536, 8_192  # members of a block at most
+SLICE, VALUES = 4_096, 1_024  # sources, and frequent values, that are multiplied at a time
+OFTEN = 1 << 19  # pairs of members from which a value is multiplied and not added by itself
 
 
 def _rests(rows: DataFrame, member: str, frequency: DataFrame, values: list[str]) -> DataFrame:
@@ -80,6 +93,84 @@ def _per_source(rests: DataFrame, left: DataFrame, right: DataFrame) -> DataFram
     return first_per_key(alone.unionByName(of_members.select("source", "target", "strength")), ["source"], order)
 
 
+def _members(rows: DataFrame, member: str, values: DataFrame, size: int) -> DataFrame:
+    """One row per member of a side: its number, its block, its values as numbers and their weights."""
+    cell = F.struct(F.col("_number").cast("int").alias("v"), "_w")
+    packed = rows.join(values, "_key").groupBy(member).agg(F.collect_list(cell).alias("_cells"))
+    numbers = dense_numbers(rows, member, "_place")
+    return packed.join(numbers, member).select(
+        F.col("_place").alias("place"), F.floor(F.col("_place") / size).cast("int").alias("own"),
+        F.col("_cells.v").alias("v"), F.col("_cells._w").alias("w"))
+
+
+def _flat(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of a block's members in order; row, value and weight of all cells, by value."""
+    table = table.sort_by("place").combine_chunks()
+    rows = np.repeat(np.arange(table.num_rows), pc.list_value_length(table.column("v")).to_numpy())
+    v, w = (pc.list_flatten(table.column(c)).to_numpy() for c in ("v", "w"))
+    order = np.argsort(v, kind="stable")
+    return table.column("place").to_numpy(), rows[order], v[order], w[order]
+
+
+def _strongest(whole: bool, slice_: int, values: int, often: int):
+    """Compares a block of sources with a block of targets; the best target of each source."""
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = {"s": [], "t": [], "strength": []}
+        if a.num_rows and b.num_rows:
+            kind = np.float32 if whole else np.float64
+            sources, r, v, w = _flat(a)
+            targets, q, u, _ = _flat(b)
+            both = np.intersect1d(v, u)
+            cells, ends = np.searchsorted(u, both), np.searchsorted(u, both, side="right")
+            for start in range(0, len(sources), slice_):
+                n = min(slice_, len(sources) - start)
+                here = (r >= start) & (r < start + n)
+                row, value, weight = r[here] - start, v[here], w[here].astype(kind)
+                first, last = np.searchsorted(value, both), np.searchsorted(value, both, side="right")
+                product = (last - first) * (ends - cells)
+                score = np.zeros((n, len(targets)), dtype=kind)
+                many = np.flatnonzero(product >= often)
+                for at in range(0, len(many), values):
+                    some = many[at:at + values]
+                    x, y = np.zeros((n, len(some)), dtype=kind), np.zeros((len(some), len(targets)), dtype=kind)
+                    for place, key in enumerate(some):
+                        x[row[first[key]:last[key]], place] = weight[first[key]:last[key]]
+                        y[place, q[cells[key]:ends[key]]] = 1
+                    score += x @ y
+                for key in np.flatnonzero((product > 0) & (product < often)):
+                    one = slice(first[key], last[key])
+                    score[row[one][:, None], q[cells[key]:ends[key]]] += weight[one][:, None]
+                # Targets are in order, and the first of equal ones is taken.
+                best = score.argmax(axis=1)
+                strength = score[np.arange(n), best]
+                some = strength > 0
+                found["s"].append(sources[start:start + n][some])
+                found["t"].append(targets[best[some]])
+                found["strength"].append(strength[some].astype(np.int64))
+        return pa.table({k: pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()) for k, x in found.items()})
+
+    return compare
+
+
+def _by_blocks(left: DataFrame, right: DataFrame, whole: bool) -> DataFrame:
+    """The strongest target of each source, from all pairs of blocks."""
+    partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n, m = (rows.agg(F.count_distinct(c)).first()[0] for rows, c in ((left, "source"), (right, "target")))
+    target_blocks = -(-m // TARGET_BLOCK)
+    size = min(SOURCE_BLOCK, max(256, -(-n * target_blocks // (3 * partitions))))
+    source_blocks = -(-n // size)
+    values = cut(dense_numbers(left.unionByName(right, allowMissingColumns=True), "_key", "_number"))
+    mine, theirs = _members(left, "source", values, size), _members(right, "target", values, TARGET_BLOCK)
+    mine = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(target_blocks - 1)))).withColumnsRenamed({"own": "i", "other": "j"})
+    theirs = theirs.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(source_blocks - 1)))).withColumnsRenamed({"own": "j", "other": "i"})
+    pairs = mine.groupBy("i", "j").cogroup(theirs.groupBy("i", "j"))
+    found = pairs.applyInArrow(_strongest(whole, SLICE, VALUES, OFTEN), "s long, t long, strength long")
+    best = first_per_key(found, ["s"], [F.desc("strength"), F.asc("t")])
+    names = [dense_numbers(rows, c, number) for rows, c, number in ((left, "source", "s"), (right, "target", "t"))]
+    return best.join(names[0], "s").join(names[1], "t").select("source", "target", "strength")
+
+
 def best_shared(
     sources: DataFrame, targets: DataFrame, source: str, target: str, key: str, weight: str | None = None
 ) -> DataFrame:
@@ -98,6 +189,15 @@ def best_shared(
     left = _rests(sources, "source", frequency, ["_key", "_w"])
     right = _rests(targets, "target", frequency, ["_key"])
 
+    of_value = [rests.groupBy("_key").agg(F.count_distinct("_d1", "_d2").alias(n), F.count(F.lit(1)).alias(f"{n}_rows"))
+                for rests, n in ((left, "_l"), (right, "_r"))]
+    product = F.sum(F.col("_l").cast("double") * F.col("_r"))
+    pairs, rows = of_value[0].join(of_value[1], "_key").agg(product, F.sum(F.col("_l_rows") + F.col("_r_rows"))).first()
+    least, most = left.agg(F.min("_w"), F.max("_bound")).first()
+    if pairs and pairs > HEAVY * rows and least > 0 and most < 1 << 53:
+        best = _by_blocks(left, right, most < 1 << 24)
+        return best.select(F.col("source").alias(source), F.col("target").alias(target), "strength")
+
     whole = left.groupBy("source").agg(F.max("_n").alias("_n"))
     first = cut(_per_source(left.join(whole, ["source", "_n"], "left_semi"), left, right))
     found = first.select("source", F.col("strength").alias("_least"))
