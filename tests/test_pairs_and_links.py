@@ -28,7 +28,7 @@ def test_pair_sums_match_matrix_product(spark, n_items, salts, small):
 @pytest.mark.parametrize("shift", [0, -7, 1 << 40])
 def test_pair_sums_end_small_sums_and_take_any_numbers(spark, shift):
     """Sums below `least` do not leave the strips; a repeated cell is no pair of its own."""
-    cells = [("g", 1), ("g", 2), ("h", 1), ("h", 2), ("h", 3), ("i", 4), ("i", 4), (None, 5), ("g", None)]
+    cells = [("g", 1), ("g", 2), ("h", 1), ("h", 2), ("h", 3), ("i", 4), ("i", 4), (None, 1), (None, 3), (None, 3), ("g", None)]
     df = spark.createDataFrame([(g, None if i is None else i + shift, 1.0) for g, i in cells], "g string, i long, one double")
     out = gram.pair_sums(df, "g", "i", "one", "one", least=2.0)
     assert [tuple(r) for r in out.collect()] == [(1 + shift, 2 + shift, 2.0)]

@@ -227,3 +227,29 @@ def test_nearest_for_all_seeds(spark, blocks):
         assert [got[name][i + 1] for i in range(4)] == [(k, round(-c, 9)) for c, k in near]
     few = embeddings.nearest_for_all(a, b.filter("k < 2"), "k", "v", 4, *blocks)
     assert few.groupBy("seed").count().agg({"count": "max"}).first()[0] <= 2
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+
+
+def test_lists_of_a_customer_are_made_where_the_customer_is(spark, rows):
+    """Scores and candidates, many for each interaction, are not shuffled by customer and group."""
+    cells = [(f"c{c}", f"g{g}", 1 + (c + g) % 3) for c in range(12) for g in range(8) if (c * g) % 5 < 3]
+    inter = spark.createDataFrame(cells, "customer_id string, product_group_id string, weight long")
+    scores = collaborative.affinities(inter)
+    assert not [e for e in exchanges(scores) if "customer_id" in e and "neighbour" in e]
+    assert not set(rows(scores.select("customer_id", "product_group_id"))) & {c[:2] for c in cells}
+
+    def table(data, schema):
+        return spark.createDataFrame(data, schema)
+
+    cands = blend.candidates(
+        table([("k",), ("m",)], "customer_id string"),
+        table([("k", "a", 0.5), ("k", "b", 0.4), ("z", "a", 1.0)], "customer_id string, product_group_id string, score double"),
+        table([("s", "b", 0.9), ("s", "c", 0.8)], "product_group_id string, neighbour_product_group_id string, score double"),
+        table([("k", "s"), ("k", "a"), ("m", None), ("z", "s")], "customer_id string, product_group_id string"),
+        table([("p", 9.0), ("s", 5.0)], "product_group_id string, pop double"))
+    assert not [e for e in exchanges(cands) if "customer_id" in e and "product_group_id" in e]
+    assert rows(cands) == [("k", "b", 0.4, 0.9), ("k", "c", 0.0, 0.8), ("k", "p", 0.0, 0.0), ("m", "p", 0.0, 0.0), ("m", "s", 0.0, 0.0)]

@@ -199,7 +199,7 @@ def pair_sums(
     rows of so many, which meet each other.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = df.filter(F.col(item).isNotNull()).select(
+    cells = df.filter(F.col(group).isNotNull() & F.col(item).isNotNull()).select(
         F.col(group).alias("_group"), F.col(item).cast("bigint").alias("_item"),
         F.col(value).cast("double").alias("_value"), F.col(weight).cast("double").alias("_weight"))
     place = F.row_number().over(Window.partitionBy("_group").orderBy("_item")) - 1

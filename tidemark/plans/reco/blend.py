@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import vectors
 from tidemark.functions.scalars import min_max
 from tidemark.operators.keyed import first_per_key, top_per_key
+from tidemark.session import stored
 
 WEIGHTS = {"cf": 0.40, "copurchase": 0.25, "embedding": 0.20, "popularity": 0.15}
 TOP_N = 20
@@ -43,12 +44,15 @@ def candidates(customers: DataFrame, cf: DataFrame, neighbours: DataFrame, seeds
 
     together = from_cf.unionByName(from_pairs, allowMissingColumns=True)
     together = together.unionByName(from_popular, allowMissingColumns=True)
-    # One shuffle merges the three lists; a signal that is absent counts zero.
-    merged = together.groupBy("customer_id", "product_group_id").agg(
+    taken = seeds.filter(F.col("product_group_id").isNotNull()).select(
+        "customer_id", "product_group_id", F.lit(True).alias("_seed"))
+    together = together.unionByName(taken, allowMissingColumns=True)
+    # One shuffle by customer merges the lists; a signal that is absent counts zero.
+    merged = together.repartition("customer_id").groupBy("customer_id", "product_group_id").agg(
         F.coalesce(F.max("cf"), F.lit(0.0)).alias("cf"),
-        F.coalesce(F.max("copurchase"), F.lit(0.0)).alias("copurchase"),
+        F.coalesce(F.max("copurchase"), F.lit(0.0)).alias("copurchase"), F.max("_seed").alias("_seed"),
     )
-    return merged.join(seeds, ["customer_id", "product_group_id"], "left_anti")
+    return merged.filter(F.col("_seed").isNull()).drop("_seed")
 
 
 def blend(cands: DataFrame, customers: DataFrame, products: DataFrame, popular: DataFrame,
@@ -60,7 +64,8 @@ def blend(cands: DataFrame, customers: DataFrame, products: DataFrame, popular:
     low, high = popular.agg(F.min("pop")).scalar(), popular.agg(F.max("pop")).scalar()
     demand = popular.select(
         "product_group_id", min_max(F.col("pop"), low, high, 0.0).alias("popularity"))
-    side = products.select("product_group_id", F.col("embedding").alias("_group"))
+    # Written, so that Spark knows its size and a customer's vector need not travel to the groups.
+    side = stored(products.select("product_group_id", F.col("embedding").alias("_group")), "group-vectors")
     rows = (
         cands.join(customers.select("customer_id", F.col("embedding").alias("_taste")), "customer_id")
         .join(side, "product_group_id", "left")
@@ -88,10 +93,11 @@ def expand_variant(recs: DataFrame, variants: DataFrame, sizes: DataFrame) -> Da
     sellable = variants.filter(F.col("is_in_stock") & F.col("is_active"))
     columns = ["variant_id", "style_name", "category_id", "size", "price"]
     card = F.struct(*columns)
-    in_size = first_per_key(sellable, ["product_group_id", "size"], [F.asc("variant_id")]).select(
-        F.col("product_group_id"), F.col("size").alias("home_size"), card.alias("_fit"))
-    any_size = first_per_key(sellable, ["product_group_id"], [F.asc("variant_id")]).select(
-        "product_group_id", card.alias("_any"))
+    # One row per group and size, and per group; written, so that Spark knows how few they are.
+    in_size = stored(first_per_key(sellable, ["product_group_id", "size"], [F.asc("variant_id")]).select(
+        F.col("product_group_id"), F.col("size").alias("home_size"), card.alias("_fit")), "cards-by-size")
+    any_size = stored(first_per_key(sellable, ["product_group_id"], [F.asc("variant_id")]).select(
+        "product_group_id", card.alias("_any")), "cards")
     return (
         recs.join(sizes.select("customer_id", "home_size"), "customer_id", "left")
         .join(in_size, ["product_group_id", "home_size"], "left")

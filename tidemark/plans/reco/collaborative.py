@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.gram import dense_numbers, pair_sums
 from tidemark.operators.keyed import first_per_key, top_per_key, with_group_size
 from tidemark.operators.ordered import rank_rows
-from tidemark.session import cut
+from tidemark.session import cut, stored
 
 N_NEIGHBOURS = 20
 TOP_N = 20
@@ -70,16 +70,19 @@ def affinities(inter: DataFrame, customers: int | None = None) -> DataFrame:
     spread = inter.groupBy(F.col("product_group_id").alias("item")).agg(
         (F.log((1 + total) / (1 + F.count(F.lit(1)))) + 1).alias("idf")
     )
-    # At most n rows per item; the interactions are what is large.
-    links = item_neighbours(inter).join(spread, "item")
+    # At most n + 1 rows per item, written so that Spark knows how few they are. An item points to
+    # itself as seen, so a customer's rows are added up where they are, without a second shuffle.
+    own = spread.select("item", F.col("item").alias("neighbour"), F.lit(0.0).alias("sim"), "idf", F.lit(True).alias("seen"))
+    near = item_neighbours(inter).join(spread, "item").select("item", "neighbour", "sim", "idf", F.lit(False).alias("seen"))
+    links = stored(near.unionByName(own), "links")
     scores = (
         inter.select("customer_id", F.col("product_group_id").alias("item"), "weight")
+        .repartition("customer_id")
         .join(links, "item")
         .groupBy("customer_id", F.col("neighbour").alias("product_group_id"))
-        .agg(F.sum(F.col("weight") * F.col("idf") * F.col("sim")).alias("score"))
+        .agg(F.sum(F.col("weight") * F.col("idf") * F.col("sim")).alias("score"), F.max("seen").alias("_seen"))
     )
-    seen = inter.select("customer_id", "product_group_id")
-    return scores.join(seen, ["customer_id", "product_group_id"], "left_anti")
+    return scores.filter(~F.col("_seen")).drop("_seen")
 
 
 def _best_first() -> list[Column]:
