@@ -9,7 +9,7 @@ from tidemark.functions.scalars import ratio, surrogate_key, zero_if_null
 from tidemark.functions.timeparts import days_between, seconds_between
 from tidemark.operators.conform import production_view
 from tidemark.operators.joins import lookup, outer_merge, with_parent
-from tidemark.operators.ordered import next_value
+from tidemark.operators.ordered import PART, next_value, split
 
 PRIVATE = ("ip_address", "user_agent", "_true_customer_id", "_true_session_id", "ingested_at",
            "customer_id")
@@ -48,9 +48,15 @@ def session_summary(sessions: DataFrame, graph: DataFrame) -> DataFrame:
 # --- customers --------------------------------------------------------------
 
 
-def dim_customer(versions: DataFrame) -> DataFrame:
-    """Type-2 dimension: each version is valid until the next one starts."""
-    dated = next_value(versions, ["customer_id"], "effective_at", ["version_number"], "valid_to")
+def dim_customer(versions: DataFrame, parts: int | None = None) -> DataFrame:
+    """Type-2 dimension: each version is valid until the next one starts.
+
+    `parts` is the number of parts the versions are cut into; by default Spark chooses.
+    """
+    keys, order = ["customer_id"], ["version_number"]
+    if parts:
+        versions = split(versions, keys, order, parts)
+    dated = next_value(versions, keys, "effective_at", order, "valid_to").drop(PART)
     return (
         dated.withColumn("customer_sk", surrogate_key("customer_id", "version_number"))
         .withColumn("is_current", F.col("valid_to").isNull())
