@@ -117,6 +117,19 @@ def test_state_expires(spark, tmp_path):
     assert got == [("orphan", "unmatched"), ("p", "accepted"), ("p", "pending"), ("p", "unmatched")]
 
 
+def test_payments_of_one_bucket(spark, tmp_path):
+    """Payments that share a bucket keep their own states, whatever their number is."""
+    ids = [f"p{i}" for i in range(60)]
+    late = [i for i in ids if int(i[1:]) % 3 == 0]
+    log = payment_log(
+        spark, tmp_path / "a", [[(i, "10:00:00") for i in ids], [("mid", "12:00:00")], [("end", "13:00:00")]],
+        [[("p1", "10:05:00"), ("orphan", "10:00:00")], [("mid2", "12:00:00")], [(i, "12:59:00") for i in late]], buckets=2)
+    states = {r["payment_id"]: (r["status"], r["was_accepted"]) for r in resolve.payment_states(log).collect()}
+    assert {i: states[i] for i in ids} == {
+        i: ("rejected", True) if i in late else ("rejected", False) if i == "p1" else ("accepted", True) for i in ids}
+    assert states["end"] == ("pending", False) and "orphan" not in states
+
+
 def counts(spark, folder, batches):
     for batch in batches:
         spark.createDataFrame([(k,) for k in batch], "k string").coalesce(1).write.mode("append").parquet(str(folder))
