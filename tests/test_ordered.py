@@ -125,3 +125,19 @@ def test_null_keys_times_and_values_match_plain_windows(spark):
     got = with_group_size(got, ["key"], "size")
     names = ["id", "before", "after", "total", "size"]
     assert sorted(map(tuple, got.select(names).collect())) == sorted(map(tuple, want.select(names).collect()))
+
+
+def test_only_keys_that_cross_parts_carry_a_summary(spark):
+    """However many keys there are, an edge between parts cuts one: summaries that are joined are no more than parts."""
+    df = spark.range(2000).select(F.concat(F.lit("k"), F.col("id") % 500).alias("key"), F.col("id").alias("at"), F.lit(1).alias("one"))
+    parts = ordered.split(df, ["key"], ["at"], 6)
+    for after in (False, True):
+        edges = ordered._edges(parts, ["key"], "at", ["at"], after)
+        assert edges.count() <= 5
+    for out in (ordered.previous_value(parts, ["key"], "at", ["at"], "x"), ordered.running_total(parts, ["key"], "one", ["at"], "x")):
+        assert "Broadcast" in out._jdf.queryExecution().executedPlan().toString()
+    want = {(f"k{i % 500}", i): (i - 500 if i >= 500 else None, i + 500 if i < 1500 else None, i // 500 + 1) for i in range(2000)}
+    got = {n: {(r["key"], r["at"]): r["x"] for r in f.collect()} for n, f in (
+        ("before", ordered.previous_value(parts, ["key"], "at", ["at"], "x")), ("after", ordered.next_value(parts, ["key"], "at", ["at"], "x")),
+        ("sum", ordered.running_total(parts, ["key"], "one", ["at"], "x")))}
+    assert {k: (got["before"][k], got["after"][k], got["sum"][k]) for k in want} == want

@@ -39,13 +39,24 @@ def _in_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple
     return (df, False) if PART in df.columns else (split(df, keys, order), True)
 
 
+def _crossing(edges: DataFrame, keys: Sequence[str], after: bool = False) -> DataFrame:
+    """The summary rows of a key that has a neighbouring part, hinted as small.
+
+    Parts follow key and order, so an edge between two parts cuts at most one key: these are no
+    more rows than parts, and the rows of the parts need not be shuffled to meet them.
+    """
+    w = Window.partitionBy(*keys).orderBy(PART)
+    step = F.lead if after else F.lag
+    return F.broadcast(edges.withColumn("_has", step(PART).over(w).isNotNull()).filter("_has").drop("_has"))
+
+
 def _edges(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], after: bool):
-    """Per key and part, the nearest value in the neighbouring part that has the key."""
+    """Per key and part, the nearest value in the neighbouring part that has the key, if one has."""
     pick = F.min_by if after else F.max_by
     edge = df.groupBy(*keys, PART).agg(pick(F.col(value), F.struct(*order)).alias("_edge"))
     w = Window.partitionBy(*keys).orderBy(PART)
     step = F.lead if after else F.lag
-    return edge.select(*keys, PART, step("_edge").over(w).alias("_carried"))
+    return _crossing(edge.select(*keys, PART, step("_edge").over(w).alias("_carried")), keys, after)
 
 
 def _neighbour(df, keys, value, order, name, after):
@@ -100,7 +111,7 @@ def running(
         offsets.append(aggregate(f"_of_part_{name}").over(before).alias(f"_before_{name}"))
         local[f"_inside_{name}"] = aggregate(value).over(inside)
         both[name] = join(F.col(f"_inside_{name}"), F.col(f"_before_{name}"))
-    edges = tagged.groupBy(*keys, PART).agg(*totals).select(*keys, PART, *offsets)
+    edges = _crossing(tagged.groupBy(*keys, PART).agg(*totals).select(*keys, PART, *offsets), keys)
     joined = join_null_safe(tagged.withColumns(local), edges, [*keys, PART]).withColumns(both)
     used = [f"_{k}_{name}" for name in values for k in ("inside", "before")]
     return joined.drop(*used, *([PART] if added else []))

@@ -22,7 +22,10 @@ LOGIN_EVENTS = ("login", "loyalty_signup")
 
 
 def sessions(events: DataFrame) -> DataFrame:
-    """One row per session with its funnel counts and the customer seen inside it."""
+    """One row per session with its funnel counts and the customer seen inside it.
+
+    Device, source and true ids come out if the events have them.
+    """
     kind = F.col("event_type")
     first = F.struct("event_at", "event_id")
 
@@ -42,7 +45,7 @@ def sessions(events: DataFrame) -> DataFrame:
         (F.count("customer_id") > 0).alias("is_identified"),
         (F.count_if(kind == "purchase") > 0).alias("is_converted"),
         *[earliest(c) for c in ("device_type", "traffic_source", "_true_customer_id",
-                                "_true_session_id")],
+                                "_true_session_id") if c in events.columns],
     )
 
 
@@ -155,7 +158,7 @@ def graph(session_rows: DataFrame, links: DataFrame) -> DataFrame:
         tier.alias("resolution_tier"),
         either("link_method").alias("resolution_method"),
         either("confidence").alias("resolution_confidence"),
-        "_true_customer_id",
+        *[c for c in ("_true_customer_id",) if c in session_rows.columns],
     )
 
 

@@ -119,7 +119,7 @@ def k3(spark, sf):
 
 def events(spark, sf):
     columns = ["customer_id_extended", "session_id", "event_type", "event_at", "product_id"]
-    return published(spark, sf, "events", lambda: retail.fact_event(spark, sf).select(*columns))
+    return published(spark, sf, "events", lambda: retail.fact_event(spark, sf, "product_id").select(*columns))
 
 
 def interactions(spark, sf):
@@ -284,7 +284,8 @@ def features(spark, sf, cutoff=CUTOFF):
     moved = events(spark, sf).withColumn("event_at", F.col("event_at") - back)
     mails = silver.email_events(ad.raw_emails(spark, sf)).withColumn("event_at", F.col("event_at") - back)
     return propensity.features_asof(
-        moved, retail.fact_order(spark, sf), mails, retail.dim_customer(spark, sf), cutoff)
+        moved, retail.fact_order(spark, sf), mails,
+        retail.dim_customer(spark, sf, "loyalty_member", "loyalty_tier", "brand_line_affinity"), cutoff)
 
 
 @query("k9_features_asof", "SELECT * FROM feat")
@@ -417,7 +418,7 @@ def k14(spark, sf):
 
 def ranked(spark, sf):
     return blend.ranked_recommendations(
-        blended(spark, sf), retail.dim_product(spark, sf), retail.dim_customer(spark, sf).filter("is_current"))
+        blended(spark, sf), retail.dim_product(spark, sf), retail.dim_customer(spark, sf, "home_size").filter("is_current"))
 
 
 def ranked_lists(spark, sf):
@@ -471,7 +472,7 @@ SELECT request_id, query, customer_id, known AS personalized, rank, variant_id,
  QUALIFY row_number() OVER (PARTITION BY request_id, product_group_id ORDER BY coalesce(size = home_size, false) DESC, final DESC, variant_id) = 1))
 WHERE rank <= 10""")
 def x1(spark, sf):
-    sizes = retail.dim_customer(spark, sf).filter("is_current").select("customer_id", "home_size")
+    sizes = retail.dim_customer(spark, sf, "home_size").filter("is_current").select("customer_id", "home_size")
     items = cut(activation.catalogue(retail.dim_product(spark, sf), _scores(spark, sf)))
     return activation.search_rerank(
         _requests(spark, sf), items, sizes.join(tastes_of(spark, sf), "customer_id", "left"),
@@ -531,19 +532,19 @@ SELECT a.customer_id, email, first_name, {R("p", 4)} AS propensity, d AS propens
 FROM (SELECT l.*, email, first_name FROM likely l JOIN dim_cust c ON l.customer_id = c.customer_id AND is_current
  WHERE marketing_consent AND d >= 5 ORDER BY p DESC, l.customer_id LIMIT 100) a""")
 def x4(spark, sf):
-    people = retail.dim_customer(spark, sf).filter("is_current")
+    people = retail.dim_customer(spark, sf, "email", "first_name", "marketing_consent").filter("is_current")
     return export_columns(activation.email_export(cut(likely(spark, sf)), people, ranked_lists(spark, sf), min_decile=5))
 
 
 @query("x4_email_export_scored")
 def x4_scored(spark, sf):
     """The export as it is used: by the scores of the propensity model."""
-    people = retail.dim_customer(spark, sf).filter("is_current")
+    people = retail.dim_customer(spark, sf, "email", "first_name", "marketing_consent").filter("is_current")
     return export_columns(activation.email_export(cut(k13(spark, sf)), people, ranked_lists(spark, sf)))
 
 
 def context(spark, sf, scores):
-    people = retail.dim_customer(spark, sf).filter("is_current")
+    people = retail.dim_customer(spark, sf, "home_size", "email", "marketing_consent").filter("is_current")
     strangers = source(spark, sf, "supplier").select(ad.tag("V", "s_suppkey").alias("customer_id"))
     asked = people.select("customer_id").unionByName(strangers)
     return activation.customer_context(asked, people, tastes_of(spark, sf), cf_lists(spark, sf), scores)

@@ -67,8 +67,13 @@ FROM sess s LEFT JOIN (SELECT * FROM best_link WHERE confidence_tier = 'determin
 LEFT JOIN (SELECT * FROM best_link WHERE confidence_tier = 'probabilistic') p ON s.anonymous_id = p.anonymous_id""")
 
 
-def events(spark, sf, gap=GAP):
-    return retail.events(ad.raw_clicks(spark, sf), gap)
+# What sessions and links are made from; queries that ask for little else leave the other columns unread.
+SESSION_COLUMNS = ["event_id", "event_at", "event_type", "anonymous_id", "customer_id", "ip_address", "user_agent"]
+
+
+def events(spark, sf, gap=GAP, columns=None):
+    raw = ad.raw_clicks(spark, sf)
+    return retail.events(raw.select(*columns) if columns else raw, gap)
 
 
 def links(spark, sf):
@@ -76,9 +81,9 @@ def links(spark, sf):
     return identity.bridge(ad.raw_clicks(spark, sf))
 
 
-def resolved(spark, sf):
-    """Events with sessions, session rows, links and the resolved sessions."""
-    rows = cut(events(spark, sf))
+def resolved(spark, sf, columns=None):
+    """Events with sessions, session rows, links and the resolved sessions; of `columns` only, if given."""
+    rows = cut(events(spark, sf, columns=columns))
     per_session = identity.sessions(rows)
     found = cut(identity.bridge(rows))
     return rows, per_session, found, identity.graph(per_session, found)
@@ -205,9 +210,13 @@ SELECT md5(customer_id || '-' || version_number) AS customer_sk, * EXCLUDE (effe
 FROM versions WINDOW w AS (PARTITION BY customer_id ORDER BY version_number)""")
 
 
-def dim_customer(spark, sf):
+def dim_customer(spark, sf, *columns):
+    """The dimension, with the key, the times and of the attributes only `columns`, if given."""
     # The adapter numbers versions by day, 200,000 numbers a day.
-    return gold.dim_customer(retail.customer_versions(ad.raw_versions(spark, sf)))
+    versions = retail.customer_versions(ad.raw_versions(spark, sf))
+    if columns:
+        versions = versions.select("customer_id", "version_number", "effective_at", *columns)
+    return gold.dim_customer(versions)
 
 
 @query("m22_dim_customer", "SELECT * FROM dim_cust")
@@ -229,7 +238,7 @@ FULL JOIN (SELECT customer_id, count(*) FILTER (WHERE event_type = 'sent') AS s,
 
 
 def engagement(spark, sf):
-    _, per_session, _, graph = resolved(spark, sf)
+    _, per_session, _, graph = resolved(spark, sf, SESSION_COLUMNS)
     return gold.customer_engagement(
         gold.session_summary(per_session, graph), retail.email_events(ad.raw_emails(spark, sf)))
 
@@ -271,8 +280,10 @@ LEFT JOIN (SELECT customer_id, count(*) FILTER (WHERE is_returned) AS back, coun
 LEFT JOIN engaged e ON d.customer_id = e.customer_id
 WHERE is_current""")
 def m24(spark, sf):
+    attributes = ("first_name", "last_name", "email", "brand_line_affinity", "home_size", "region",
+                  "loyalty_member", "loyalty_tier", "email_consent", "marketing_consent")
     return gold.customer_360(
-        dim_customer(spark, sf), fact_order(spark, sf), fact_order_line(spark, sf), engagement(spark, sf))
+        dim_customer(spark, sf, *attributes), fact_order(spark, sf), fact_order_line(spark, sf), engagement(spark, sf))
 
 
 FACT_EVENT = """
@@ -282,8 +293,9 @@ FROM visits v LEFT JOIN resolved r ON v.session_id = r.session_id"""
 piece("fact_ev", FACT_EVENT)
 
 
-def fact_event(spark, sf):
-    rows, _, _, graph = resolved(spark, sf)
+def fact_event(spark, sf, *columns):
+    """The events, with what sessions are made from and of the other columns only `columns`, if given."""
+    rows, _, _, graph = resolved(spark, sf, [*SESSION_COLUMNS, *columns] if columns else None)
     return gold.fact_event(rows, graph)
 
 
