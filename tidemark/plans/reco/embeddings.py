@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -15,6 +16,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from tidemark.functions import vectors
 from tidemark.operators.aggregates import vector_mean
@@ -94,8 +96,8 @@ def nearest(df: DataFrame, key: str, vector: str, seed: Column, seed_key: Column
     return scored.orderBy(F.desc("cos"), key).limit(k)
 
 
-# Rows of a block of seeds and of a block of items, which one task compares.
-SEED_BLOCK, ITEM_BLOCK = 1024, 16_384
+# Rows of a block of seeds and of a block of items at most, which one task compares, some seeds at a time.
+SEED_BLOCK, ITEM_BLOCK, AT_A_TIME = 32_768, 32_768, 512
 
 
 def nearest_for_all(
@@ -105,14 +107,19 @@ def nearest_for_all(
     """The k items closest to every seed by cosine: seed, rank, key, cos. A seed does not find its own key.
 
     Exact: blocks of seeds meet blocks of items, a pair of blocks in one task, which keeps k
-    items per seed. So seeds times item blocks rows are shuffled, not seeds times items. Vectors
-    that are null or zero take no part; ties go to the smaller key.
+    items per seed. A vector is shuffled once per block of the other side, single floats as such, so
+    blocks are as large as they may be once all tasks have a pair. Vectors that are null or zero take
+    no part; ties go to the smaller key.
     """
+    tasks = 2 * int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def blocked(df: DataFrame, size: int) -> tuple[DataFrame, int]:
         usable = F.exists(vector, lambda x: x != 0)
-        rows = cut(df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(usable))
-        blocks = max(1, -(-rows.count() // size))
+        single = df.schema[vector].dataType == ArrayType(FloatType(), df.schema[vector].dataType.containsNull)
+        v = F.col(vector) if single else F.col(vector).cast("array<double>")
+        rows = cut(df.select(F.col(key).cast("long").alias("id"), v.alias("v")).filter(usable))
+        n = rows.count()
+        blocks = max(1, -(-n // size), min(math.isqrt(tasks), n // 1024))
         return rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), blocks
 
     left, n = blocked(seeds, seed_block)
@@ -124,10 +131,11 @@ def nearest_for_all(
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = {"seed": [], key: [], "cos": []}
         if len(a) and len(b):
-            x, y = (np.stack(df["v"].to_numpy()) for df in (a, b))
+            x, y = (np.stack(df["v"].to_numpy()).astype(np.float64) for df in (a, b))
             ids = b["id"].to_numpy()
-            cos = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
-            for name, row in zip(a["id"], cos):
+            x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+            rows = itertools.chain.from_iterable(x[at:at + AT_A_TIME] @ y.T for at in range(0, len(x), AT_A_TIME))
+            for name, row in zip(a["id"], rows):
                 row = np.where(ids == name, -np.inf, row)
                 some = min(k, len(row))
                 least = np.partition(row, len(row) - some)[len(row) - some]
