@@ -240,12 +240,22 @@ def team_dim(histories: DataFrame) -> DataFrame:
     )
 
 
+# Parts per shuffle partition in which the games of a pair of teams are told apart.
+FINER = 16
+
+
 def team_head_to_head(team_box: DataFrame) -> DataFrame:
-    """Record of every ordered pair of teams in competitive games."""
+    """Record of every ordered pair of teams in competitive games.
+
+    Nearly every row is a game of its own, so the groups that count games are as many as rows: they
+    are made in many small parts, and only sums of a pair of teams leave a part.
+    """
     won = F.col("is_win")
+    parts = FINER * int(team_box.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     games = team_box.filter(
         F.col("game_type").isin("Regular Season", "Playoffs") & F.col("opponent_team_id").isNotNull()
-    )
+    ).select("team_id", "opponent_team_id", "game_id", "is_win", "team_score", "opponent_score", "game_date")
+    games = games.repartition(parts, "team_id", "opponent_team_id", "game_id")
     return games.groupBy("team_id", "opponent_team_id").agg(
         F.count_distinct("game_id").alias("games_played"),
         F.count_if(won).alias("wins"),
