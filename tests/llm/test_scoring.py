@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from odd_tables import no_docs, odd_docs, odd_rows  # noqa: F401
@@ -90,3 +91,15 @@ def test_weights_follow_the_held_out_counts():
 
 def test_no_documents(no_docs):
     assert scoring.score(no_docs).count() == 0
+
+
+def test_places_are_those_of_a_search_and_none_is_made(monkeypatch):
+    """One sort places all n-grams of a chunk: six searches of every token were most of the time."""
+    texts = pa.array(["b a b", None, "", "a b a b c", "B\tc"])
+    g = scoring.tagged(scoring.grams_of(texts, np.array([0, 1, 2, 3, 4])))
+    keys = sorted({*g.words.tolist(), *g.bigrams.tolist(), int(scoring.START)})
+    want = [[keys.index(x) for x in grams.tolist()] for grams in (g.words, g.bigrams, g.contexts)]
+    monkeypatch.setattr(np, "searchsorted", None)
+    at = scoring.places_of(g)
+    assert at.keys.tolist() == keys and keys[at.start] == int(scoring.START)
+    assert [at.words.tolist(), at.bigrams.tolist(), at.contexts.tolist()] == want

@@ -105,9 +105,26 @@ def _chunks(batches: Iterator[pa.RecordBatch]):
         yield from out()
 
 
-def _keys(g: Grams) -> np.ndarray:
-    """Sorted distinct n-grams of a chunk; contexts are among the words, but for the start."""
-    return np.unique(np.concatenate([g.words, g.bigrams, np.array([START])]))
+@dataclass
+class Places:
+    """Sorted distinct n-grams of a chunk, and where among them every token's are."""
+
+    keys: np.ndarray
+    words: np.ndarray
+    bigrams: np.ndarray
+    contexts: np.ndarray
+    start: int
+
+
+def places_of(g: Grams) -> Places:
+    """One sort places all n-grams; a context is the word before, so it is not looked up."""
+    n = len(g.words)
+    keys, at = np.unique(np.concatenate([g.words, g.bigrams, np.array([START])]), return_inverse=True)
+    words, bigrams, start = at[:n], at[n : 2 * n], int(at[-1])
+    contexts = np.empty_like(words)
+    contexts[1:] = words[:-1]
+    contexts[g.bounds[:-1]] = start
+    return Places(keys, words, bigrams, contexts, start)
 
 
 def _sent(docs: DataFrame, range_bits: int) -> DataFrame:
@@ -119,17 +136,17 @@ def _sent(docs: DataFrame, range_bits: int) -> DataFrame:
 
     def run(batches):
         for chunk, g in _chunks(batches):
-            keys = _keys(g)
-            learned, deleted = np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.uint64)
-            firsts = np.zeros(len(g.words), dtype=bool)
-            firsts[g.bounds[:-1]] = True
-            for target, use in ((learned, g.fold > 1), (deleted, g.fold == 1)):
-                for tokens in (g.words[use], g.bigrams[use], np.full(int((use & firsts).sum()), START)):
-                    target += np.bincount(np.searchsorted(keys, tokens), minlength=len(keys)).astype(np.uint64)
-            at = (keys >> _U(64 - range_bits)).astype(np.int64)
-            cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(keys)]
+            at = places_of(g)
+            keys, counts = at.keys, []
+            for use in (g.fold > 1, g.fold == 1):
+                found = np.bincount(np.concatenate([at.words[use], at.bigrams[use]]), minlength=len(keys))
+                found[at.start] += int(use[g.bounds[:-1]].sum())
+                counts.append(found.astype(np.uint64))
+            learned, deleted = counts
+            ranges = (keys >> _U(64 - range_bits)).astype(np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(ranges)) + 1).tolist(), len(keys)]
             rows = [
-                (chunk, int(at[a]), planes(keys[a:b], 8), planes(learned[a:b], 4), planes(deleted[a:b], 4))
+                (chunk, int(ranges[a]), planes(keys[a:b], 8), planes(learned[a:b], 4), planes(deleted[a:b], 4))
                 for a, b in zip(cuts[:-1], cuts[1:])
             ]
             types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -185,28 +202,23 @@ def _parts(pair: np.ndarray, word: np.ndarray, context: np.ndarray, tokens: floa
 
 
 def _with_counts(docs: DataFrame, counts: DataFrame, columns: list[str], run, ddl: str) -> DataFrame:
-    """Apply run(grams, learned, deleted, rows) to every chunk and its counts.
+    """Apply run(grams, places, learned, deleted, rows) to every chunk and its counts.
 
-    learned and deleted are functions from n-grams to their counts.
+    learned and deleted are the counts of the chunk's distinct n-grams.
     """
 
     def both(left, right):
         if not left.num_rows:
-            return run(None, None, None, None)
+            return run(None, None, None, None, None)
         left = left.sort_by("place")
         right = right.sort_by("range")
         g = tagged(grams_of(left["text"], left["fold"].to_numpy()))
-        all_keys = _keys(g)
+        at = places_of(g)
         kept = {c: [from_planes(x, 5) for x in right[c].to_pylist()] for c in ("learned", "deleted")}
-        found = {c: np.concatenate(x) if x else np.zeros(0, np.uint64) for c, x in kept.items()}
-        if len(found["learned"]) != len(all_keys):
+        found = {c: (np.concatenate(x) if x else np.zeros(0, np.uint64)).astype(np.float64) for c, x in kept.items()}
+        if len(found["learned"]) != len(at.keys):
             raise RuntimeError("the scan of documents did not repeat alike; write them as a table first")
-
-        def lookup(c):
-            counts_ = found[c].astype(np.float64)
-            return lambda grams: counts_[np.searchsorted(all_keys, grams)]
-
-        return run(g, lookup("learned"), lookup("deleted"), {c: left[c].combine_chunks() for c in columns})
+        return run(g, at, found["learned"], found["deleted"], {c: left[c].combine_chunks() for c in columns})
 
     return docs.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(both, ddl)
 
@@ -218,11 +230,11 @@ def _held_out_cells(docs: DataFrame, counts: DataFrame, tokens: int) -> np.ndarr
     """
     names = ["cell", "n"]
 
-    def run(g, learned, deleted, rows):
+    def run(g, at, learned, deleted, rows):
         if g is None:
             return pa.table([pa.array([], pa.int64())] * 2, names=names)
         use = g.fold == 1
-        pair, word, context = (learned(x[use]) for x in (g.bigrams, g.words, g.contexts))
+        pair, word, context = (learned[x[use]] for x in (at.bigrams, at.words, at.contexts))
         p2, p1 = _parts(pair, word, context, tokens)
         steps = [
             np.where(p > 0, 1 + np.minimum(np.round(-np.log2(np.maximum(p, 1e-18)) * CELLS), 999), 0).astype(np.int64)
@@ -297,10 +309,11 @@ def score(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
-    def run(g, learned, deleted, rows):
+    def run(g, at, learned, deleted, rows):
         if g is None:
             return pa.table([pa.array([], t) for t in kinds], names=names)
-        word, pair, context = (learned(x) + deleted(x) for x in (g.words, g.bigrams, g.contexts))
+        counts_ = learned + deleted
+        word, pair, context = (counts_[x] for x in (at.words, at.bigrams, at.contexts))
         base = np.log10((word + 0.1) / (tokens + 0.1 * (types + 1)))
         p2, p1 = _parts(pair, word, context, tokens)
         w = weights[_bucket(context)]
