@@ -3,11 +3,12 @@ from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from odd_tables import no_docs, odd_docs, odd_rows  # noqa: F401
 from tidemark.llm import partenum
-from tidemark.llm.words import from_planes, planes, shingle_sets
+from tidemark.llm.words import distinct, from_planes, planes, shingle_sets
 
 
 def brute(rows):
@@ -132,3 +133,13 @@ def test_words_are_split_at_the_named_characters():
     sets = shingle_sets(pa.array(["A b\x0bC\x0cd\re", "a b c d e", "a b c d e", None, " "]), 5)
     assert (sets[0] == sets[1]).all() and len(sets[2]) == 1 and sets[2][0] != sets[1][0]
     assert not len(sets[3]) and not len(sets[4])
+
+
+def test_distinct_is_one_sort(monkeypatch):
+    """Sets of shingles are sorted and distinct without np.unique, which hashes all values first."""
+    values = np.array([5, 2**64 - 1, 0, 5, 0, 7], dtype=np.uint64)
+    monkeypatch.setattr(np, "unique", None)
+    assert distinct(values).tolist() == [0, 5, 7, 2**64 - 1]
+    assert distinct(values[:0]).tolist() == [] and distinct(values[:1]).tolist() == [5]
+    same, _ = shingle_sets(pa.array(["a b a b a b a", ""]), 2)
+    assert len(same) == 2 and same[0] < same[1]

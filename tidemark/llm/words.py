@@ -18,6 +18,14 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values. Sorting takes a tenth of the time of `np.unique`, which hashes them first."""
+    values = np.sort(values)
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new]
+
+
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     """All words of a batch, A-Z in lower case if asked, and where each text's words begin and end.
 
@@ -44,12 +52,13 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def hashed(words: pa.Array) -> np.ndarray:
     """A hash per word; each distinct word is hashed once."""
     encoded = words.dictionary_encode()
-    distinct = np.fromiter(
-        (xxhash.xxh3_64_intdigest(w.encode()) for w in encoded.dictionary.to_pylist()),
+    # As bytes, so that no word is decoded and encoded again.
+    hashes = np.fromiter(
+        map(xxhash.xxh3_64_intdigest, encoded.dictionary.cast(pa.binary()).to_pylist()),
         dtype=np.uint64,
         count=len(encoded.dictionary),
     )
-    return distinct[encoded.indices.to_numpy()]
+    return hashes[encoded.indices.to_numpy()]
 
 
 def runs_of(hashes: np.ndarray, size: int, lane: int = 0) -> np.ndarray:
@@ -111,7 +120,7 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     sets = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         if b - a >= size:
-            sets.append(np.unique(runs[a : b - size + 1]))
+            sets.append(distinct(runs[a : b - size + 1]))
         elif b > a:
             sets.append(shingles(np.append(hashes[a:b], _U(b - a)), b - a + 1))
         else:
