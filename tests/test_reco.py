@@ -272,3 +272,57 @@ def test_lists_of_a_customer_are_made_where_the_customer_is(spark, rows):
         table([("p", 9.0), ("s", 5.0)], "product_group_id string, pop double"))
     assert not [e for e in exchanges(cands) if "customer_id" in e and "product_group_id" in e]
     assert rows(cands) == [("k", "b", 0.4, 0.9), ("k", "c", 0.0, 0.8), ("k", "p", 0.0, 0.0), ("m", "p", 0.0, 0.0), ("m", "s", 0.0, 0.0)]
+
+
+def _final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def _bought(spark):
+    lines = [(f"o{i // 2}", f"v{i % 5}") for i in range(40)] + [(None, "v1"), ("o1", None)]
+    orders = [(f"o{i}", f"k{i % 3}" if i % 4 else None) for i in range(20)] + [("o1", "k1")]
+    products = [(f"v{i}", f"g{i % 4}" if i else None, "style", "cat") for i in range(5)]
+    return (
+        spark.createDataFrame(lines, "order_id string, variant_id string"),
+        spark.createDataFrame(orders, "order_id string, customer_id string"),
+        spark.createDataFrame(products, "variant_id string, product_group_id string, style_name string, category_id string"),
+    )
+
+
+def test_transactions_are_shuffled_once(spark):
+    """The distinct rows and the window over a transaction share one shuffle."""
+    lines, orders, products = _bought(spark)
+    out = copurchase.transactions(lines, orders, products)
+    exchanges = [x for x in _final_plan(out).splitlines() if "Exchange" in x and "transaction" in x]
+    assert len(exchanges) == 1
+    group = {r["variant_id"]: r["product_group_id"] for r in products.collect()}
+    buyers = [tuple(r) for r in orders.collect()]
+    want = {}
+    for order, variant in map(tuple, lines.collect()):
+        for known, customer in buyers:
+            if known == order and group.get(variant):
+                want.setdefault((f"o:{order}", 2.0), set()).add(group[variant])
+                if customer:
+                    want.setdefault((f"c:{customer}", 1.0), set()).add(group[variant])
+    want = sorted((t, w, g) for (t, w), gs in want.items() if len(gs) > 1 for g in gs)
+    assert sorted((r["transaction"], r["weight"], r["product_group_id"]) for r in out.collect()) == want
+
+
+def test_item_numbers_do_not_shuffle_the_rows(spark, monkeypatch):
+    """Rows meet the numbers of their items where they are: by item, few tasks would get them all."""
+    met = []
+
+    def recorded(rows, *args, **kwargs):
+        met.append(rows)
+        return rows.selectExpr("1L AS item_a", "2L AS item_b", "1D AS dot")
+
+    monkeypatch.setattr(copurchase, "pair_sums", recorded)
+    monkeypatch.setattr(collaborative, "pair_sums", recorded)
+    lines, orders, products = _bought(spark)
+    copurchase.neighbours(copurchase.transactions(lines, orders, products), copurchase.group_names(products))
+    seen = spark.createDataFrame([("k", "g1", 1), ("l", "g2", 3)], "customer_id string, product_group_id string, weight int")
+    collaborative.item_neighbours(seen)
+    for rows in met:
+        plan = _final_plan(rows)
+        assert "BroadcastHashJoin" in plan and "hashpartitioning(product_group_id" not in plan

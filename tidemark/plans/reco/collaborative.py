@@ -40,7 +40,8 @@ def item_neighbours(inter: DataFrame, n: int = N_NEIGHBOURS) -> DataFrame:
 
     Document-frequency weights scale an item's whole column, so they drop out of the cosine.
     """
-    numbers = cut(dense_numbers(inter, "product_group_id", "number"))
+    # Written, so that Spark knows how few they are and the interactions are not shuffled by item.
+    numbers = stored(dense_numbers(inter, "product_group_id", "number"), "numbers")
     numbered = inter.join(numbers, "product_group_id").withColumn("one", F.lit(1.0))
     dots = pair_sums(numbered, "customer_id", "number", "weight", "one")
     squares = inter.groupBy("product_group_id").agg(

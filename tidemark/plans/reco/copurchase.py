@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.gram import dense_numbers, pair_sums
 from tidemark.operators.joins import lookup
 from tidemark.operators.keyed import first_per_key, top_per_key
-from tidemark.session import cut
+from tidemark.session import cut, stored
 
 TOP_N = 10
 MIN_COOC = 2.0
@@ -37,7 +37,8 @@ def transactions(lines: DataFrame, orders: DataFrame, products: DataFrame) -> Da
 
     kinds = F.array_compact(F.array(
         member("order_id", "o:", BASKET_WEIGHT), member("customer_id", "c:", CUSTOMER_WEIGHT)))
-    both = bought.select("product_group_id", F.inline(kinds)).distinct()
+    # Shuffled by transaction once, which both the distinct rows and the window need.
+    both = bought.select("product_group_id", F.inline(kinds)).repartition("transaction").distinct()
     # A transaction has at most one row per product group here, so its window is bounded.
     size = F.count(F.lit(1)).over(Window.partitionBy("transaction"))
     return both.withColumn("_size", size).filter("_size >= 2").drop("_size")
@@ -48,7 +49,9 @@ def neighbours(
 ) -> DataFrame:
     """The n most similar product groups of each group, by cosine of weighted co-occurrence."""
     baskets = cut(baskets)
-    numbers = cut(dense_numbers(baskets, "product_group_id", "number"))
+    # Written, so that Spark knows how few they are: by product group, of which there are few, a
+    # shuffle would send all rows to few tasks.
+    numbers = stored(dense_numbers(baskets, "product_group_id", "number"), "numbers")
     numbered = baskets.join(numbers, "product_group_id").withColumn("one", F.lit(1.0))
     pairs = pair_sums(numbered, "transaction", "number", "one", "weight", least=min_weight)
 
