@@ -1,6 +1,7 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +47,38 @@ def test_pairs_are_sent_in_few_rows():
     assert back == keys.tolist()
 
 
+@pytest.mark.parametrize("block", [16, 4096])
+def test_pair_sums_in_rounds(spark, monkeypatch, block):
+    """Many pairs of few cells are made in rounds over ranges of the smaller item, and each round is written."""
+    for name, size in (("ROUND", 100), ("CELLS", 1)):
+        monkeypatch.setattr(gram, name, size)
+    rounds, real = [], gram.stored
+    monkeypatch.setattr(gram, "stored", lambda df, label: rounds.append(real(df, label)) or rounds[-1])
+    rng = np.random.default_rng(8)
+    x = (rng.random((12, 60)) < 0.5) * rng.integers(1, 5, (12, 60))
+    cells = [(int(g), int(i), float(x[g, i]), 1.0) for g, i in zip(*np.nonzero(x))]
+    out = gram.pair_sums(spark.createDataFrame(cells, "g int, i int, v double, w double"), "g", "i", "v", "w", block=block, least=4.0)
+    full = np.triu(x.T @ x, 1)
+    assert {(r["item_a"], r["item_b"]): r["dot"] for r in out.collect()} == {
+        (int(a), int(b)): float(full[a, b]) for a, b in zip(*np.nonzero(full >= 4))}
+    sizes = [r.count() for r in rounds]
+    assert len(sizes) > 3 and max(sizes) < sum(sizes) / 2
+
+
+def test_runs_that_are_sent_compress():
+    """Pairs as whole numbers and doubles take almost twice the room."""
+    rng = np.random.default_rng(4)
+    width, edges = 100_000, np.array([300, 700])
+    keys = np.unique(rng.integers(0, 1000, 60_000) * width + rng.integers(1000, width, 60_000))
+    values = rng.integers(1, 4, len(keys)).astype(float)
+    plain = list(gram._runs(keys, values, width, edges))
+    sent = [gram._packed(b) for b in plain]
+    back = [gram._unpacked(b, width) for b in sent]
+    assert (np.concatenate([k for k, _ in back]) == keys).all() and (np.concatenate([v for _, v in back]) == values).all()
+    size = [sum(len(pa.Codec("lz4").compress(bytes(x))) for b in bs for c in b.columns[1:] for x in (c.flatten() if bs is plain else c).buffers()[-1:]) for bs in (plain, sent)]
+    assert 1.8 * size[1] < size[0] and size[1] < 3.5 * len(keys)
+
+
 def test_sparse_sums_spill_and_add_up():
     rng = np.random.default_rng(2)
     sums, out = gram.Sums(100), []

@@ -24,6 +24,23 @@ def test_co_purchase_thresholds(spark):
     assert got == {("a", "b"): (2.0, score), ("b", "a"): (2.0, score)}
 
 
+def test_neighbours_of_many_pairs_are_scored_in_steps(spark, rows, monkeypatch):
+    """The steps give what one step gives, ties and all; the shuffles of a step are dropped when it is written."""
+    rng = np.random.default_rng(6)
+    bought = [(f"t{t}", f"g{g:02d}", 2.0) for t in range(60) for g in np.flatnonzero(rng.random(25) < 0.2)]
+    baskets = spark.createDataFrame(bought, "transaction string, product_group_id string, weight double")
+    names = spark.createDataFrame([(f"g{g:02d}", "s", "c") for g in range(25)], "product_group_id string, style_name string, category_id string")
+    want = rows(copurchase.neighbours(baskets, names, n=3))
+    freed, real = [], copurchase.stored
+    monkeypatch.setattr(copurchase, "SCORED", 1)
+    monkeypatch.setattr(copurchase, "stored", lambda df, label: freed.append(
+        (label, spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled"))) or real(df, label))
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    assert rows(copurchase.neighbours(baskets, names, n=3)) == want and len(want) == 75
+    assert freed.count(("nearest", "true")) == copurchase.STEPS
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+
+
 @pytest.fixture(scope="module")
 def matrix(spark):
     rng = np.random.default_rng(5)

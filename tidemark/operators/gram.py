@@ -4,13 +4,19 @@ Counting which items share a group is the product X'X of the group-by-item matri
 self-join of the groups would write every pair of every group as a row. Here a task multiplies
 the groups it holds and adds their pairs up before anything is sent. Items are cut into strips
 with about equally many cells, a pair belongs to the strip of its smaller item, and what
-tasks send of a strip are runs: an item, how many partners follow, the partners, their sums. One task
-adds up a whole strip, so the sums that leave it are final, and small ones can end there.
+tasks send of a strip are runs: an item, how many partners follow, the partners, their sums. Numbers
+are sent as differences, first all low bytes, then all higher ones, which are alike and take little
+room when compressed. One task adds up a whole strip, so the sums that leave it are final, and small
+ones can end there.
+
+Pairs may be many times the cells. If so, the strips are done in rounds, one range of them after the other:
+the sums of a round are written and what it has shuffled is dropped before the next one begins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +25,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import rank_rows
-from tidemark.session import cut
+from tidemark.session import cut, freeing, stored
 
 BLOCK = 4096  # cells of a group per row, at most
 CHUNK = 1 << 20  # pairs made at a time
 SPILL = 1 << 22  # sums held at a time by a task that makes pairs
 STRIPS = 4096  # strips at most
 RUN = 512  # pairs per row that is sent
-RUNS = "strip int, heads array<int>, counts array<int>, partners array<int>, dots array<double>"
+RUNS = "strip int, heads binary, counts binary, partners binary, dots binary"
+ROUND = 1 << 25  # pairs from which there is a further round, if they are more than CELLS times the cells
+CELLS = 2
 
 
 class Sums:
@@ -85,8 +93,10 @@ def _cells(batch: pa.RecordBatch, side: str) -> tuple[np.ndarray, np.ndarray, np
     return lengths, items.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy()
 
 
-def _products(batch: pa.RecordBatch, width: int, diagonal: bool, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys and weighted products of the pairs of every row, a chunk at a time.
+def _products(
+    batch: pa.RecordBatch, width: int, diagonal: bool, chunk: int, least: int = 0, below: int = 1 << 31
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and weighted products of the pairs of every row whose smaller item is in a range, a chunk at a time.
 
     Cells of a row are sorted by item. Inside one row a cell meets the ones after it, else all of
     the other side, which come after it too.
@@ -101,6 +111,7 @@ def _products(batch: pa.RecordBatch, width: int, diagonal: bool, chunk: int) ->
     else:
         m, theirs, y = _cells(batch, "b")
         starts, partners = (np.cumsum(m) - m)[rows], m[rows]
+    partners = np.where((mine >= least) & (mine < below), partners, 0)
     upto = np.cumsum(partners)
     total = int(upto[-1]) if len(upto) else 0
     cuts = np.unique(np.searchsorted(upto, np.arange(chunk, total + chunk, chunk)))
@@ -140,18 +151,55 @@ def _runs(keys: np.ndarray, values: np.ndarray, width: int, edges: np.ndarray) -
         yield whole.slice(start, 1000)
 
 
-def _multiplier(width: int, edges: list[int], diagonal: bool, chunk: int, spill: int):
-    """Multiplies the groups of a task; yields runs of sums."""
+def _planes(numbers: np.ndarray) -> bytes:
+    """The lowest bytes of all numbers, then the next ones, and so on."""
+    return numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T.tobytes()
+
+
+def _numbers(planes: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, len(planes) // size).T).view(kind).ravel()
+
+
+def _packed(runs: pa.RecordBatch) -> pa.RecordBatch:
+    """Runs as they are sent: heads and partners as differences, a run's first partner from its head."""
+    columns = {"strip": runs.column("strip"), "heads": [], "counts": [], "partners": [], "dots": []}
+    lists = {c: runs.column(c) for c in ("heads", "counts", "partners", "dots")}
+    ends = {c: x.offsets.to_numpy() for c, x in lists.items()}
+    values = {c: x.values.to_numpy() for c, x in lists.items()}
+    for row in range(runs.num_rows):
+        heads, counts, partners, dots = (values[c][ends[c][row]:ends[c][row + 1]] for c in lists)
+        apart = np.diff(partners, prepend=np.int32(0))
+        first = np.cumsum(counts) - counts
+        apart[first] = partners[first] - heads
+        for c, x in (("heads", np.diff(heads, prepend=np.int32(0))), ("counts", counts), ("partners", apart), ("dots", dots)):
+            columns[c].append(_planes(x))
+    return pa.RecordBatch.from_pydict({c: x if c == "strip" else pa.array(x, pa.binary()) for c, x in columns.items()})
+
+
+def _unpacked(runs: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and sums of runs that were sent."""
+    keys, sums = [], []
+    for row in range(runs.num_rows):
+        heads, counts, apart = (_numbers(runs.column(c)[row].as_py(), np.int32).astype(np.int64) for c in ("heads", "counts", "partners"))
+        heads, first, upto = np.cumsum(heads), np.cumsum(counts) - counts, np.cumsum(apart)
+        keys.append(np.repeat(heads * (width + 1) - upto[first] + apart[first], counts) + upto)
+        sums.append(_numbers(runs.column("dots")[row].as_py(), np.float64))
+    return np.concatenate(keys), np.concatenate(sums)
+
+
+def _multiplier(width: int, edges: list[int], diagonal: bool, chunk: int, spill: int, least: int = 0, below: int = 1 << 31):
+    """Multiplies the groups of a task; yields runs of the sums whose smaller item is in a range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, bounds = Sums(spill), np.array(edges, dtype=np.int64)
         for batch in batches:
-            for keys, values in _products(batch, width, diagonal, chunk):
+            for keys, values in _products(batch, width, diagonal, chunk, least, below):
                 for done in sums.add(keys, values):
-                    yield from _runs(*done, width, bounds)
+                    yield from map(_packed, _runs(*done, width, bounds))
         for done in sums.rest():
             if len(done[0]):
-                yield from _runs(*done, width, bounds)
+                yield from map(_packed, _runs(*done, width, bounds))
 
     return run
 
@@ -180,23 +228,35 @@ def _adder(width: int, least: float | None, spill: int):
                 if strip != current:
                     yield from finished()
                     current, sums = strip, Sums(spill)
-                heads, counts, partners, dots = (part.column(c).flatten().to_numpy() for c in ("heads", "counts", "partners", "dots"))
-                sums.add_all(np.repeat(heads.astype(np.int64), counts) * width + partners, dots)
+                sums.add_all(*_unpacked(part, width))
         yield from finished()
 
     return run
 
 
+def _ranges(edges: list[int], rounds: int) -> list[tuple[int, int]]:
+    """Ranges of items for so many rounds: whole strips each, and about equally many pairs.
+
+    The lower an item is, the more items come after it, so low ranges hold fewer strips.
+    """
+    strips = len(edges) + 1
+    ends = sorted({round(strips * (1 - (1 - k / rounds) ** 0.5)) for k in range(1, rounds)} - {0, strips})
+    cuts = [0, *(int(edges[e - 1]) for e in ends), 1 << 31]
+    return list(zip(cuts[:-1], cuts[1:]))
+
+
+@freeing
 def pair_sums(
     df: DataFrame, group: str, item: str, value: str, weight: str, salts: int | None = None,
     block: int = BLOCK, chunk: int = CHUNK, spill: int = SPILL, least: float | None = None,
+    written: bool = False,
 ) -> DataFrame:
     """sum over groups of weight * value_a * value_b for each unordered item pair.
 
     `item` is a whole number and (group, item) is unique; `weight` belongs to the
     group. Returns item_a < item_b, dot, where dot is not zero and not below `least`. Groups are
     dealt over at least `salts` tasks; a group with more than `block` cells is cut into
-    rows of so many, which meet each other.
+    rows of so many, which meet each other. With `written` the sums are written even if they take one round.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = df.filter(F.col(group).isNotNull() & F.col(item).isNotNull()).select(
@@ -210,31 +270,45 @@ def pair_sums(
         .agg(F.sort_array(F.collect_list(cell)).alias("_cells"), F.first("_weight").alias("weight"), F.sum("_place").alias("_pairs"))
         .select("_group", "_part", "weight", "_pairs", F.col("_cells._item").alias("items_a"), F.col("_cells._value").alias("values_a"))
     )
-    ends = F.min(F.array_min("items_a")), F.max(F.array_max("items_a"))
-    pairs, parts, lowest, highest = (int(x or 0) for x in packed.agg(F.sum("_pairs"), F.max("_part"), *ends).first())
+    ends = F.min(F.array_min("items_a")), F.max(F.array_max("items_a")), F.sum(F.size("items_a"))
+    pairs, parts, lowest, highest, held = (int(x or 0) for x in packed.agg(F.sum("_pairs"), F.max("_part"), *ends).first())
     if lowest < 0 or highest >= 1 << 31:
-        return _renumbered(df, group, item, value, weight, salts, block, chunk, spill, least)
+        sums = _renumbered(df, group, item, value, weight, salts, block, chunk, spill, least)
+        return stored(sums, "pairs") if written else sums
     width = highest + 1
+    # A task sends a pair once, however many of its groups have it, unless it has to spill.
+    sent = min(pairs, max(partitions, salts or 1) * width * highest // 2)
+    rounds = max(1, -(-sent // max(ROUND, CELLS * held)))
     # So many strips that one is no more than a few times what a task holds anyway.
-    count = min(STRIPS, max(partitions, -(-pairs // spill)))
+    count = min(STRIPS, max(partitions * rounds, -(-pairs // spill)))
     shares = [(i + 1) / count for i in range(count - 1)] or [0.5]
     edges = packed.select(F.explode("items_a").alias("item")).agg(F.percentile_approx("item", shares, 10 * STRIPS)).first()[0]
     edges = sorted(set(edges or []))
-
-    def multiplied(rows: DataFrame, diagonal: bool) -> DataFrame:
-        return rows.mapInArrow(_multiplier(width, edges, diagonal, chunk, spill), RUNS)
-
-    partial = multiplied(packed.select("weight", "items_a", "values_a"), True)
     if parts > 0:
         later = packed.select("_group", F.col("_part").alias("_later"), F.col("items_a").alias("items_b"), F.col("values_a").alias("values_b"))
         met = packed.join(later.filter("_later > 0"), "_group").filter("_part < _later")
         met = met.select("weight", "items_a", "values_a", "items_b", "values_b").repartition(partitions)
-        partial = partial.unionByName(multiplied(met, False))
-    return (
-        partial.repartition(min(count, len(edges) + 1) if len(edges) else 1, "strip")
-        .sortWithinPartitions("strip")
-        .mapInArrow(_adder(width, least, spill), "item_a bigint, item_b bigint, dot double")
-    )
+
+    def added(lowest: int, below: int) -> DataFrame:
+        """The sums of pairs whose smaller item is in a range."""
+
+        def multiplied(rows: DataFrame, diagonal: bool) -> DataFrame:
+            return rows.mapInArrow(_multiplier(width, edges, diagonal, chunk, spill, lowest, below), RUNS)
+
+        partial = multiplied(packed.select("weight", "items_a", "values_a"), True)
+        if parts > 0:
+            partial = partial.unionByName(multiplied(met, False))
+        strips = sum(lowest < e < below for e in edges) + 1
+        return (
+            partial.repartition(min(count, strips) if edges else 1, "strip")
+            .sortWithinPartitions("strip")
+            .mapInArrow(_adder(width, least, spill), "item_a bigint, item_b bigint, dot double")
+        )
+
+    ranges = _ranges(edges, rounds)
+    if len(ranges) == 1 and not written:
+        return added(*ranges[0])
+    return reduce(DataFrame.unionByName, [stored(added(*r), "pairs") for r in ranges])
 
 
 def _renumbered(df: DataFrame, group: str, item: str, value: str, weight: str, *limits) -> DataFrame:

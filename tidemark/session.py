@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,3 +79,26 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def freeing(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Shuffles of a step that `fn` writes out are dropped when it is written.
+
+    For functions of several large steps, whose first argument is a DataFrame: without this, the
+    shuffles of all steps lie on disk until the driver collects garbage.
+    """
+
+    @functools.wraps(fn)
+    def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+        conf = df.sparkSession.conf
+        before = conf.get(_FREED, "false")
+        conf.set(_FREED, "true")
+        try:
+            return fn(df, *args, **kwargs)
+        finally:
+            conf.set(_FREED, before)
+
+    return run

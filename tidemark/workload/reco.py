@@ -92,8 +92,7 @@ SELECT variant_id, neighbour_variant_id, cooc_weight, round(score, 9) AS score,
  JOIN occ_variants a ON p.g = a.g JOIN occ_variants b ON p.h = b.g) WHERE rank <= 10""")
 def k2_variants(spark, sf):
     own = retail.dim_product(spark, sf).withColumn("product_group_id", F.col("variant_id"))
-    baskets = copurchase.transactions(retail.fact_order_line(spark, sf), retail.fact_order(spark, sf), own)
-    found = copurchase.neighbours(baskets, copurchase.group_names(own))
+    found = copurchase.co_purchase(retail.fact_order_line(spark, sf), retail.fact_order(spark, sf), own)
     return found.select(
         F.col("product_group_id").alias("variant_id"), F.col("neighbour_product_group_id").alias("neighbour_variant_id"),
         "cooc_weight", F.round("score", 9).alias("score"), "rank")
