@@ -150,6 +150,52 @@ def test_many_values_of_few_are_compared_in_blocks(spark, monkeypatch, weighted,
     assert {r["s"]: (r["t"], r["strength"]) for r in out.collect()} == brute_force(left, targets)
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_blocks_of_members_travel_packed(spark, monkeypatch, weighted):
+    """Many members in a row, and less than half a byte per value where half of all values are had; shuffles are dropped."""
+    sent, real = [], links._members
+    monkeypatch.setattr(links, "_members", lambda *a: sent.append(real(*a)) or sent[-1])
+    freed = []
+    monkeypatch.setattr(links, "stored", lambda df, label, real=links.stored: freed.append(
+        spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")) or real(df, label))
+    grid = spark.range(300).join(spark.range(200).withColumnRenamed("id", "k")).filter("abs(xxhash64(id, k)) % 2 = 0")
+    a = grid.select(F.col("id").alias("s"), "k", (F.col("k") % 3 + 1 if weighted else F.lit(1)).alias("w"))
+    b = grid.filter("id < 120").select((F.col("id") + 1000).alias("t"), ((F.col("k") + 1) % 200).alias("k"))
+    got = {tuple(r) for r in best_shared(a, b, "s", "t", "k", "w" if weighted else None).collect()}
+    strength = a.join(b, "k").groupBy("s", "t").agg(F.sum("w").alias("n")).collect()
+    best = {}
+    for s, t, n in sorted(map(tuple, strength), key=lambda r: (r[0], -r[2], r[1])):
+        best.setdefault(s, (s, t, n))
+    assert got == set(best.values()) and freed == ["true"]
+    for rows, n in zip(sent, (300, 120)):
+        kept = [r.asDict() for r in rows.collect()]
+        cells = sum(r["cells"] for r in kept)
+        assert sum(r["n"] for r in kept) == n and len(kept) <= 5 and cells > 80 * n
+        assert sum(len(r["v"]) + len(r["counts"]) + (len(r["w"]) if not weighted else 0) for r in kept) < cells / 2
+
+
+@pytest.mark.parametrize("values,often", [(1, 1), (4, 1), (1000, 1), (1000, 10**9)])
+def test_bits_and_lists_of_targets_add_up(values, often):
+    """Members without values, weights of many digits, blocks that are no multiple of eight."""
+    rng = np.random.default_rng(values)
+
+    def packed(n, odds):
+        has = [np.flatnonzero(rng.random(50) < o).astype(np.int32) for o in rng.random(n) * odds]
+        w = [rng.integers(1, 1 << 40, len(x)) for x in has]
+        batch = pa.RecordBatch.from_pydict({"m": range(n), "v": pa.array(has, pa.list_(pa.int32())), "w": pa.array(w, pa.list_(pa.int64()))})
+        return [r for b in links._packer([batch], 37) for r in b.to_pylist()], has, w
+
+    sources, s, w = packed(100, 0.5)
+    targets, t, _ = packed(90, 0.4)
+    asked = np.bincount(np.concatenate(s), minlength=50)
+    block = links._Targets(targets, asked, values, often)
+    place, strength = (np.concatenate(x) for x in zip(*(block.best(*links._unpacked(r)) for r in sources)))
+    for k in range(100):
+        total = [int(w[k][np.isin(s[k], x)].sum()) for x in t]
+        assert strength[k] == max(total)
+        assert max(total) == 0 or np.searchsorted(block.names, place[k]) == total.index(max(total))
+
+
 def test_no_stage_pairs_the_members_of_a_frequent_value(spark, monkeypatch):
     """500 sources and 500 targets share two values; what is compared is a handful of rests."""
     sizes = []
