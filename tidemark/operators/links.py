@@ -44,7 +44,7 @@ from tidemark.operators.ordered import PART, running, split
 from tidemark.session import cut, freeing, stored
 
 _REST = ["_key", "_d1", "_d2"]
-_ORDER = ["_often", "_place", "_key"]
+_ORDER = ["_often", "_key"]
 HEAVY = 16  # rows that rating pairs of rests would take, per row there is, from which blocks are compared
 SOURCE_BLOCK, TARGET_BLOCK = 262_144, 131_072  # members of a block at most
 CELLS = 1 << 25  # values of all targets of a block, about
@@ -57,7 +57,7 @@ WORDS = 1 << 12  # words of bits that are added up at a time
 def _ordered(rows: DataFrame, member: str, frequency: DataFrame) -> DataFrame:
     """Rows of members in parts, ordered by how frequent their values are."""
     ranked = rows.join(frequency.select("_key", "_f"), "_key")
-    ranked = ranked.select(member, "_key", "_w", (-F.col("_f")).alias("_often"), (-F.xxhash64("_key")).alias("_place"))
+    ranked = ranked.select(member, "_key", "_w", (-F.col("_f")).alias("_often"))
     return split(ranked, [member], _ORDER)
 
 
@@ -321,6 +321,8 @@ def best_shared(
     sources = sources.select(F.col(source).alias("source"), F.col(key).alias("_key"), w.alias("_w")).dropna(subset=["source"])
     targets = targets.select(F.col(target).alias("target"), F.col(key).alias("_key"), F.lit(1).cast("bigint").alias("_w")).dropna(subset=["target"])
 
+    # Written, as they are read several times and what they were made from need not lie on disk beside it.
+    sources, targets = stored(sources, "sources"), stored(targets, "targets")
     # Values that only one side has say nothing.
     frequency = targets.groupBy("_key").agg(F.count(F.lit(1)).alias("_f"))
     frequency = cut(frequency.join(sources.groupBy("_key").agg(F.count(F.lit(1)).alias("_g")), "_key"))
